@@ -15,17 +15,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder, named in ``spark.checkpoint.dir``.
 
-    The folder named in ``spark.checkpoint.dir`` is used; only where none is set (tests, a local
-    session) one is made in the temporary folder.
+    Only where none is named (tests, a local session) one is made in the temporary folder.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandset-checkpoint-"))
+    return named or context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -7,8 +7,9 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandset.llm.common import texts
@@ -110,14 +111,13 @@ def sigmoid(z: np.ndarray | float) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def score_texts(docs: DataFrame, grams: Callable[[], Grams], margin: Callable[[np.ndarray], float]) -> DataFrame:
-    """(doc_id, score) of every whole text; ``margin`` is on the log-odds scale. One narrow pass."""
+def score_column(text: Column, grams: Callable[[], Grams], margin: Callable[[np.ndarray], float]) -> Column:
+    """The score of every whole text; ``margin`` is on the log-odds scale. Runs where the rows are: no shuffle."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("double")
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         make = grams()
-        for batch in batches:
-            z = np.array([margin(make(t)) for t in texts(batch, "text")], np.float64)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(sigmoid(z))], ["doc_id", "score"])
+        for part in parts:
+            yield pd.Series(sigmoid(np.array([margin(make(t or "")) for t in part], np.float64)))
 
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return read.mapInArrow(run, "doc_id long, score double")
+    return score(text.cast("string"))

@@ -8,11 +8,11 @@ curve fitted on rows that the descent did not see.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandset.llm.common import held_out
-from strandset.llm.features import WIDTH, Grams, fit_in_one_task, labelled_sample, score_texts, sigmoid
+from strandset.llm.features import WIDTH, Grams, fit_in_one_task, labelled_sample, score_column, sigmoid
 
 
 def _grams() -> Grams:
@@ -78,7 +78,7 @@ def _fit(y: np.ndarray, rows: list[np.ndarray], cost: float, epochs: int) -> np.
     return np.concatenate((w, ratio, logistic_curve(margins[rest], y[rest])))
 
 
-def score_quality(
+def quality_column(
     docs: DataFrame,
     labels: DataFrame,
     label: str = "quality",
@@ -86,8 +86,8 @@ def score_quality(
     bound: int = 12_000,
     cost: float = 4.0,
     epochs: int = 12,
-) -> DataFrame:
-    """(doc_id, score) of every whole text in ``docs``: the chance of label 1.
+) -> Column:
+    """The score of every whole ``text`` in ``docs``, as a column: the chance of label 1.
 
     The model is fitted on at most ``bound`` rows of ``labels`` whose ids ``learnable`` accepts (a
     documented bound; the same rows each time), and every document is scored. Only the text enters a
@@ -105,7 +105,17 @@ def score_quality(
         v = ratio[row]
         return slope * float(w[row] @ v) / max(float(np.sqrt(v @ v)), 1e-9) + shift
 
-    return score_texts(docs, _grams, margin)
+    return score_column(F.col("text"), _grams, margin)
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """(doc_id, score) of every document (see :func:`quality_column`)."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), quality_column(docs, labels, **options).alias("score"))
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, least: float = 0.5, **options) -> DataFrame:
+    """The documents, all columns, that score ``least`` or more."""
+    return docs.where(quality_column(docs, labels, **options) >= least)
 
 
 def with_decision(scored: DataFrame, least: float) -> DataFrame:

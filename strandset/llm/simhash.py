@@ -41,21 +41,47 @@ def _fingerprints(strings: list[str | None], words: int, seed: int) -> np.ndarra
     return out
 
 
-def simhash(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
+def simhash(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, seed: int = 42, sketch_words: int = 0) -> DataFrame:
     """(doc_id, fp): the 64-bit SimHash of every whole text, as a signed long.
 
     A-Z are lower-cased; words are runs without white space; each occurrence of a shingle of ``words``
     words votes with its XXH64. Fewer words: the whole sequence is one shingle. No words, an empty or
-    a null text: zero.
+    a null text: zero. With ``sketch_words`` a MinHash sketch of the shingles of so many words follows.
     """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = _fingerprints(batch.column(1).to_pylist(), words, seed).view(np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
+            strings = batch.column(1).to_pylist()
+            columns = [batch.column(0), pa.array(_fingerprints(strings, words, seed).view(np.int64))]
+            if sketch_words:
+                columns.append(pa.array(_sketches(strings, sketch_words), pa.binary()))
+            yield pa.record_batch(columns, ["doc_id", "fp", "sketch"][: len(columns)])
 
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return read.mapInArrow(hashed, "doc_id long, fp long")
+    return read.mapInArrow(hashed, "doc_id long, fp long" + ", sketch binary" * bool(sketch_words))
+
+
+BINS = 128
+
+
+def _sketches(strings: list[str | None], words: int) -> list[bytes]:
+    """One-permutation MinHash of each text's shingles: a byte for each of 128 bins, zero where it is empty."""
+    out, digest = [], xxhash.xxh64_intdigest
+    for s in strings:
+        w = s.encode("utf-8", "replace").lower().split() if s else []
+        shingles = zip(*(w[i:] for i in range(words)), strict=False) if len(w) >= words else [tuple(w)] if w else []
+        h = np.sort(np.array([digest(g, 7) for g in map(b" ".join, shingles)], np.uint64))
+        bins, first = np.unique(h >> np.uint64(57), return_index=True)
+        row = np.zeros(BINS, np.uint8)
+        row[bins.astype(np.int64)] = 1 + h[first] % np.uint64(255)
+        out.append(row.tobytes())
+    return out
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity of sketches, row by row; 1 where both are empty."""
+    both, either = ((a == b) & (a > 0)).sum(axis=1), ((a > 0) | (b > 0)).sum(axis=1)
+    return np.where(either == 0, 1.0, both / np.maximum(either, 1))
 
 
 def _median_split(points: np.ndarray, vantage: np.uint64) -> tuple[int, np.ndarray]:
@@ -115,16 +141,32 @@ class _Forest:
             np.minimum.at(self.parent, np.maximum(ra, rb), np.minimum(ra, rb))
 
 
-def linked_forest(home: np.ndarray, queries: np.ndarray, radius: int, leaf: int = 48, at_once: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def linked_forest(
+    home: np.ndarray, queries: np.ndarray, radius: int, sketches: dict | None = None, least: float = 0.0, leaf: int = 48, at_once: int = 1 << 20
+) -> tuple[np.ndarray, np.ndarray]:
     """Links between queries and home points within ``radius``, as a spanning forest.
 
     A vantage-point tree over ``home`` is walked by all queries together. Only the forest of links is
     kept, so a dense group of m points gives m - 1 links, not all its pairs. Both arrays hold distinct
-    points.
+    points. With ``sketches`` (by point) a link needs an estimated similarity of ``least`` as well.
     """
     points, at = np.unique(np.concatenate((home, queries)), return_inverse=True)
     home_at, query_at = at[: len(home)], at[len(home) :]
+    sketch = None if sketches is None else np.frombuffer(b"".join([sketches[p] for p in points.tolist()]), np.uint8).reshape(-1, BINS)
     forest = _Forest(len(points))
+
+    def link(a: np.ndarray, b: np.ndarray) -> None:
+        if sketch is None:
+            forest.unite(a, b)
+            return
+        for part in range(0, len(a), 1 << 15):
+            x, y = a[part : part + (1 << 15)], b[part : part + (1 << 15)]
+            apart = forest.roots(x) != forest.roots(y)
+            x, y = x[apart], y[apart]
+            if len(x):
+                good = _alike(sketch[x], sketch[y]) >= least
+                forest.unite(x[good], y[good])
+
     stack = [(home_at, query_at)]
     while stack:
         mine, asked = stack.pop()
@@ -136,47 +178,55 @@ def linked_forest(home: np.ndarray, queries: np.ndarray, radius: int, leaf: int
             inner = d <= mu
             if inner.any() and not inner.all():
                 dq = np.bitwise_count(points[asked] ^ vantage).astype(np.int64)
-                stack.append((mine[inner], asked[dq <= mu + radius]))
-                stack.append((mine[~inner], asked[dq > mu - radius]))
-                continue
+                near, far = dq <= mu + radius, dq > mu - radius
+                if near.sum() + far.sum() < 1.9 * len(asked):
+                    stack.append((mine[inner], asked[near]))
+                    stack.append((mine[~inner], asked[far]))
+                    continue
+                # The ball is wider than this split can part: the node is one leaf.
         step = max(1, at_once // len(mine))
         for part in range(0, len(asked), step):
             some = asked[part : part + step]
             q, h = np.nonzero(np.bitwise_count(points[some][:, None] ^ points[mine][None, :]) <= radius)
             differ = some[q] != mine[h]
-            forest.unite(some[q][differ], mine[h][differ])
+            link(some[q][differ], mine[h][differ])
     roots = forest.roots(np.arange(len(points)))
     linked = np.flatnonzero(roots != np.arange(len(points)))
     return points[linked], points[roots[linked]]
 
 
-def _links(fps: DataFrame, radius: int, shard_rows: int, query_rows: int) -> DataFrame:
-    """A spanning forest (a, b) of the distinct fingerprints within ``radius``."""
+def _links(fps: DataFrame, radius: int, least: float, shard_rows: int, query_rows: int) -> DataFrame:
+    """A spanning forest (a, b) of the distinct fingerprints (fp, and a sketch if similarity counts)."""
     n = fps.count()
     depth = max(0, int(np.ceil(np.log2(max(1, n / shard_rows)))))
-    sample = np.array([r["fp"] for r in fps.orderBy(F.xxhash64("fp")).limit(64 * 2 ** min(depth, 10)).collect()], np.int64).view(np.uint64)
+    some = fps.select("fp").orderBy(F.xxhash64("fp")).limit(64 * 2 ** min(depth, 10)).collect()
+    sample = np.array([r["fp"] for r in some], np.int64).view(np.uint64)
     nodes = plan_tree(sample, depth)
     reach = len(route(sample, nodes, depth, radius)[0]) / max(1, len(sample))
     blocks = max(1, int(np.ceil(reach * n / 2**depth / query_rows)))
+    sketched = "sketch" in fps.columns
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            points = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            index, leaf = route(points, nodes, depth, radius)
-            mine, leaf_of = route(points, nodes, depth, 0)
-            block = (points[index] % np.uint64(blocks)).astype(np.int64)
-            keys = [leaf, *([leaf_of] * blocks)]
-            marks = [block, *(np.full(len(mine), b) for b in range(blocks))]
-            which = np.concatenate((points[index], *([points[mine]] * blocks))).view(np.int64)
-            at_home = np.concatenate((np.zeros(len(index), bool), np.ones(len(mine) * blocks, bool)))
-            yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.concatenate(marks)), pa.array(which), pa.array(at_home)], ["shard", "block", "fp", "home"])
+        for whole in batches:
+            for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
+                points = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+                index, leaf = route(points, nodes, depth, radius)
+                mine, own = route(points, nodes, depth, 0)
+                row = np.concatenate((index, np.tile(mine, blocks)))
+                shard = np.concatenate((leaf, np.tile(own, blocks)))
+                block = np.concatenate(((points[index] % np.uint64(blocks)).astype(np.int64), np.repeat(np.arange(blocks), len(mine))))
+                home = np.arange(len(row)) >= len(index)
+                at = pa.array(row)
+                rest = [batch.column(1).take(at)] if sketched else []
+                yield pa.record_batch([pa.array(shard), pa.array(block), batch.column(0).take(at), pa.array(home), *rest], ["shard", "block", "fp", "home", "sketch"][: 4 + len(rest)])
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         points, home = group["fp"].to_numpy().view(np.uint64), group["home"].to_numpy()
-        a, b = linked_forest(points[home], points[~home], radius)
+        sketches = dict(zip(points.tolist(), group["sketch"], strict=True)) if sketched else None
+        a, b = linked_forest(points[home], points[~home], radius, sketches, least)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    dealt = fps.mapInArrow(deal, "shard long, block long, fp long, home boolean")
+    dealt = fps.mapInArrow(deal, "shard long, block long, fp long, home boolean" + ", sketch binary" * sketched)
     return dealt.groupBy("shard", "block").applyInPandas(search, "a long, b long")
 
 
@@ -212,22 +262,46 @@ def near_duplicates(
     text: str = "text",
     words: int = 3,
     radius: int = 3,
+    sketch_words: int = 0,
+    similarity: float = 0.8,
     shard_rows: int = 32_768,
-    query_rows: int = 262_144,
+    query_rows: int = 131_072,
 ) -> DataFrame:
     """(doc_id, fp, component_id) of every document.
 
     Documents whose fingerprints differ in at most ``radius`` bits are linked; ``component_id`` is the
-    smallest doc_id reachable, itself included. Copies share a fingerprint and take part in the search
-    once, whatever their number. Texts without words share the fingerprint zero. Rows with a null id
-    keep it and count in no minimum (null where no other id is reachable); repeated rows are returned
-    each; other columns are not read; an empty table gives an empty result.
+    smallest doc_id reachable, itself included. With ``sketch_words`` different fingerprints are linked
+    only if their texts' shingles of so many words are alike by ``similarity`` too, as estimated by a
+    MinHash sketch less its standard deviation; a larger ``radius`` then finds all that alike.
+
+    Copies share a fingerprint and take part in the search once, whatever their number. Texts without
+    words share the fingerprint zero. Rows with a null id keep it and count in no minimum (null where no
+    other id is reachable); repeated rows are returned each; other columns are not read; an empty table
+    gives an empty result.
     """
-    hashed = cut(simhash(docs, doc_id, text, words))
-    least = cut(hashed.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    edges = _links(least.select("fp"), radius, shard_rows, query_rows)
+    hashed = cut(simhash(docs, doc_id, text, words, sketch_words=sketch_words))
+    sketch = [F.min("sketch").alias("sketch")] if sketch_words else []
+    distinct = cut(hashed.groupBy("fp").agg(F.min("doc_id").alias("least"), *sketch))
+    allowed = similarity - (similarity * (1 - similarity) / BINS) ** 0.5
+    edges = _links(distinct.drop("least"), radius, allowed, shard_rows, query_rows)
     found = components(edges)
+    least = distinct.select("fp", "least")
     known = least.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     merged = known.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = known.join(merged, "root").select("fp", "component_id")
     return hashed.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents, all columns, with one of each group of near duplicates: that of the smallest doc_id.
+
+    Of repeated rows with that id the one with the smallest text stays; rows with a null id stay.
+    """
+    found = near_duplicates(docs, doc_id, text, **options)
+    go = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__go")).distinct()
+    kept = docs.join(go, F.col(f"`{doc_id}`").cast("long") == F.col("__go"), "left_anti")
+    same = kept.groupBy(F.col(f"`{doc_id}`").cast("long").alias("__id")).agg(F.count("*").alias("__n")).where("__n > 1 AND __id IS NOT NULL").select("__id")
+    once = kept.join(same, F.col(f"`{doc_id}`").cast("long") == F.col("__id"), "left_anti")
+    several = kept.join(same, F.col(f"`{doc_id}`").cast("long") == F.col("__id"), "left_semi")
+    one = several.groupBy(F.col(f"`{doc_id}`").cast("long").alias("__id")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(F.col(f"`{text}`").isNotNull(), F.col(f"`{text}`"))).alias("__row"))
+    return once.unionByName(one.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns]))

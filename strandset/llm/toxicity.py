@@ -11,9 +11,10 @@ import re
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from strandset.llm.common import held_out
-from strandset.llm.features import WIDTH, Grams, fit_in_one_task, labelled_sample, score_texts, sigmoid
+from strandset.llm.features import WIDTH, Grams, fit_in_one_task, labelled_sample, score_column, sigmoid
 
 #: Group terms; each is swapped for the next of its row.
 IDENTITY = (
@@ -114,4 +115,5 @@ def score_toxicity(
     sample = _sample(docs, labels, label, learnable, bound)
     model = fit_in_one_task(sample, lambda y, rows: _fit(y, rows, ridge, fairness, epochs))
     w, bias = model[:-1].astype(np.float32), float(model[-1])
-    return score_texts(docs, _grams, lambda row: float(w[row].sum()) + bias)
+    score = score_column(F.col("text"), _grams, lambda row: float(w[row].sum()) + bias)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), score.alias("score"))
