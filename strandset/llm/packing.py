@@ -7,6 +7,7 @@ then find their bin by their rank among the pieces of their length.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import zlib
@@ -33,7 +34,7 @@ class _Ids:
     before a space, or with the special token's string, are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 250_000) -> None:
+    def __init__(self, path: str, most: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -50,7 +51,10 @@ class _Ids:
             return self._encode([text])[0]
         parts = text.replace(" ", "\0 ").split("\0") if "\0" not in text else re.split("(?= )", text)
         known = self.known
-        if new := list({p for p in parts if p not in known}):
+        try:
+            return b"".join(map(known.__getitem__, parts))
+        except KeyError:
+            new = list({p for p in parts if p not in known})
             ids = dict(zip(new, self._encode(new), strict=True))
             if len(known) + len(new) <= self.most:
                 known.update(ids)
@@ -59,11 +63,17 @@ class _Ids:
         return b"".join([known[p] for p in parts])
 
 
+@functools.cache
+def _ids(path: str) -> _Ids:
+    """One for each worker process, kept from task to task."""
+    return _Ids(path)
+
+
 def tokenized_pieces(docs: DataFrame, doc_id: str, text: str, tokenizer: str, capacity: int) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document, with its closing id 0."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _Ids(tokenizer)
+        encode = _ids(tokenizer)
         for batch in batches:
             out: list[list[int | None]] = [[], [], [], [], []]
             for key, s in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
