@@ -10,6 +10,7 @@ for each word, the longest passage ending there that occurs twice. Spans of ``le
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandset.llm.common import cut
+
 _B, _M = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -25,16 +28,28 @@ class Words:
     """64-bit hashes of words, kept in a bounded dictionary."""
 
     def __init__(self, most: int = 300_000) -> None:
-        self.known, self.most = {}, most
+        self.known: dict[bytes, bytes] = {}
+        self.most = most
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        words, known = _split(text), self.known
+        try:
+            return np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint64)
+        except KeyError:
+            if len(known) > self.most:
+                known.clear()
+            known.update((w, xxhash.xxh3_64_intdigest(w).to_bytes(8, "little")) for w in set(words) if w not in known)
+            return np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint64)
+
+
+def _split(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").split()
 
-    def __call__(self, text: str | None) -> tuple[list[bytes], list[int]]:
-        words, known = (text or "").encode("utf-8", "surrogatepass").split(), self.known
-        if len(known) > self.most:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        return words, [known[w] for w in words]
+
+@functools.cache
+def _words() -> Words:
+    """One for each worker process, kept from task to task."""
+    return Words()
 
 
 def _grams(h: np.ndarray, k: int) -> np.ndarray:
@@ -96,17 +111,17 @@ class Automaton:
     """A suffix automaton of several sequences with the number of places of each state's strings."""
 
     def __init__(self) -> None:
-        self.next: list[dict[int, int]] = [{}]
+        self.next: list[dict[bytes, int]] = [{}]
         self.link, self.size, self.places = [-1], [0], [0]
 
-    def _state(self, size: int, moves: dict[int, int], link: int) -> int:
+    def _state(self, size: int, moves: dict[bytes, int], link: int) -> int:
         self.next.append(moves)
         self.size.append(size)
         self.link.append(link)
         self.places.append(0)
         return len(self.size) - 1
 
-    def _split(self, p: int, c: int, q: int) -> int:
+    def _split(self, p: int, c: bytes, q: int) -> int:
         """A copy of q for the strings that reach it by way of p."""
         copy = self._state(self.size[p] + 1, dict(self.next[q]), self.link[q])
         self.link[q] = copy
@@ -115,7 +130,7 @@ class Automaton:
             p = self.link[p]
         return copy
 
-    def add(self, sequence: list[int], times: int) -> None:
+    def add(self, sequence: list[bytes], times: int) -> None:
         last, moves, size = 0, self.next, self.size
         for c in sequence:
             if c in moves[last]:
@@ -141,7 +156,7 @@ class Automaton:
         for s in sorted(range(1, len(self.size)), key=self.size.__getitem__):
             self.twice[s] = s if self.places[s] >= 2 else self.twice[self.link[s]]
 
-    def spans(self, sequence: list[int], least: int) -> list[tuple[int, int]]:
+    def spans(self, sequence: list[bytes], least: int) -> list[tuple[int, int]]:
         """Merged spans of ``sequence`` (one of the reference's) that occur twice and hold ``least`` or more."""
         out: list[tuple[int, int]] = []
         state = 0
@@ -167,12 +182,6 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return read.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(2**63))).alias("k1"), F.xxhash64("doc_id", "text").alias("k2"))
 
 
-def _batch(words: Words, strings: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    hashes = [words(s)[1] for s in strings]
-    sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
-    return np.array([x for h in hashes for x in h], np.uint64), sizes
-
-
 def dedup_substrings(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -189,57 +198,81 @@ def dedup_substrings(
     empty text; shorter texts hold no window; null ids are kept, and repeated rows repeat each other's
     windows; other columns are not read; an empty table gives an empty result.
 
-    Words are compared by 64-bit hashes. A minimizer with more than ``hot`` windows is dealt further, by
+    Minimizers are chosen by hashes of words; the automata compare the words themselves. A minimizer with more than ``hot`` windows is dealt further, by
     whole windows, so no group is unbounded; equal references are merged into one with their number
     before they are shuffled. An automaton takes whole groups up to about ``automaton_words`` words.
     """
     keyed = _keyed(docs, doc_id, text)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words = _words()
         for batch in batches:
-            h, sizes = _batch(words, batch.column("text").to_pylist())
-            doc, first, count, m, twice = superwindows(h, sizes, length)
-            at = pa.array(doc)
-            yield pa.record_batch(
-                [pa.array(m.view(np.int64)), batch.column("k1").take(at), batch.column("k2").take(at), pa.array(first.astype(np.int32)), pa.array(count), pa.array(1 + twice.astype(np.int64))],
-                ["m", "k1", "k2", "first", "windows", "n"],
-            )
-
-    found = keyed.select("text", "k1", "k2").mapInArrow(runs, "m long, k1 long, k2 long, first int, windows long, n long")
+            hashes = [words(s) for s in batch.column("text").to_pylist()]
+            sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
+            doc, first, count, m, twice = superwindows(np.concatenate([*hashes, np.zeros(0, np.uint64)]), sizes, length)
+            cuts = np.searchsorted(doc, np.arange(len(sizes) + 1))
+            packed = np.stack((first, count, 1 + twice.astype(np.int64)), axis=1).astype(np.int32)
+            rows = [(m[x:y].tobytes(), packed[x:y].tobytes()) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.record_batch([batch.column("k1"), batch.column("k2"), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["k1", "k2", "m", "places"])
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each run of the documents' packed runs."""
+        for batch in batches:
+            m = np.frombuffer(b"".join(batch.column("m").to_pylist()), np.int64)
+            places = np.frombuffer(b"".join(batch.column("places").to_pylist()), np.int32).reshape(-1, 3)
+            at = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) // 8 for x in batch.column("m").to_pylist()]))
+            yield pa.record_batch([pa.array(m), batch.column("k1").take(at), batch.column("k2").take(at), *map(pa.array, places.T.copy())], ["m", "k1", "k2", "first", "windows", "n"])
+
+    # The runs are found once; a packed row a document is small beside its text.
+    packed = cut(keyed.select("text", "k1", "k2").mapInArrow(runs, "k1 long, k2 long, m binary, places binary"))
+    found = packed.mapInArrow(single, "m long, k1 long, k2 long, first int, windows int, n int")
     again = (
         found.groupBy("m").agg(F.sum("n").alias("n"), F.sum("windows").alias("all"))
         .where("n > 1").select("m", (F.col("all") > hot).alias("hot"))
     )
-    marks = found.join(again, "m").groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "hot")).alias("marks"))
+    marks = (
+        found.select("m", "k1", "k2", "first", "windows").join(again, "m")
+        .groupBy("k1", "k2").agg(F.collect_set(F.struct("m", "first", "windows", "hot")).alias("marks"))
+    )
 
-    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, digest = Words(), xxhash.xxh3_128_digest
-        for batch in batches:
-            h, sizes = _batch(words, batch.column("text").to_pylist())
-            start = np.concatenate(([0], np.cumsum(sizes)))
-            doc, first, count, m, _ = superwindows(h, sizes, length)
-            marked = [{x["first"]: x["hot"] for x in row} for row in batch.column("marks").to_pylist()]
-            rows, at = [], []
-            for d, f, c, key in zip(doc.tolist(), first.tolist(), count.tolist(), m.view(np.int64).tolist(), strict=True):
-                if (is_hot := marked[d].get(f)) is None:
-                    continue
-                begin = start[d] + f
-                for j, n in ((j, 1) for j in range(c)) if is_hot else ((0, c),):
-                    piece = h[begin + j : begin + j + n + length - 1].tobytes()
-                    name = digest(piece)
-                    rows.append((xxhash.xxh3_64_intdigest(piece) if is_hot else key & (2**64 - 1), name, f + j, piece))
-                    at.append(d)
-            names = np.frombuffer(b"".join(r[1] for r in rows), np.int64).reshape(-1, 2)
-            where = pa.array(at, pa.int64())
-            yield pa.record_batch(
-                [pa.array(np.array([r[0] for r in rows], np.uint64).view(np.int64)), pa.array(names[:, 0]), pa.array(names[:, 1]), batch.column("k1").take(where), batch.column("k2").take(where), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.binary())],
-                ["m", "s1", "s2", "k1", "k2", "first", "words"],
-            )
+    def segments(with_words: bool):
+        """The marked runs' texts: merged with their number, or only their names and places."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            digest = xxhash.xxh3_128_digest
+            for batch in batches:
+                rows, at = [], []
+                for d, (s, marks) in enumerate(zip(batch.column("text").to_pylist(), batch.column("marks").to_pylist(), strict=True)):
+                    words = _split(s)
+                    for mark in marks:
+                        key, f, c, is_hot = mark["m"], mark["first"], mark["windows"], mark["hot"]
+                        for j, n in ((j, 1) for j in range(c)) if is_hot else ((0, c),):
+                            piece = b" ".join(words[f + j : f + j + n + length - 1])
+                            name = digest(piece)
+                            rows.append((int.from_bytes(name[:8], "little", signed=True) if is_hot else key, name, f + j, piece))
+                            at.append(d)
+                if with_words:
+                    merged: dict[tuple[int, bytes], list] = {}
+                    for key, name, _, piece in rows:
+                        merged.setdefault((key, name), [piece, 0])[1] += 1
+                    names = np.frombuffer(b"".join(name for _, name in merged), np.int64).reshape(-1, 2)
+                    rest = [pa.array([n for _, n in merged.values()], pa.int64()), pa.array([x for x, _ in merged.values()], pa.binary())]
+                    yield pa.record_batch([pa.array([key for key, _ in merged], pa.int64()), pa.array(names[:, 0]), pa.array(names[:, 1]), *rest], ["m", "s1", "s2", "times", "words"])
+                else:
+                    names = np.frombuffer(b"".join(r[1] for r in rows), np.int64).reshape(-1, 2)
+                    where = pa.array(at, pa.int64())
+                    rest = [batch.column("k1").take(where), batch.column("k2").take(where), pa.array([r[2] for r in rows], pa.int32())]
+                    yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array(names[:, 0]), pa.array(names[:, 1]), *rest], ["m", "s1", "s2", "k1", "k2", "first"])
+
+        return run
 
     marked = keyed.join(marks, ["k1", "k2"]).select("doc_id", "text", "k1", "k2", "marks")
-    placed = marked.mapInArrow(segments, _SEGMENT + ", k1 long, k2 long, first int, words binary")
-    reference = placed.groupBy("m", "s1", "s2").agg(F.count("*").alias("times"), F.first("words").alias("words"))
+    placed = marked.mapInArrow(segments(False), _SEGMENT + ", k1 long, k2 long, first int")
+    # Merged within tasks, then dealt by the minimizer alone, so that one shuffle serves sums and shards.
+    reference = (
+        marked.mapInArrow(segments(True), _SEGMENT + ", times long, words binary").repartition("m")
+        .groupBy("m", "s1", "s2").agg(F.sum("times").alias("times"), F.first("words").alias("words"))
+    )
 
     def ask(group: list[tuple], out: list[tuple]) -> None:
         automaton = Automaton()
@@ -277,7 +310,7 @@ def dedup_substrings(
                 if held and held[0][0] != m:
                     take(held, out)
                     held = []
-                held.append((m, s1, s2, times, np.frombuffer(words, np.uint64).tolist()))
+                held.append((m, s1, s2, times, words.split()))
             yield made(out)
         out = []
         if held:
@@ -286,9 +319,9 @@ def dedup_substrings(
             ask(waiting, out)
         yield made(out)
 
-    shards = reference.repartition("m").sortWithinPartitions("m", "s1", "s2")
+    shards = reference.sortWithinPartitions("m", "s1", "s2")
     spans = shards.mapInArrow(automata, _SEGMENT + ", spans binary")
-    places = placed.select("m", "s1", "s2", "k1", "k2", "first").join(spans, ["m", "s1", "s2"])
+    places = placed.join(spans, ["m", "s1", "s2"])
     removed = places.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "spans")).alias("removed"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
