@@ -10,12 +10,14 @@ from __future__ import annotations
 import functools
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,12 +28,20 @@ _UNSAFE = re.compile(r"\s ")
 _SPECIAL = "<|endoftext|>"
 
 
+def _byte_of_character() -> dict[str, int]:
+    """The bytes behind the characters in a byte-level vocabulary: printable ones stand for themselves."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
 class _Ids:
     """Token ids of texts as little-endian 32-bit bytes.
 
     A byte-level BPE of this kind never merges across a space that follows a visible character, so
     texts are cut there and the parts' ids kept in a bounded dictionary. Texts with other white space
-    before a space, or with the special token's string, are encoded whole.
+    before a space, or with the special token's string, are encoded whole by ``tokenizers``. Parts are
+    encoded with the same vocabulary by ``tiktoken``, which gives the same ids in less time.
     """
 
     def __init__(self, path: str, most: int = 600_000) -> None:
@@ -39,16 +49,23 @@ class _Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        byte = _byte_of_character()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if token != _SPECIAL}
+        self.parts = tiktoken.Encoding("parts", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _encode(self, parts: list[str]) -> list[bytes]:
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [np.array(e.ids, "<u4").tobytes() for e in encode(parts, add_special_tokens=False)]
+        encode = self.parts.encode_ordinary
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in map(encode, parts)]
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
         if _SPECIAL in text or _UNSAFE.search(text):
-            return self._encode([text])[0]
+            return self._whole(text)
         parts = text.replace(" ", "\0 ").split("\0") if "\0" not in text else re.split("(?= )", text)
         known = self.known
         try:
