@@ -1,8 +1,8 @@
 """Substring deduplication: suffix automata of reference shards.
 
 A passage of ``length`` words is repeated if its word sequence starts in two places of the corpus. All
-windows of ``length`` words are dealt by their minimizer, the least hash among their grams of half the
-length: equal windows have equal minimizers, so the places of a window meet in one shard. A shard's
+windows of ``length`` words are dealt by their minimizer, the least hash among their grams of a quarter
+of the length: equal windows have equal minimizers, so the places of a window meet in one shard. A shard's
 reference is the text around the minimizers that occur twice at least, equal texts once with their
 number. A suffix automaton of the reference, with occurrence counts, is asked for matching statistics:
 for each word, the longest passage ending there that occurs twice. Spans of ``length`` or more go.
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandset.llm.common import cut
+from strandset.llm.common import cut, slices
 
 _B, _M = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
@@ -81,7 +81,7 @@ def superwindows(h: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndar
     ``h`` holds the documents' word hashes one after another, ``sizes`` their numbers of words. Windows
     count from their document's start. ``twice`` marks a run whose minimizer occurs in two places of it.
     """
-    k = (length + 1) // 2
+    k = max(1, length // 4)  # short grams make longer runs of windows, and so fewer of them
     width = length - k + 1
     if len(h) < length:
         none = np.zeros(0, np.int64)
@@ -206,7 +206,7 @@ def dedup_substrings(
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words()
-        for batch in batches:
+        for batch in slices(batches):
             hashes = [words(s) for s in batch.column("text").to_pylist()]
             sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
             doc, first, count, m, twice = superwindows(np.concatenate([*hashes, np.zeros(0, np.uint64)]), sizes, length)
@@ -240,7 +240,7 @@ def dedup_substrings(
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digest = xxhash.xxh3_128_digest
-            for batch in batches:
+            for batch in slices(batches):
                 rows, at = [], []
                 for d, (s, marks) in enumerate(zip(batch.column("text").to_pylist(), batch.column("marks").to_pylist(), strict=True)):
                     words = _split(s)

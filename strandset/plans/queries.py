@@ -1,2 +1,150 @@
-QUERIES = {}
-ORACLES = {}
+"""The registered queries on sets of words, with their SQL.
+
+Reads are derived from the whole texts of ``documents``; every query runs over all of them.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandset.functions import kmer as K
+from strandset.operators import graph
+from strandset.operators import words as W
+from strandset.sources.reads import LETTER_BASES, LETTERS, reads_from_documents
+
+SIZE, BUCKET_BITS = 15, 14
+
+
+def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    return reads_from_documents(docs.repartition(spark.sparkContext.defaultParallelism))
+
+
+def _words(spark: SparkSession, sf_dir: str, canonical: bool = True, k: int = SIZE) -> DataFrame:
+    return W.words(W.fragments(reads(spark, sf_dir)), k, canonical)
+
+
+def _set(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return _words(spark, sf_dir).where(F.col("set_id") == name).select("kmer").distinct()
+
+
+def _distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _words(spark, sf_dir).select("kmer").distinct()
+
+
+def _scalar(column: Callable[[], F.Column], name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda s, d: _distinct(s, d).select("kmer", column().alias(name))
+
+
+_k, _bits = F.col, lambda: K.encode(F.col("kmer"))
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "set_stat": lambda s, d: W.statistics(W.cut_off(W.count_words(_words(s, d)), 2)),
+    "set_stat_by_source": lambda s, d: W.statistics(_words(s, d).distinct(), ("set_id",)),
+    "n_split_fragments": lambda s, d: W.fragments(reads(s, d)).groupBy("read_id").agg(F.count("*").alias("n_frags"), F.sum(F.length("frag")).alias("n_bases")),
+    "kmer_count_canonical_k15": lambda s, d: W.count_words(_words(s, d)),
+    "kmer_count_canonical_k23": lambda s, d: W.count_words(_words(s, d, k=23)),
+    "kmer_count_forward": lambda s, d: W.count_words(_words(s, d, canonical=False, k=9)),
+    "kmer_count_saturated": lambda s, d: W.count_words(_words(s, d, k=9)).where("cnt = 255"),
+    "count_cutoff": lambda s, d: W.cut_off(W.count_words(_words(s, d)), 4),
+    "count_dropped": lambda s, d: W.n_dropped(W.count_words(_words(s, d)), 4),
+    "count_add": lambda s, d: W.add_counts(W.count_words(_words(s, d, k=9)), W.count_words(_words(s, d, k=9).where("set_id = 'src1'"))),
+    "count_get": lambda s, d: W.lookup(W.count_words(_words(s, d).where("set_id = 'src1'")), _set(s, d, "src2")),
+    "kmer_encode": _scalar(_bits, "bits"),
+    "kmer_decode": _scalar(lambda: K.decode(_bits(), SIZE), "decoded"),
+    "kmer_last": _scalar(lambda: K.last_base(F.col("kmer")), "last_base"),
+    "kmer_revcomp": _scalar(lambda: K.reverse_complement(F.col("kmer")), "revcomp"),
+    "kmer_canonical": _scalar(lambda: K.canonical(K.reverse_complement(F.col("kmer"))), "canonical"),
+    "kmer_next": _scalar(lambda: K.following(F.col("kmer"), "C"), "next_c"),
+    "kmer_prev": _scalar(lambda: K.preceding(F.col("kmer"), "C", SIZE), "prev_c"),
+    "kmer_nexts": lambda s, d: _distinct(s, d).select("kmer", F.explode(K.successors(F.col("kmer"))).alias("next_kmer")),
+    "kmer_prevs": lambda s, d: _distinct(s, d).select("kmer", F.explode(K.predecessors(F.col("kmer"), SIZE)).alias("prev_kmer")),
+    "bucket_key": lambda s, d: _distinct(s, d).select("kmer", K.bucket(_bits(), SIZE, BUCKET_BITS).alias("bucket"), K.bucket_key(_bits(), SIZE, BUCKET_BITS).alias("key")),
+    "bucket_key_inverse": _scalar(lambda: K.from_bucket(K.bucket(_bits(), SIZE, BUCKET_BITS), K.bucket_key(_bits(), SIZE, BUCKET_BITS), SIZE, BUCKET_BITS), "bits"),
+    "sat_add": lambda s, d: W.count_words(_words(s, d, k=9)).select("kmer", K.saturating_add(F.col("cnt"), F.lit(200).cast("long")).alias("cnt")),
+    "set_union": lambda s, d: W.union(_set(s, d, "src1"), _set(s, d, "src2")),
+    "set_except": lambda s, d: W.difference(_set(s, d, "src1"), _set(s, d, "src2")),
+    "set_intersect": lambda s, d: W.intersection(_set(s, d, "src1"), _set(s, d, "src2")),
+    "set_symdiff_size": lambda s, d: W.difference_size(_set(s, d, "src1"), _set(s, d, "src2")),
+    "set_equals": lambda s, d: W.difference_size(_set(s, d, "src1"), _set(s, d, "src1")),
+    "set_find": lambda s, d: W.find(_distinct(s, d), F.col("kmer").startswith("ACG")),
+    "set_sample_buckets": lambda s, d: W.sampled(_distinct(s, d), SIZE, BUCKET_BITS),
+    "pair_weights_full": lambda s, d: W.pair_weights(_words(s, d).distinct()),
+    "pair_weights_sampled": lambda s, d: W.pair_weights(W.sampled(_words(s, d), SIZE, BUCKET_BITS).distinct()),
+    "colour_classes": lambda s, d: W.colour_classes(_words(s, d)).select(F.array_join("colour", ",").alias("colour"), "cnt"),
+    "degree_by_side": lambda s, d: graph.side_degrees(_distinct(s, d), SIZE),
+    "unitigs_canonical": lambda s, d: graph.unitigs(_distinct(s, d), SIZE),
+}
+
+_SPLIT = f"""r AS (SELECT doc_id AS read_id, source AS set_id, regexp_replace(translate(regexp_replace(text, '[^A-Za-zÀ-ɏ]', '', 'g'),
+ '{LETTERS}', '{LETTER_BASES}'), '[^ACGT]', 'N', 'g') AS seq FROM documents),
+f AS (SELECT * FROM (SELECT read_id, set_id, unnest(string_split(seq, 'N')) AS frag FROM r) WHERE length(frag) > 0)"""
+
+
+def _rc(s: str) -> str:
+    return f"translate(reverse({s}), 'ACGT', 'TGCA')"
+
+
+def _sql(body: str, k: int = SIZE, canonical: bool = True) -> str:
+    word = f"least(w, {_rc('w')})" if canonical else "w"
+    return (
+        f"WITH {_SPLIT}, p AS (SELECT set_id, frag, unnest(range(1, length(frag) - {k} + 2)) AS at FROM f WHERE length(frag) >= {k}), "
+        f"w AS (SELECT set_id, {word} AS kmer FROM (SELECT set_id, substring(frag, at, {k}) AS w FROM p)), "
+        f"d AS (SELECT DISTINCT kmer FROM w), c AS (SELECT kmer, least(count(*), 255)::BIGINT AS cnt FROM w GROUP BY kmer), "
+        f"a AS (SELECT DISTINCT kmer FROM w WHERE set_id = 'src1'), b AS (SELECT DISTINCT kmer FROM w WHERE set_id = 'src2') {body}"
+    )
+
+
+_BITS = f"list_reduce(list_transform(range(1, {SIZE + 1}), i -> (strpos('ACGT', substring(kmer, i, 1)) - 1)::BIGINT), (x, y) -> x * 4 + y)::BIGINT"
+_LOW = 2 * SIZE - BUCKET_BITS
+_SAMPLE = f"({_BITS}) // {1 << _LOW} % 50 = 7 AND ({_BITS}) // {1 << _LOW} < {50 * (2**BUCKET_BITS // 50)}"
+
+
+def _pairs(source: str) -> str:
+    return f"SELECT x.set_id AS i, y.set_id AS j, count(*)::BIGINT AS weight FROM {source} x JOIN {source} y ON x.kmer = y.kmer AND x.set_id < y.set_id GROUP BY 1, 2"
+
+
+ORACLES: dict[str, str] = {
+    "set_stat": _sql(f"SELECT count(*)::BIGINT AS size, coalesce(bit_xor({_BITS}), 0)::BIGINT AS hash FROM c WHERE cnt >= 2"),
+    "set_stat_by_source": _sql(f"SELECT set_id, count(*)::BIGINT AS size, bit_xor({_BITS})::BIGINT AS hash FROM (SELECT DISTINCT set_id, kmer FROM w) GROUP BY set_id"),
+    "n_split_fragments": _sql("SELECT read_id, count(*)::BIGINT AS n_frags, sum(length(frag))::BIGINT AS n_bases FROM f GROUP BY read_id"),
+    "kmer_count_canonical_k15": _sql("SELECT kmer, cnt FROM c"),
+    "kmer_count_canonical_k23": _sql("SELECT kmer, cnt FROM c", 23),
+    "kmer_count_forward": _sql("SELECT kmer, cnt FROM c", 9, False),
+    "kmer_count_saturated": _sql("SELECT kmer, cnt FROM c WHERE cnt = 255", 9),
+    "count_cutoff": _sql("SELECT kmer, cnt FROM c WHERE cnt >= 4"),
+    "count_dropped": _sql("SELECT count(*) FILTER (cnt < 4)::BIGINT AS n_dropped, count(*) FILTER (cnt >= 4)::BIGINT AS n_kept FROM c"),
+    "count_add": _sql("SELECT c.kmer, least(c.cnt + coalesce(o.n, 0), 255)::BIGINT AS cnt FROM c LEFT JOIN (SELECT kmer, least(count(*), 255) AS n FROM w WHERE set_id = 'src1' GROUP BY kmer) o ON c.kmer = o.kmer", 9),
+    "count_get": _sql("SELECT b.kmer, coalesce(o.n, 0)::BIGINT AS cnt FROM b LEFT JOIN (SELECT kmer, least(count(*), 255) AS n FROM w WHERE set_id = 'src1' GROUP BY kmer) o ON b.kmer = o.kmer"),
+    "kmer_encode": _sql(f"SELECT kmer, {_BITS} AS bits FROM d"),
+    "kmer_decode": _sql("SELECT kmer, kmer AS decoded FROM d"),
+    "kmer_last": _sql("SELECT kmer, right(kmer, 1) AS last_base FROM d"),
+    "kmer_revcomp": _sql(f"SELECT kmer, {_rc('kmer')} AS revcomp FROM d"),
+    "kmer_canonical": _sql("SELECT kmer, kmer AS canonical FROM d"),
+    "kmer_next": _sql("SELECT kmer, substring(kmer, 2) || 'C' AS next_c FROM d"),
+    "kmer_prev": _sql(f"SELECT kmer, 'C' || left(kmer, {SIZE - 1}) AS prev_c FROM d"),
+    "kmer_nexts": _sql("SELECT kmer, substring(kmer, 2) || unnest(['A', 'C', 'G', 'T']) AS next_kmer FROM d"),
+    "kmer_prevs": _sql(f"SELECT kmer, unnest(['A', 'C', 'G', 'T']) || left(kmer, {SIZE - 1}) AS prev_kmer FROM d"),
+    "bucket_key": _sql(f"SELECT kmer, ({_BITS}) // {1 << _LOW} AS bucket, ({_BITS}) % {1 << _LOW} AS key FROM d"),
+    "bucket_key_inverse": _sql(f"SELECT kmer, {_BITS} AS bits FROM d"),
+    "sat_add": _sql("SELECT kmer, least(cnt + 200, 255)::BIGINT AS cnt FROM c", 9),
+    "set_union": _sql("SELECT kmer FROM a UNION SELECT kmer FROM b"),
+    "set_except": _sql("SELECT kmer FROM a EXCEPT SELECT kmer FROM b"),
+    "set_intersect": _sql("SELECT kmer FROM a INTERSECT SELECT kmer FROM b"),
+    "set_symdiff_size": _sql("SELECT count(*)::BIGINT AS n_diff, count(*) = 0 AS equal FROM a FULL JOIN b ON a.kmer = b.kmer WHERE a.kmer IS NULL OR b.kmer IS NULL"),
+    "set_equals": _sql("SELECT 0::BIGINT AS n_diff, true AS equal"),
+    "set_find": _sql("SELECT kmer FROM d WHERE kmer LIKE 'ACG%'"),
+    "set_sample_buckets": _sql(f"SELECT kmer FROM d WHERE {_SAMPLE}"),
+    "pair_weights_full": _sql(f", u AS (SELECT DISTINCT set_id, kmer FROM w) {_pairs('u')}"),
+    "pair_weights_sampled": _sql(f", u AS (SELECT DISTINCT set_id, kmer FROM w WHERE {_SAMPLE}) {_pairs('u')}"),
+    "colour_classes": _sql("SELECT colour, count(*)::BIGINT AS cnt FROM (SELECT kmer, string_agg(DISTINCT set_id, ',' ORDER BY set_id) AS colour FROM w GROUP BY kmer) GROUP BY colour"),
+    "degree_by_side": _sql(
+        f", o AS (SELECT kmer AS s, kmer AS c FROM d UNION ALL SELECT {_rc('kmer')}, kmer FROM d), "
+        f"e AS (SELECT x.s AS u FROM o x JOIN o y ON right(x.s, {SIZE - 1}) = left(y.s, {SIZE - 1}) AND x.c <> y.c), "
+        "n AS (SELECT u, count(*) AS n FROM e GROUP BY u) "
+        f"SELECT d.kmer, coalesce(r.n, 0)::BIGINT AS right, coalesce(l.n, 0)::BIGINT AS left FROM d LEFT JOIN n r ON r.u = d.kmer LEFT JOIN n l ON l.u = {_rc('d.kmer')}"
+    ),
+}
