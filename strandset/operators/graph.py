@@ -1,21 +1,22 @@
-"""The de Bruijn graph of a canonical set of words: degrees, unitigs by pointer doubling."""
+"""The de Bruijn graph of a set of words: degrees, ends, unitigs by pointer doubling.
 
-from __future__ import annotations
+Inside, words are their 2-bit codes as longs. All neighbours of a word share one (k - 1)-letter overlap
+with it, and at most eight oriented words share an overlap, so links are found by one grouping on the
+overlap, without a join.
+"""
 
-import tempfile
+from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandset.functions import kmer as K
+from strandset.operators.lineage import written
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandset-checkpoint-"))
-    return df.checkpoint(eager=True)
+def _odd(k: int) -> None:
+    if k % 2 == 0:
+        raise ValueError("canonical graphs need an odd k")
 
 
 def oriented(words: DataFrame) -> DataFrame:
@@ -26,8 +27,7 @@ def oriented(words: DataFrame) -> DataFrame:
 
 def edges(words: DataFrame, k: int) -> DataFrame:
     """(u, v): oriented words that overlap by k - 1; loops and hairpins are no edges. k must be odd."""
-    if k % 2 == 0:
-        raise ValueError("canonical graphs need an odd k")
+    _odd(k)
     rows = oriented(words)
     a = rows.select(F.col("s").alias("u"), F.col("c").alias("cu"), F.right("s", F.lit(k - 1)).alias("overlap"))
     b = rows.select(F.col("s").alias("v"), F.col("c").alias("cv"), F.left("s", F.lit(k - 1)).alias("overlap"))
@@ -44,48 +44,128 @@ def side_degrees(words: DataFrame, k: int) -> DataFrame:
     )
 
 
-def unitigs(words: DataFrame, k: int) -> DataFrame:
-    """(seq): the maximal non-branching paths of a canonical set, each once, isolated cycles cut.
+def _codes(words: DataFrame, canonical: bool) -> DataFrame:
+    """(s, c): codes of the oriented words, or of the words themselves in a directed graph."""
+    s = K.encode(F.col("kmer"))
+    if not canonical:
+        return words.select(s.alias("s"), s.alias("c"))
+    both = F.array(s, K.encode(K.reverse_complement(F.col("kmer"))))
+    return words.select(F.explode(both).alias("s"), s.alias("c"))
 
-    Edges whose ends have no other edge there form paths and cycles; each path exists in two mirrored
-    forms. Pointers double each round (a checkpoint each), so there are log2 of the longest path
-    rounds; members then meet at their head. A cycle is cut at its smallest word.
-    """
-    e = edges(words, k)
-    one_out = e.groupBy("u").agg(F.count("*").alias("n"), F.first("v").alias("v")).where("n = 1").select("u", "v")
-    one_in = e.groupBy("v").agg(F.count("*").alias("n")).where("n = 1").select("v")
-    mates = one_out.join(one_in, "v", "left_semi").select(F.col("v").alias("s"), F.col("u").alias("up"))
-    state = _cut(
-        oriented(words).join(mates, "s", "left").select("s", F.coalesce("up", "s").alias("up"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("dist"), F.least("s", F.coalesce("up", "s")).alias("low"))
+
+def mates(codes: DataFrame, k: int) -> DataFrame:
+    """(s, up): s follows up, and neither has another edge on the side where they meet."""
+    suffix = F.col("s").bitwiseAND(F.lit((1 << (2 * k - 2)) - 1))
+    prefix = F.shiftright("s", 2)
+    ends = codes.select("s", "c", F.explode(F.array(F.struct(suffix.alias("o"), F.lit(True).alias("out")), F.struct(prefix.alias("o"), F.lit(False).alias("out")))).alias("e"))
+    word = F.struct("s", "c")
+    met = ends.groupBy("e.o").agg(
+        F.collect_list(F.when(F.col("e.out"), word)).alias("us"), F.collect_list(F.when(~F.col("e.out"), word)).alias("vs")
     )
-    n, rounds = state.count(), 0
-    while True:
-        rounds += 1
-        jump = state.select(F.col("s").alias("up"), F.col("up").alias("up2"), F.col("dist").alias("dist2"), F.col("low").alias("low2"))
-        state = _cut(state.join(jump, "up").select("s", F.col("up2").alias("up"), (F.col("dist") + F.col("dist2")).alias("dist"), F.least("low", "low2").alias("low")))
-        moving = state.join(state.where("dist = 0").select(F.col("s").alias("up")), "up", "left_anti")
-        left = moving.count()
-        if not left or 2**rounds > 2 * n:
-            break
-    paths = state.join(state.where("dist = 0").select(F.col("s").alias("up")), "up", "left_semi").select(F.col("up").alias("head"), "s", "dist")
-    if left:  # cycles: cut where the smallest word of the mirror with the smaller one begins, then double again
-        ring = _cut(moving.select("s", "low").join(mates, "s"))
-        own = ring.where(F.col("low") == F.least("low", K.reverse_complement(F.col("low"))))
-        ring_state = _cut(own.select("s", F.when(F.col("s") == F.col("low"), F.col("s")).otherwise(F.col("up")).alias("up"), F.when(F.col("s") == F.col("low"), 0).otherwise(1).cast("long").alias("dist")))
-        for _ in range(rounds):
-            jump = ring_state.select(F.col("s").alias("up"), F.col("up").alias("up2"), F.col("dist").alias("dist2"))
-            ring_state = _cut(ring_state.join(jump, "up").select("s", F.col("up2").alias("up"), (F.col("dist") + F.col("dist2")).alias("dist")))
-        cycles = ring_state.select(F.col("up").alias("head"), "s", "dist")
-    else:
-        cycles = None
-
-    def strings(rows: DataFrame) -> DataFrame:
-        tail = F.when(F.col("dist") == 0, F.col("s")).otherwise(F.right("s", F.lit(1)))
-        return rows.groupBy("head").agg(
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("dist", tail.alias("part")))), lambda x: x["part"]), "").alias("seq")
+
+    def others(side: Column, of: Column) -> Column:
+        return F.filter(side, lambda x: x["c"] != of["c"])
+
+    one = met.where((F.size("us") > 0) & (F.size("vs") > 0)).select("us", "vs", F.explode("us").alias("u"))
+    only = one.where(F.size(others(F.col("vs"), F.col("u"))) == 1).select("us", "u", F.element_at(others(F.col("vs"), F.col("u")), 1).alias("v"))
+    return only.where(F.size(others(F.col("us"), F.col("v"))) == 1).select(F.col("v.s").alias("s"), F.col("u.s").alias("up"))
+
+
+def terminals(words: DataFrame, k: int, canonical: bool = True) -> DataFrame:
+    """(kmer, starts, ends): whether no unitig goes on before or after each word, read as it stands."""
+    codes, linked = _codes(words, canonical), mates(_codes(words, canonical), k)
+    own = codes.where("s = c").select("s")
+    has_up = linked.select("s", F.lit(True).alias("has_up"))
+    has_down = linked.select(F.col("up").alias("s"), F.lit(True).alias("has_down"))
+    return own.join(has_up, "s", "left").join(has_down, "s", "left").select(
+        K.decode(F.col("s"), k).alias("kmer"), F.col("has_up").isNull().alias("starts"), F.col("has_down").isNull().alias("ends")
+    )
+
+
+def chains(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(s, head, dist, ring): each node's place on its path, by pointer doubling.
+
+    ``nodes`` (s, c) are linked by (s, up), at most one on each side. c names a node and its mirror image
+    alike (c = s in a directed graph). In each round only nodes that have not met their head move on, and
+    only nodes that are still pointed at are kept to be asked, so a round costs what is left. Rings are
+    cut before their smallest node; of a ring and its mirror image that with the smaller one stays.
+    """
+    start = nodes.join(links, "s", "left").select(
+        "s", F.coalesce("up", "s").alias("up"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("dist"),
+        F.col("up").isNull().alias("done"), F.least("s", F.coalesce("up", "s")).alias("low"), F.col("c").alias("least_c"),
+    )
+    now = written(start)
+    finished = [now.where("done")]
+    before = None
+    while left := now.where("NOT done").count():
+        here, ahead = now.where("NOT done").alias("a"), now.alias("b")
+        met = written(here.join(ahead, F.col("a.up") == F.col("b.s")).select(F.struct("a.*").alias("a"), F.struct("b.*").alias("b")))
+        state = met.agg(F.count_if(~F.col("b.done")), F.count_if((F.col("b.low") < F.col("a.low")) | (F.col("b.least_c") < F.col("a.least_c")))).first()
+        if before == left and not state[1]:
+            break  # nothing has met a head and no smallest node was news: rings alone are left
+        before = left
+        moved = met.select(
+            "a.s", "b.up", (F.col("a.dist") + F.col("b.dist")).alias("dist"), "b.done", F.least("a.low", "b.low").alias("low"), F.least("a.least_c", "b.least_c").alias("least_c")
         )
+        finished.append(moved.where("done"))
+        now = moved.unionByName(met.where("b.done").select("b.*"))
+    found = finished[0]
+    for more in finished[1:]:
+        found = found.unionByName(more)
+    paths = found.select("s", F.col("up").alias("head"), "dist", F.lit(False).alias("ring"))
+    if not left:
+        return paths
+    ring = written(now.where("NOT done AND low = least_c").select("s", "low"))
+    cut = ring.where("s <> low").join(links, "s").select("s", "up")
+    opened = chains(ring.select("s", F.col("s").alias("c")), cut)
+    return paths.unionByName(opened.select("s", "head", "dist", F.lit(True).alias("ring")))
+
+
+def _strings(rows: DataFrame, k: int) -> DataFrame:
+    """(seq, ring): the words of each path as one string."""
+    base = F.element_at(F.array(*[F.lit(b) for b in K.BASES]), (F.col("s").bitwiseAND(F.lit(3)) + 1).cast("int"))
+    parts = rows.groupBy("head", "ring").agg(F.array_sort(F.collect_list(F.when(F.col("dist") > 0, F.struct("dist", base.alias("base"))))).alias("parts"))
+    return parts.select(F.concat(K.decode(F.col("head"), k), F.array_join(F.transform("parts", lambda x: x["base"]), "")).alias("seq"), "ring")
 
-    linear = strings(paths)
-    first, last = F.left("seq", F.lit(k)), F.right("seq", F.lit(k))
-    one = linear.where((K.canonical(first) > K.canonical(last)) | ((F.length("seq") == k) & (F.col("seq") == K.canonical(F.col("seq"))))).select("seq")
-    return one if cycles is None else one.unionByName(strings(cycles).select("seq"))
+
+def unitigs(words: DataFrame, k: int) -> DataFrame:
+    """(seq): the maximal non-branching paths of a canonical set, each once.
+
+    Of a path's two mirror images the one stays whose first canonical word is the larger; a single word
+    stays as it is; rings are cut at their smallest word. The string of a path is one value, so a path
+    may hold as many words as a string can.
+    """
+    _odd(k)
+    codes = written(_codes(words, True))
+    strings = _strings(chains(codes, written(mates(codes, k))), k)
+    first, last = K.canonical(F.left("seq", F.lit(k))), K.canonical(F.right("seq", F.lit(k)))
+    single = (F.length("seq") == k) & (F.col("seq") == K.canonical(F.col("seq")))
+    return strings.where(F.col("ring") | (first > last) | single).select("seq")
+
+
+def unitigs_directed(words: DataFrame, k: int) -> DataFrame:
+    """(seq): the maximal non-branching paths of a set whose words are read one way."""
+    codes = written(_codes(words, False))
+    return _strings(chains(codes, written(mates(codes, k))), k).select("seq")
+
+
+def components(pairs: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(id, component): the smallest id that is reachable over pairs (x, y); lone ``nodes`` (id) are their own.
+
+    Neighbours' labels and labels of labels are taken in turn, so paths halve each round; a round is
+    written to the shared folder.
+    """
+    both = written(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).union(pairs.select("y", "x")).where("a <> b").distinct())
+    ids = both.select(F.col("a").alias("id")) if nodes is None else both.select(F.col("a").alias("id")).union(nodes.select("id"))
+    if nodes is None:
+        ids = ids.union(pairs.where("x = y").select("x"))
+    now = written(ids.distinct().select("id", F.col("id").alias("component")))
+    while True:
+        near = both.join(now, both["b"] == now["id"]).groupBy("a").agg(F.min("component").alias("least"))
+        step = now.join(near, now["id"] == near["a"], "left").select("id", F.least("component", F.coalesce("least", "component")).alias("component"), F.col("component").alias("old"))
+        step = written(step)
+        jump = step.select(F.col("id").alias("component"), F.col("component").alias("further"))
+        next_ = written(step.join(jump, "component").select("id", F.least("component", "further").alias("component"), "old"))
+        if not next_.where("component <> old").take(1):
+            return next_.select("id", "component")
+        now = next_.select("id", "component")

@@ -70,6 +70,12 @@ def difference_size(a: DataFrame, b: DataFrame) -> DataFrame:
     return once.agg(F.count("*").alias("n_diff"), (F.count("*") == 0).alias("equal"))
 
 
+def contains(words_: DataFrame, asked: DataFrame) -> DataFrame:
+    """(kmer, contained) for every asked word."""
+    held = words_.select("kmer", F.lit(True).alias("held")).distinct()
+    return asked.join(held, "kmer", "left").select("kmer", F.col("held").isNotNull().alias("contained"))
+
+
 def find(words_: DataFrame, condition: Column) -> DataFrame:
     return words_.where(condition)
 
@@ -79,10 +85,15 @@ def statistics(words_: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return words_.groupBy(*keys).agg(F.count("*").alias("size"), F.coalesce(F.bit_xor(K.encode(F.col("kmer"))), F.lit(0)).cast("long").alias("hash"))
 
 
+def in_sample(bits: Column, k: int, n_bits: int, step: int = 50, offset: int = 7) -> Column:
+    """Whether a word lies in every ``step``-th bucket: a deterministic sample of the buckets."""
+    b = K.bucket(bits, k, n_bits)
+    return (b % step == offset) & (b < step * (2**n_bits // step))
+
+
 def sampled(words_: DataFrame, k: int, n_bits: int, step: int = 50, offset: int = 7) -> DataFrame:
-    """The words of every ``step``-th bucket: a deterministic sample of the buckets (the operator's feature)."""
-    b = K.bucket(K.encode(F.col("kmer")), k, n_bits)
-    return words_.where((b % step == offset) & (b < step * (2**n_bits // step)))
+    """The words of the sampled buckets (sampling is the operator's feature)."""
+    return words_.where(in_sample(K.encode(F.col("kmer")), k, n_bits, step, offset))
 
 
 def pair_weights(words_: DataFrame) -> DataFrame:

@@ -5,15 +5,19 @@ Reads are derived from the whole texts of ``documents``; every query runs over a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandset.functions import kmer as K
-from strandset.operators import graph
+from strandset.operators import graph, multiset
+from strandset.operators import spss as P
 from strandset.operators import words as W
-from strandset.sources.reads import LETTER_BASES, LETTERS, reads_from_documents
+from strandset.operators.lineage import shared_folder, written
+from strandset.sources import store
+from strandset.sources.reads import LETTER_BASES, LETTERS, load_strings, read_fasta, reads_from_documents, write_strings
 
 SIZE, BUCKET_BITS = 15, 14
 
@@ -35,11 +39,53 @@ def _distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _words(spark, sf_dir).select("kmer").distinct()
 
 
-def _scalar(column: Callable[[], F.Column], name: str) -> Callable[[SparkSession, str], DataFrame]:
+def _scalar(column: Callable[[], Column], name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda s, d: _distinct(s, d).select("kmer", column().alias(name))
 
 
-_k, _bits = F.col, lambda: K.encode(F.col("kmer"))
+def _bits() -> Column:
+    return K.encode(F.col("kmer"))
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/query-{uuid.uuid4().hex}"
+
+
+def _graph_words(spark: SparkSession, sf_dir: str, canonical: bool = True) -> DataFrame:
+    return written(_words(spark, sf_dir, canonical).select("kmer").distinct())
+
+
+def _fasta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads written as FASTA with a header line each, then read, split and counted."""
+    path = _folder(spark)
+    lines = reads(spark, sf_dir).select(F.concat(F.lit(">"), F.col("read_id").cast("string"), F.lit("\n"), "seq").alias("value"))
+    lines.write.option("compression", "gzip").text(path)
+    return W.statistics(W.words(W.fragments(read_fasta(spark, path)), SIZE).select("kmer").distinct())
+
+
+def _spss_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A set as strings in text files, loaded and decoded."""
+    path = _folder(spark)
+    write_strings(P.spss(_graph_words(spark, sf_dir), SIZE), path, "gzip")
+    return P.words_of(load_strings(spark, path, SIZE), SIZE)
+
+
+def _multiset(spark: SparkSession, sf_dir: str) -> multiset.MultiSet:
+    return multiset.compress(_words(spark, sf_dir), SIZE, BUCKET_BITS)
+
+
+def _multiset_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and hashes of all sets, read back from a stored multi-set."""
+    path = _folder(spark)
+    store.write_multiset(_multiset(spark, sf_dir), path)
+    return W.statistics(store.read_multiset(spark, path).all_sets(), ("set_id",))
+
+
+def _shared_source_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share a word are linked to the first one that has it."""
+    by = W.words(W.fragments(reads(spark, sf_dir)), 23).select("kmer", "read_id").distinct()
+    first = by.groupBy("kmer").agg(F.min("read_id").alias("x"))
+    return by.join(first, "kmer").select("x", F.col("read_id").alias("y")).distinct()
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "set_stat": lambda s, d: W.statistics(W.cut_off(W.count_words(_words(s, d)), 2)),
@@ -76,7 +122,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pair_weights_sampled": lambda s, d: W.pair_weights(W.sampled(_words(s, d), SIZE, BUCKET_BITS).distinct()),
     "colour_classes": lambda s, d: W.colour_classes(_words(s, d)).select(F.array_join("colour", ",").alias("colour"), "cnt"),
     "degree_by_side": lambda s, d: graph.side_degrees(_distinct(s, d), SIZE),
-    "unitigs_canonical": lambda s, d: graph.unitigs(_distinct(s, d), SIZE),
+    "set_contains": lambda s, d: W.contains(_set(s, d, "src1"), _set(s, d, "src2")),
+    "terminal_ends": lambda s, d: graph.terminals(_graph_words(s, d), SIZE),
+    "terminal_ends_directed": lambda s, d: graph.terminals(_graph_words(s, d, False), SIZE, canonical=False),
+    "unitigs_canonical": lambda s, d: graph.unitigs(_graph_words(s, d), SIZE),
+    "unitigs_directed": lambda s, d: graph.unitigs_directed(_graph_words(s, d, False), SIZE),
+    "unitigs_to_set": lambda s, d: P.words_of(graph.unitigs(_graph_words(s, d), SIZE), SIZE),
+    "unitig_stats": lambda s, d: P.string_stats(graph.unitigs(_graph_words(s, d), SIZE), SIZE),
+    "unitig_overlap_edges": lambda s, d: P.unitig_edges(graph.unitigs(_graph_words(s, d), SIZE), SIZE),
+    "spss_canonical": lambda s, d: P.spss(_graph_words(s, d), SIZE),
+    "spss_canonical_shuffled": lambda s, d: P.spss(_graph_words(s, d), SIZE, shuffled=True),
+    "spss_directed": lambda s, d: P.spss(_graph_words(s, d, False), SIZE, canonical=False),
+    "spss_directed_to_set": lambda s, d: P.words_of(P.spss(_graph_words(s, d, False), SIZE, canonical=False), SIZE, canonical=False),
+    "spss_weight": lambda s, d: P.string_stats(P.spss(_graph_words(s, d), SIZE), SIZE),
+    "spss_load_roundtrip": _spss_roundtrip,
+    "fasta_roundtrip": _fasta_roundtrip,
+    "components": lambda s, d: graph.components(_shared_source_pairs(s, d), reads(s, d).select(F.col("read_id").alias("id"))),
+    "multiset_node_sizes": lambda s, d: _multiset(s, d).nodes.groupBy("node_id").agg(F.count("*").alias("size")),
+    "multiset_reachable": lambda s, d: _multiset(s, d).reachable(),
+    "multiset_get": lambda s, d: _multiset(s, d).get("src1"),
+    "multiset_all_sets": _multiset_stored,
+    "dot_lines": lambda s, d: store.dot_lines(_multiset(s, d).edges),
+    "adjacency_text": lambda s, d: store.adjacency_text(_multiset(s, d).edges),
 }
 
 _SPLIT = f"""r AS (SELECT doc_id AS read_id, source AS set_id, regexp_replace(translate(regexp_replace(text, '[^A-Za-zÀ-ɏ]', '', 'g'),
@@ -91,14 +158,14 @@ def _rc(s: str) -> str:
 def _sql(body: str, k: int = SIZE, canonical: bool = True) -> str:
     word = f"least(w, {_rc('w')})" if canonical else "w"
     return (
-        f"WITH {_SPLIT}, p AS (SELECT set_id, frag, unnest(range(1, length(frag) - {k} + 2)) AS at FROM f WHERE length(frag) >= {k}), "
-        f"w AS (SELECT set_id, {word} AS kmer FROM (SELECT set_id, substring(frag, at, {k}) AS w FROM p)), "
+        f"WITH {_SPLIT}, p AS (SELECT set_id, frag, unnest(range(1, length(frag) - {k} + 2)) AS pos FROM f WHERE length(frag) >= {k}), "
+        f"w AS (SELECT set_id, {word} AS kmer FROM (SELECT set_id, substring(frag, pos, {k}) AS w FROM p)), "
         f"d AS (SELECT DISTINCT kmer FROM w), c AS (SELECT kmer, least(count(*), 255)::BIGINT AS cnt FROM w GROUP BY kmer), "
         f"a AS (SELECT DISTINCT kmer FROM w WHERE set_id = 'src1'), b AS (SELECT DISTINCT kmer FROM w WHERE set_id = 'src2') {body}"
     )
 
 
-_BITS = f"list_reduce(list_transform(range(1, {SIZE + 1}), i -> (strpos('ACGT', substring(kmer, i, 1)) - 1)::BIGINT), (x, y) -> x * 4 + y)::BIGINT"
+_BITS = "(" + " + ".join(f"(strpos('ACGT', substring(kmer, {i + 1}, 1)) - 1) * {4 ** (SIZE - 1 - i)}" for i in range(SIZE)) + ")::BIGINT"
 _LOW = 2 * SIZE - BUCKET_BITS
 _SAMPLE = f"({_BITS}) // {1 << _LOW} % 50 = 7 AND ({_BITS}) // {1 << _LOW} < {50 * (2**BUCKET_BITS // 50)}"
 
@@ -107,6 +174,15 @@ def _pairs(source: str) -> str:
     return f"SELECT x.set_id AS i, y.set_id AS j, count(*)::BIGINT AS weight FROM {source} x JOIN {source} y ON x.kmer = y.kmer AND x.set_id < y.set_id GROUP BY 1, 2"
 
 
+_TERMINALS = (
+    ", o AS ({oriented}), "
+    f"e AS (SELECT x.s AS u, y.s AS v FROM o x JOIN o y ON right(x.s, {SIZE - 1}) = left(y.s, {SIZE - 1}) AND x.c <> y.c), "
+    "one_out AS (SELECT u, any_value(v) AS v FROM e GROUP BY u HAVING count(*) = 1), "
+    "one_in AS (SELECT v FROM e GROUP BY v HAVING count(*) = 1), "
+    "m AS (SELECT u, v FROM one_out WHERE v IN (SELECT v FROM one_in)) "
+    "SELECT kmer, kmer NOT IN (SELECT v FROM m) AS starts, kmer NOT IN (SELECT u FROM m) AS ends FROM d"
+)
+
 ORACLES: dict[str, str] = {
     "set_stat": _sql(f"SELECT count(*)::BIGINT AS size, coalesce(bit_xor({_BITS}), 0)::BIGINT AS hash FROM c WHERE cnt >= 2"),
     "set_stat_by_source": _sql(f"SELECT set_id, count(*)::BIGINT AS size, bit_xor({_BITS})::BIGINT AS hash FROM (SELECT DISTINCT set_id, kmer FROM w) GROUP BY set_id"),
@@ -141,6 +217,15 @@ ORACLES: dict[str, str] = {
     "pair_weights_full": _sql(f", u AS (SELECT DISTINCT set_id, kmer FROM w) {_pairs('u')}"),
     "pair_weights_sampled": _sql(f", u AS (SELECT DISTINCT set_id, kmer FROM w WHERE {_SAMPLE}) {_pairs('u')}"),
     "colour_classes": _sql("SELECT colour, count(*)::BIGINT AS cnt FROM (SELECT kmer, string_agg(DISTINCT set_id, ',' ORDER BY set_id) AS colour FROM w GROUP BY kmer) GROUP BY colour"),
+    "set_contains": _sql("SELECT kmer, kmer IN (SELECT kmer FROM a) AS contained FROM b"),
+    "fasta_roundtrip": _sql(f"SELECT count(*)::BIGINT AS size, bit_xor({_BITS})::BIGINT AS hash FROM d"),
+    "unitigs_to_set": _sql("SELECT kmer FROM d"),
+    "spss_load_roundtrip": _sql("SELECT kmer FROM d"),
+    "spss_directed_to_set": _sql("SELECT kmer FROM d", canonical=False),
+    "multiset_get": _sql("SELECT kmer FROM a"),
+    "multiset_all_sets": _sql(f"SELECT set_id, count(*)::BIGINT AS size, bit_xor({_BITS})::BIGINT AS hash FROM (SELECT DISTINCT set_id, kmer FROM w) GROUP BY set_id"),
+    "terminal_ends": _sql(_TERMINALS.format(oriented=f"SELECT kmer AS s, kmer AS c FROM d UNION ALL SELECT {_rc('kmer')}, kmer FROM d")),
+    "terminal_ends_directed": _sql(_TERMINALS.format(oriented="SELECT kmer AS s, kmer AS c FROM d"), canonical=False),
     "degree_by_side": _sql(
         f", o AS (SELECT kmer AS s, kmer AS c FROM d UNION ALL SELECT {_rc('kmer')}, kmer FROM d), "
         f"e AS (SELECT x.s AS u FROM o x JOIN o y ON right(x.s, {SIZE - 1}) = left(y.s, {SIZE - 1}) AND x.c <> y.c), "
