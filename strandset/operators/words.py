@@ -88,7 +88,7 @@ def statistics(words_: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 def in_sample(bits: Column, k: int, n_bits: int, step: int = 50, offset: int = 7) -> Column:
     """Whether a word lies in every ``step``-th bucket: a deterministic sample of the buckets."""
     b = K.bucket(bits, k, n_bits)
-    return (b % step == offset) & (b < step * (2**n_bits // step))
+    return (b % step == offset % step) & (b < step * (2**n_bits // step))
 
 
 def sampled(words_: DataFrame, k: int, n_bits: int, step: int = 50, offset: int = 7) -> DataFrame:

@@ -89,7 +89,7 @@ def _shared_source_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "set_stat": lambda s, d: W.statistics(W.cut_off(W.count_words(_words(s, d)), 2)),
-    "set_stat_by_source": lambda s, d: W.statistics(_words(s, d).distinct(), ("set_id",)),
+    "set_stat_by_source": lambda s, d: W.statistics(_words(s, d).select("set_id", "kmer").distinct(), ("set_id",)),
     "n_split_fragments": lambda s, d: W.fragments(reads(s, d)).groupBy("read_id").agg(F.count("*").alias("n_frags"), F.sum(F.length("frag")).alias("n_bases")),
     "kmer_count_canonical_k15": lambda s, d: W.count_words(_words(s, d)),
     "kmer_count_canonical_k23": lambda s, d: W.count_words(_words(s, d, k=23)),
