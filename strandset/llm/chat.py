@@ -219,3 +219,17 @@ def digests(formatted: DataFrame) -> DataFrame:
             yield batch_of([row()])
 
     return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+#: The registered query in DuckDB's SQL. A turn has eight characters beside its role and text,
+#: and each ``<`` and ``[`` one more.
+ORACLE = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(8 + length(role) + length(text) + 2 * length(role || text) - length(replace(role || text, '<', '')) - length(replace(role || text, '[', '')))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""

@@ -86,4 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {"op7_line_dedup": lines.ORACLE}
+ORACLES: dict[str, str] = {
+    "op3_exact_top_k": topk.ORACLE,
+    "op5_chat_formatting": chat.ORACLE,
+    "op7_line_dedup": lines.ORACLE,
+    "op10_substring_dedup": substrings.ORACLE,
+}

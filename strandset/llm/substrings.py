@@ -343,3 +343,19 @@ def dedup_substrings(
 
     last = keyed.join(removed, ["k1", "k2"], "left").select("doc_id", "text", "k1", "k2", "removed")
     return last.mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept string")
+
+
+#: The registered query in DuckDB's SQL, by the windows' texts themselves.
+ORACLE = """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+w AS (SELECT doc_id, pos, array_to_string(ws[pos:pos + 34], ' ') AS win
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS pos FROM d WHERE len(ws) >= 35)),
+r AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY win) AS n FROM w),
+e AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS pos, unnest(ws) AS word FROM d),
+c AS (SELECT e.doc_id, e.pos, e.word, e.pos - last_value(CASE WHEN r.n > 1 THEN r.pos END IGNORE NULLS)
+             OVER (PARTITION BY e.doc_id ORDER BY e.pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS back
+      FROM e LEFT JOIN r ON e.doc_id = r.doc_id AND e.pos = r.pos),
+k AS (SELECT doc_id, count(*) FILTER (back < 35) AS n_removed, string_agg(CASE WHEN back IS NULL OR back >= 35 THEN word END, ' ' ORDER BY pos) AS kept FROM c GROUP BY doc_id)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
