@@ -24,7 +24,10 @@ SIZE, BUCKET_BITS = 15, 14
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return reads_from_documents(docs.repartition(spark.sparkContext.defaultParallelism))
+    cores = spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:  # one small file is one task; a large table is split by its scan
+        docs = docs.repartition(cores)
+    return reads_from_documents(docs)
 
 
 def _words(spark: SparkSession, sf_dir: str, canonical: bool = True, k: int = SIZE) -> DataFrame:

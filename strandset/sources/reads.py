@@ -27,7 +27,7 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     An odd number of lines, a header without ``>`` and a sequence with other characters than A, C, G, T,
     N raise InvalidInput. An empty file has no reads.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "\n$", "").alias("value"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"\n\z", "").alias("value"))
     lines = whole.where("value <> ''").select("file", F.posexplode(F.split("value", "\n", -1)).alias("pos", "line"))
     odd = lines.groupBy("file").agg((F.count("*") % 2).alias("odd")).where("odd = 1")
     header = (F.col("pos") % 2 == 0) & ~F.col("line").startswith(">")
