@@ -202,6 +202,23 @@ def test_op8_links_by_similarity_are_brute_force(spark, shard_rows):
     assert {x["doc_id"]: x["component_id"] for x in got} == group and len(got) == len(rows)
 
 
+def test_op8_a_key_of_many_unlike_texts_loses_no_link(spark):
+    """Three groups share one band's key only, and so do the texts of a group."""
+    r = np.random.default_rng(7)
+    rows, group = [], {}
+    for g in range(3):
+        base = r.integers(1, 256, 128).astype(np.uint8)
+        base[:6] = 9
+        for j in range(30):
+            own = base.copy()
+            own[6:126:6] = 1 + 30 * g + j
+            rows.append((30 * g + j, 30 * g + j, bytearray(own.tobytes())))
+            group[30 * g + j] = 30 * g
+    edges = simhash._similar_links(spark.createDataFrame(rows, "node long, fp long, sketch binary"), 16, 0.765, 8)
+    found = {x["node"]: x["root"] for x in simhash.components(edges).collect()}
+    assert {n: found.get(n, n) for n in group} == group
+
+
 def test_op9_pieces_are_whole_and_gapless(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
