@@ -18,6 +18,7 @@ from strandset.llm.common import texts
 WIDTH = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHAPE = re.compile(r"[^\W\d_]+")
+_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -35,7 +36,7 @@ class Grams:
     def _word(self, word: str) -> int:
         """The word's crc32 and, above it, the crc of its shape."""
         if not self.shapes:
-            return zlib.crc32(word.strip(".,;:!?\"'()[]|").lower().encode("utf-8", "replace"))
+            return zlib.crc32(_EDGES.sub("", word).lower().encode("utf-8", "replace"))
         letters = "".join(_SHAPE.findall(word))
         case = "-" if not letters else "A" if letters.isupper() and len(letters) > 1 else "Aa" if letters[0].isupper() else "a"
         rest = _SHAPE.sub("", word)

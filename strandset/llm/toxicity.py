@@ -53,8 +53,12 @@ def _sample(docs: DataFrame, labels: DataFrame, label: str, learnable, bound: in
     return labelled_sample(docs, labels, label, learnable, bound, lambda: Pair(shapes=False, bigrams=False))
 
 
-def _fit(y: np.ndarray, rows: list[np.ndarray], ridge: float, fairness: float, epochs: int) -> np.ndarray:
-    """Weights, then the intercept, by full-batch descent with per-weight adaptive steps."""
+def _fit(y: np.ndarray, rows: list[np.ndarray], ridge: float, sparsity: float, fairness: float, epochs: int) -> np.ndarray:
+    """Weights, then the intercept, by full-batch descent with per-weight adaptive steps.
+
+    Each step shrinks weights towards zero by ``sparsity``, so that the many neutral words of a long
+    text do not outweigh a single toxic one.
+    """
     if not len(y) or y.min() == y.max():
         return np.concatenate((np.zeros(WIDTH), [0.0 if not len(y) else 5.0 if y[0] else -5.0]))
     y = (y > 0).astype(np.float64)
@@ -88,7 +92,9 @@ def _fit(y: np.ndarray, rows: list[np.ndarray], ridge: float, fairness: float, e
             change = np.bincount(pr, weights=ps * w[pc], minlength=len(pair))
             gradient += fairness / len(y) * np.bincount(pc, weights=ps * change[pr], minlength=WIDTH)
         g2, b2 = g2 + gradient**2, b2 + e.sum() ** 2
-        w = w - 0.15 * gradient / np.sqrt(g2)
+        rate = 0.15 / np.sqrt(g2)
+        w = w - rate * gradient
+        w = np.sign(w) * np.maximum(np.abs(w) - rate * sparsity, 0.0)
         bias -= 0.15 * e.sum() / np.sqrt(b2)
     return np.concatenate((w, [bias]))
 
@@ -100,6 +106,7 @@ def score_toxicity(
     learnable=lambda doc_id: ~held_out(doc_id),
     bound: int = 16_000,
     ridge: float = 1e-5,
+    sparsity: float = 3e-5,
     fairness: float = 1.0,
     epochs: int = 80,
 ) -> DataFrame:
@@ -113,7 +120,7 @@ def score_toxicity(
     labels all scores are 0.5. Other columns are not read.
     """
     sample = _sample(docs, labels, label, learnable, bound)
-    model = fit_in_one_task(sample, lambda y, rows: _fit(y, rows, ridge, fairness, epochs))
+    model = fit_in_one_task(sample, lambda y, rows: _fit(y, rows, ridge, sparsity, fairness, epochs))
     w, bias = model[:-1].astype(np.float32), float(model[-1])
     score = score_column(F.col("text"), _grams, lambda row: float(w[row].sum()) + bias)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), score.alias("score"))
