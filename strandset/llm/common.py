@@ -34,6 +34,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def row_key(doc_id: str, text: str) -> list[Column]:
+    """Two hashes k1 and k2 that name a row by its id and text; null in neither, and never null."""
+    none = [F.col(c).isNull() for c in (doc_id, text)]
+    return [F.xxhash64(F.lit(n), *none, F.col(doc_id), F.col(text)).alias(f"k{n}") for n in (1, 2)]
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the rows whose labels are never learned: crc32 of the id as text, mod 4, is 2."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))

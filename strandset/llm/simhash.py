@@ -6,8 +6,9 @@ are planned on a bounded sample and deal the distinct fingerprints into shards;
 one shard and is asked in each shard that its ball of ``radius`` can reach, so every pair is found.
 Within a shard a deeper tree is walked by whole sets of queries at a time.
 
-Links by similarity need a far wider radius, and its balls reach nearly every shard of such a tree. There
-the shards are dealt by bands of a MinHash sketch, and the trees are walked within them.
+Links by similarity need a far wider radius, and its balls reach nearly every shard of such a tree. They are
+exact set joins instead: texts that alike share one of their rarest shingles (prefix filter), and each
+candidate is confirmed by the Jaccard similarity of the shingles themselves.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandset.llm.common import cut, slices
+from strandset.llm.common import cut, row_key, slices
 
 
 def _fingerprints(strings: list[str | None], words: int, seed: int) -> np.ndarray:
@@ -44,43 +45,26 @@ def _fingerprints(strings: list[str | None], words: int, seed: int) -> np.ndarra
     return out
 
 
-def simhash(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, seed: int = 42, sketch_words: int = 0) -> DataFrame:
-    """(doc_id, fp): the 64-bit SimHash of every whole text, as a signed long.
+def simhash(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp): the 64-bit SimHash of every whole text, as a signed long; the long columns ``keep`` follow.
 
     A-Z are lower-cased; words are runs without white space; each occurrence of a shingle of ``words``
     words votes with its XXH64. Fewer words: the whole sequence is one shingle. No words, an empty or
-    a null text: zero. With ``sketch_words`` a MinHash sketch of the shingles of so many words follows.
+    a null text: zero.
     """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            strings = batch.column(1).to_pylist()
-            columns = [batch.column(0), pa.array(_fingerprints(strings, words, seed).view(np.int64))]
-            if sketch_words:
-                columns.append(pa.array(_sketches(strings, sketch_words), pa.binary()))
-            yield pa.record_batch(columns, ["doc_id", "fp", "sketch"][: len(columns)])
+            fp = pa.array(_fingerprints(batch.column(1).to_pylist(), words, seed).view(np.int64))
+            yield pa.record_batch([batch.column(0), fp, *(batch.column(c) for c in keep)], ["doc_id", "fp", *keep])
 
-    read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return read.mapInArrow(hashed, "doc_id long, fp long" + ", sketch binary" * bool(sketch_words))
+    read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *keep)
+    return read.mapInArrow(hashed, "doc_id long, fp long" + "".join(f", {c} long" for c in keep))
 
 
 BINS = 128
 
 
-def _sketches(strings: list[str | None], words: int) -> list[bytes]:
-    """One-permutation MinHash of each text's shingles: a byte for each of 128 bins, zero where it is empty."""
-    out, digest = [], xxhash.xxh64_intdigest
-    for s in strings:
-        w = s.encode("utf-8", "replace").lower().split() if s else []
-        shingles = zip(*(w[i:] for i in range(words)), strict=False) if len(w) >= words else [tuple(w)] if w else []
-        h = np.sort(np.array([digest(g, 7) for g in map(b" ".join, shingles)], np.uint64))
-        bins, first = np.unique(h >> np.uint64(57), return_index=True)
-        row = np.zeros(BINS, np.uint8)
-        row[bins.astype(np.int64)] = 1 + h[first] % np.uint64(255)
-        out.append(row.tobytes())
-    return out
-
-
 BAND_BINS = 6
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -315,6 +299,162 @@ def _similar_links(nodes: DataFrame, radius: int, least: float, shard_rows: int)
     return edges.union(asked.where("alike").select(F.col("node").alias("a"), F.col("first").alias("b"))).union(found)
 
 
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct shingles of a text as ascending 64-bit hashes; fewer words are one shingle, none the empty set."""
+    w = text.encode("utf-8", "replace").lower().split() if text else []
+    grams = zip(*(w[i:] for i in range(words)), strict=False) if len(w) >= words else [w] if w else []
+    return np.unique(np.array([xxhash.xxh64_intdigest(g, 7) for g in map(b" ".join, grams)], np.uint64))
+
+
+def _set_rows(read: DataFrame, shingle: int, words: int) -> DataFrame:
+    """(doc_id, k1, k2, fp, node, n) of (doc_id, text, k1, k2): node names the set of n shingles; fp is of ``words`` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            strings = batch.column("text").to_pylist()
+            sets = [shingle_set(s, shingle) for s in strings]
+            node = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            own = [pa.array(_fingerprints(strings, words, 42).view(np.int64)), pa.array(node), pa.array([len(x) for x in sets], pa.int64())]
+            yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "k1", "k2")), *own], ["doc_id", "k1", "k2", "fp", "node", "n"])
+
+    return read.mapInArrow(run, "doc_id long, k1 long, k2 long, fp long, node long, n long")
+
+
+def _common_shingles(read: DataFrame, words: int, total: int, sample: int = 10_000, most: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
+    """(ascending hashes, rank) of the shingles frequent in a bounded sample; they come last in the order of shingles.
+
+    Any order gives the same links. This one only keeps the groups of candidates small.
+    """
+    share = max(1, total // sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [shingle_set(s, words) for s in batch.column("text").to_pylist()]
+            yield pa.record_batch([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], ["h"])
+
+    counted = read.where(F.pmod("k2", F.lit(share)) == 0).mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("c"))
+    rows = counted.where("c > 2").orderBy(F.desc("c"), "h").limit(most).collect()
+    h = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], np.array([r["c"] for r in rows], np.int64)[order]
+
+
+def _prefixes(read: DataFrame, words: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(token, node, n, pos): of each set of n shingles so many of the rarest that a set alike shares one of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, count = common
+        for batch in slices(batches, 256):
+            token, node, size, pos, seen = [], [], [], [], set()
+            for s in batch.column("text").to_pylist():
+                x = shingle_set(s, words)
+                name = xxhash.xxh64_intdigest(x.tobytes())
+                if not len(x) or name in seen:
+                    continue
+                seen.add(name)
+                rank = np.zeros(len(x), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                    rank = np.where(known[at] == x, count[at], 0)
+                m = len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1
+                token.append(x[np.lexsort((x, rank))[:m]])
+                node.append(np.full(m, name, np.uint64))
+                size.append(np.full(m, len(x)))
+                pos.append(np.arange(m))
+            columns = [np.concatenate([np.zeros(0, np.uint64), *c]).view(np.int64) for c in (token, node)]
+            columns += [np.concatenate([np.zeros(0, np.int64), *c]) for c in (size, pos)]
+            yield pa.record_batch([pa.array(c) for c in columns], ["token", "node", "n", "pos"])
+
+    return read.mapInArrow(run, "token long, node long, n long, pos long")
+
+
+def _may_be_alike(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets of n and m shingles, whose first common one stands at i and j, can reach the similarity."""
+    need = np.ceil(least / (1 + least) * (n + m) - 1e-9)
+    return (np.minimum(n, m) >= least * np.maximum(n, m) - 1e-9) & (1 + np.minimum(n - i - 1, m - j - 1) >= need)
+
+
+def _pairs(tokens: DataFrame, least: float, block_rows: int) -> DataFrame:
+    """Distinct pairs (a, b) of nodes of different roots that share a token and may be alike.
+
+    A token of more than ``block_rows`` nodes is taken in blocks, each pair of blocks by itself.
+    """
+    blocks = F.ceil(F.col("m") / F.lit(block_rows)).cast("long")
+    own = tokens.withColumn("own", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = own.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "n", "pos")
+
+    def search(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["token", "i", "j"])
+        token, i, j, own, node, root, n, pos = (group[c].to_numpy() for c in ("token", "i", "j", "own", "node", "root", "n", "pos"))
+        start = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+        size = np.diff(np.append(start, len(token)))
+        after = np.repeat(start + size, size) - np.arange(len(token)) - 1
+        found, total = [np.zeros((0, 2), np.int64)], np.cumsum(after)
+        at = 0
+        while at < len(token):
+            last = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 20), "right")))
+            few = after[at:last]
+            x = np.repeat(np.arange(at, last), few)
+            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(few) - few, few)
+            good = (root[x] != root[y]) & ((i[x] == j[x]) | (own[x] != own[y])) & _may_be_alike(n[x], pos[x], n[y], pos[y], least)
+            a, b = node[x[good]], node[y[good]]
+            found.append(np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0))
+            at = last
+        a, b = np.unique(np.concatenate(found), axis=0).T
+        return pd.DataFrame({"a": a, "b": b})
+
+    total = tokens.agg(F.coalesce(F.sum(blocks), F.lit(0))).first()[0]
+    shard = F.pmod(F.xxhash64("token", "i", "j"), F.lit(max(1, -(-total // 65_536)))).alias("shard")
+    return dealt.select(shard, "*").groupBy("shard").applyInPandas(search, "a long, b long").distinct()
+
+
+def _confirmed(pairs: DataFrame, read: DataFrame, keys: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles are alike by ``least``, counted on the whole texts."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    whole = cut(read.join(keys.join(wanted, "node"), ["k1", "k2"]).select("node", "text").dropDuplicates(["node"]))
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+
+        def shingles(node: int, text: str) -> np.ndarray:
+            if node not in known:
+                if len(known) > 200:
+                    known.clear()
+                known[node] = shingle_set(text, words)
+            return known[node]
+
+        for batch in slices(batches, 256):
+            good = []
+            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y")), strict=True):
+                p, q = shingles(a, x), shingles(b, y)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                good.append(both >= least * (len(p) + len(q) - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    sides = pairs.join(whole.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(whole.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    return cut(sides.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long"))
+
+
+def _exact_links(read: DataFrame, hashed: DataFrame, words: int, least: float, block_rows: int) -> DataFrame:
+    """Links (a, b) that join all nodes alike by ``least``.
+
+    Each node is first compared with the smallest one at each of its tokens. Only nodes that this leaves in
+    different groups are compared pair by pair, so a dense group takes few comparisons.
+    """
+    common = _common_shingles(read, words, hashed.count())
+    rows = _prefixes(read, words, least, common).repartition("token").dropDuplicates(["token", "node"])
+    by = Window.partitionBy("token")
+    tokens = rows.select("*", F.count("*").over(by).alias("m"), F.min(F.struct("node", "n", "pos")).over(by).alias("s"))
+    tokens = cut(tokens.where("m > 1").select("token", "node", "n", "pos", "m", F.col("s.node").alias("first")))
+    keys = hashed.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k")).select("node", "k.k1", "k.k2")
+    tried = cut(tokens.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
+    edges = _confirmed(tried, read, keys, words, least)
+    rooted = tokens.drop("first").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = rooted.select("*", F.min("root").over(by).alias("low"), F.max("root").over(by).alias("high")).where("low <> high").drop("low", "high")
+    rest = cut(_pairs(cut(open_), least, block_rows).join(tried, ["a", "b"], "left_anti"))
+    return edges.union(_confirmed(rest, read, keys, words, least))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of the connected components of edges (a, b); root is the smallest node.
 
@@ -341,6 +481,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _grouped(
+    docs: DataFrame, doc_id: str, text: str, words: int, radius: int, sketch_words: int, similarity: float, shard_rows: int, query_rows: int
+) -> DataFrame:
+    """(doc_id, k1, k2, fp, root) of every row; the rows of a group have one root, (k1, k2) names a row."""
+    read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    read = read.select("*", *row_key("doc_id", "text"))
+    if sketch_words:
+        hashed = cut(_set_rows(read, sketch_words, words))
+        edges = _exact_links(read, hashed, sketch_words, similarity, min(shard_rows, 2048))
+    else:
+        hashed = cut(simhash(read, words=words, keep=("k1", "k2")).withColumn("node", F.col("fp")))
+        edges = _links(hashed.select("fp").distinct(), radius, shard_rows, query_rows)
+    return hashed.join(components(edges), "node", "left").select("doc_id", "k1", "k2", "fp", F.coalesce("root", "node").alias("root"))
+
+
 def near_duplicates(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -355,42 +510,40 @@ def near_duplicates(
     """(doc_id, fp, component_id) of every document.
 
     Documents whose fingerprints differ in at most ``radius`` bits are linked; ``component_id`` is the
-    smallest doc_id reachable, itself included. With ``sketch_words`` documents are linked only if their
-    texts' shingles of so many words are alike by ``similarity`` too, as estimated by a MinHash sketch
-    less its standard deviation. A much larger ``radius`` then finds all that alike; candidates share one
-    of 21 bands of the sketch (99.8 % of pairs do at a similarity of 0.8, more above it).
+    smallest doc_id reachable, itself included. With ``sketch_words`` the links are instead those of texts
+    whose sets of shingles of so many words have a Jaccard similarity of ``similarity`` at least: all of
+    them and no others. The fingerprints then decide nothing, and ``radius`` isn't used.
 
     Copies take part in the search once, whatever their number. Texts without words share the fingerprint
     zero. Rows with a null id keep it and count in no minimum (null where no other id is reachable);
     repeated rows are returned each; other columns are not read; an empty table gives an empty result.
     """
-    hashed = simhash(docs, doc_id, text, words, sketch_words=sketch_words)
-    if sketch_words:
-        hashed = cut(hashed.withColumn("node", F.xxhash64("fp", "sketch")))
-        nodes = cut(hashed.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch")))
-        allowed = similarity - (similarity * (1 - similarity) / BINS) ** 0.5
-        edges = _similar_links(nodes.select("node", "fp", "sketch"), radius, allowed, min(shard_rows, 2048))
-    else:
-        hashed = cut(hashed.withColumn("node", F.col("fp")))
-        nodes = cut(hashed.groupBy("node").agg(F.min("doc_id").alias("least")))
-        edges = _links(nodes.select(F.col("node").alias("fp")), radius, shard_rows, query_rows)
-    found = components(edges)
-    known = nodes.select("node", "least").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
-    merged = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_node = known.join(merged, "root").select("node", "component_id")
-    return hashed.join(by_node, "node").select("doc_id", "fp", "component_id")
+    found = cut(_grouped(docs, doc_id, text, words, radius, sketch_words, similarity, shard_rows, query_rows))
+    merged = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return found.join(merged, "root").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents, all columns, with one of each group of near duplicates: that of the smallest doc_id.
+def drop_near_duplicates(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    words: int = 3,
+    radius: int = 3,
+    sketch_words: int = 0,
+    similarity: float = 0.8,
+    shard_rows: int = 32_768,
+    query_rows: int = 131_072,
+) -> DataFrame:
+    """The documents, all columns, with one row of each group of near duplicates: that of the smallest doc_id.
 
-    Of repeated rows with that id the one with the smallest text stays; rows with a null id stay.
+    A null id comes after all others. Among rows of that id the hash of id and text decides, among rows
+    equal in both the other columns. Rows of one id with unlike texts are in different groups: each stays.
     """
-    found = near_duplicates(docs, doc_id, text, **options)
-    go = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__go")).distinct()
-    kept = docs.join(go, F.col(f"`{doc_id}`").cast("long") == F.col("__go"), "left_anti")
-    same = kept.groupBy(F.col(f"`{doc_id}`").cast("long").alias("__id")).agg(F.count("*").alias("__n")).where("__n > 1 AND __id IS NOT NULL").select("__id")
-    once = kept.join(same, F.col(f"`{doc_id}`").cast("long") == F.col("__id"), "left_anti")
-    several = kept.join(same, F.col(f"`{doc_id}`").cast("long") == F.col("__id"), "left_semi")
-    one = several.groupBy(F.col(f"`{doc_id}`").cast("long").alias("__id")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(F.col(f"`{text}`").isNotNull(), F.col(f"`{text}`"))).alias("__row"))
-    return once.unionByName(one.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns]))
+    found = _grouped(docs, doc_id, text, words, radius, sketch_words, similarity, shard_rows, query_rows)
+    rows = found.groupBy("root", "k1", "k2").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
+    stay = cut(rows.groupBy("root").agg(F.min(F.struct(F.isnull("id"), "id", "k1", "k2", "n")).alias("s")).select(*[F.col(f"s.{c}").alias(f"__{c}") for c in ("k1", "k2", "n")]))
+    keyed = docs.select(F.struct("*").alias("__row"), F.col(f"`{doc_id}`").cast("long").alias("__id"), F.col(f"`{text}`").cast("string").alias("__text"))
+    keyed = keyed.select("__row", *[k.alias(f"__k{n}") for n, k in enumerate(row_key("__id", "__text"), 1)])
+    kept = keyed.join(stay, ["__k1", "__k2"])
+    one = kept.where("__n > 1").groupBy("__k1", "__k2").agg(F.min_by("__row", F.to_json("__row")).alias("__row"))
+    return kept.where("__n = 1").select("__row").unionByName(one.select("__row")).select("__row.*")

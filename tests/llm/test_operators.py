@@ -219,6 +219,35 @@ def test_op8_a_key_of_many_unlike_texts_loses_no_link(spark):
     assert {n: found.get(n, n) for n in group} == group
 
 
+def similar(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def pairs_at_the_limit(r):
+    """Texts of 12 to 600 words, and of few shingles many times, each with a copy at 0.72 to 0.88."""
+    rows = []
+    for n in (12, 20, 40, 80, 300, 600) * 12:
+        base = prose(r, n, 5000).split()
+        own = list(base)
+        for at in r.sample(range(n), max(1, round(n * r.uniform(0.012, 0.035)))):
+            own[at] = f"edit{r.randrange(10**6)}"
+        rows += [" ".join(base), " ".join(own)]
+    for g in range(12):
+        phrase, end = prose(r, 30, 5000), prose(r, 5, 5000)
+        rows += [" ".join([phrase] * r.randrange(2, 40)), " ".join([phrase] * r.randrange(2, 40) + [end])]
+    return rows
+
+
+@pytest.mark.parametrize("shard_rows", [2048, 3])
+def test_pipeline_links_are_exact_about_the_limit(spark, shard_rows):
+    strings = pairs_at_the_limit(random.Random(21))
+    frame = docs(spark, list(enumerate(strings)), True)
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(frame, radius=16, sketch_words=5, shard_rows=shard_rows).collect()}
+    alike = [similar(strings[i], strings[i + 1]) >= 0.8 for i in range(0, len(strings), 2)]
+    assert got == {i: i - (i % 2 and alike[i // 2]) for i in range(len(strings))} and 20 < sum(alike) < 70
+
+
 def test_op9_pieces_are_whole_and_gapless(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
