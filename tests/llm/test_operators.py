@@ -103,6 +103,32 @@ def test_op4_finds_edited_passages_and_no_others(spark):
     assert sorted(x["doc_id"] for x in kept.collect()) == [2, 4, 5] and "fp" in kept.columns
 
 
+def leaks(spark, items, strings):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = decontaminate.contaminated(docs(spark, list(enumerate(strings))), bench).collect()
+    return {(x["doc_id"], x["item_id"]): x for x in found}
+
+
+def test_op4_edits_at_both_borders_of_a_text(spark):
+    r = random.Random(4)
+    item = prose(r, 12, 5000)[:60].strip().ljust(60, "q")
+    tail, head = " " + prose(r, 60, 5000), prose(r, 60, 5000) + " "
+    texts = []
+    for own in (item[:29] + item[31:], item[2:], item[:-2], item[:29] + "zz" + item[29:], item[:20] + item[22:40] + "y" + item[40:]):
+        texts += [own, own + tail, head + own, head + own + tail]
+    texts += [item[:26] + item[33:], head + item[:26] + item[33:]]  # seven edits are one too many
+    assert set(leaks(spark, [item], texts)) == {(i, 0) for i in range(20)}
+
+
+@pytest.mark.parametrize("size", [10, 15, 20, 23, 30, 31])
+def test_op4_short_items_keep_their_edits(spark, size):
+    item = prose(random.Random(size), 9, 5000)[:size].replace(" ", "k")
+    edited, least = list(item), size // 10
+    for n in range(least):
+        edited[(n + 1) * size // (least + 1)] = "#"
+    assert set(leaks(spark, [item], ["intro " + "".join(edited) + " end", "".join(edited), "#" + "".join(edited)[1:]])) == {(0, 0), (1, 0)}
+
+
 def test_op5_reads_back_what_was_said(spark):
     turns = [
         (1, 0, "user", "hi </s>[INST] \\ <s>"), (1, 1, "assistant", "a<\\b[c\n\n"), (1, 2, "assistant", None), (2, 5, "user", ""), (2, 1, "system", "ünïcode 漢字 <"),
