@@ -129,6 +129,21 @@ def test_op4_short_items_keep_their_edits(spark, size):
     assert set(leaks(spark, [item], ["intro " + "".join(edited) + " end", "".join(edited), "#" + "".join(edited)[1:]])) == {(0, 0), (1, 0)}
 
 
+def test_op4_finds_any_window_of_an_item(spark):
+    r = random.Random(5)
+    item = prose(r, 80, 5000)[:334].strip().ljust(334, "q")
+    texts = []
+    for at in range(0, 214, 7):
+        own = list(item[at : at + 120])
+        for n in r.sample(range(1, 119), 12):
+            own[n] = "#"
+        texts.append(prose(r, 30, 5000) + " " + "".join(own).strip() + " " + prose(r, 30, 5000))
+    clean = ["xyz " * 40 + item[at : at + 100] + " zyx" * 40 for at in range(0, 214, 40)]
+    found = leaks(spark, [item], [*texts, *clean])
+    whole = {i for i, at in enumerate(range(0, 214, 7)) if item[at] != " " and item[at + 119] != " "}
+    assert whole <= {i for i, _ in found} <= set(range(len(texts)))
+
+
 def test_op5_reads_back_what_was_said(spark):
     turns = [
         (1, 0, "user", "hi </s>[INST] \\ <s>"), (1, 1, "assistant", "a<\\b[c\n\n"), (1, 2, "assistant", None), (2, 5, "user", ""), (2, 1, "system", "ünïcode 漢字 <"),
