@@ -144,6 +144,25 @@ def test_op4_finds_any_window_of_an_item(spark):
     assert whole <= {i for i, _ in found} <= set(range(len(texts)))
 
 
+def test_op4_other_scripts_and_long_runs_are_exact_in_bounded_slices(spark, monkeypatch):
+    r = random.Random(6)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 900)]
+    items = ["".join(r.choice(letters) for _ in range(150)) for _ in range(300)]
+    other = ["".join(r.choice(letters) for _ in range(400)) for _ in range(64)]
+    texts = [*other, "".join(r.choice(letters) for _ in range(90)) + items[7][20:145], items[3]]
+    passages = decontaminate.Benchmark(list(enumerate(items)), 120, 0.1)
+    data, _ = decontaminate._joined(other)
+    assert not [x for p in passages.parts for part in p.candidates(data) for x in part[0]]
+    assert set(leaks(spark, items, texts)) == {(64, 7), (65, 3)}
+    runs = ["a" * 150 + "b" * 30, "c" * 80, "cd" * 90]
+    asked = ["a" * 118 + "b" * 60, "c" * 300, "e" * 500, "dc" * 70, "a" * 130]
+    bench = decontaminate.Benchmark(list(enumerate(runs)), 120, 0.1)
+    whole = sorted(decontaminate._search(bench, asked))
+    monkeypatch.setattr(decontaminate, "_ENTRIES", 500)
+    assert sorted(decontaminate._search(bench, asked)) == whole
+    assert {(x[0], x[1]) for x in whole} == {(0, 0), (1, 1), (3, 2), (4, 0)}
+
+
 def test_op5_reads_back_what_was_said(spark):
     turns = [
         (1, 0, "user", "hi </s>[INST] \\ <s>"), (1, 1, "assistant", "a<\\b[c\n\n"), (1, 2, "assistant", None), (2, 5, "user", ""), (2, 1, "system", "ünïcode 漢字 <"),
