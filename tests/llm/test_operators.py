@@ -163,6 +163,20 @@ def test_op4_other_scripts_and_long_runs_are_exact_in_bounded_slices(spark, monk
     assert {(x[0], x[1]) for x in whole} == {(0, 0), (1, 1), (3, 2), (4, 0)}
 
 
+def test_pipeline_judges_rows_and_not_ids(spark):
+    r = random.Random(7)
+    item, one, other = prose(r, 30, 5000), prose(r, 60, 5000), prose(r, 60, 5000)
+    rows = [(None, item + " " + one), (None, other), (5, item), (5, one), (6, None), (None, None), (5, one)]
+    kept = decontaminate.decontaminate(docs(spark, rows, True), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert Counter((x["doc_id"], x["text"]) for x in kept.collect()) == Counter([rows[1], rows[3], rows[4], rows[5], rows[6]])
+    near = one + " tail"
+    rows = [(None, one), (None, near), (None, other), (7, other + " end"), (7, item), (8, item), (7, item), (9, one[:200])]
+    kept = simhash.drop_near_duplicates(docs(spark, rows, True), sketch_words=5)
+    got = Counter((x["doc_id"], x["text"]) for x in kept.collect())
+    assert got - Counter([(None, one), (None, near)]) == Counter([(7, other + " end"), (7, item), (9, one[:200])]) and sum(got.values()) == 4
+    assert kept.columns == ["doc_id", "text", "k1", "fp", "m"]
+
+
 def test_op5_reads_back_what_was_said(spark):
     turns = [
         (1, 0, "user", "hi </s>[INST] \\ <s>"), (1, 1, "assistant", "a<\\b[c\n\n"), (1, 2, "assistant", None), (2, 5, "user", ""), (2, 1, "system", "ünïcode 漢字 <"),
