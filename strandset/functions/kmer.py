@@ -69,7 +69,7 @@ def saturating_add(a: Column, b: Column, most: int = 255) -> Column:
 
 def joined_path(parts: Column, k: int) -> Column:
     """Strings that overlap by k - 1 characters, as one: the first whole, the others without the overlap."""
-    return F.array_join(F.transform(parts, lambda x, i: F.when(i == 0, x).otherwise(F.substring(x, k, 1 << 20))), "")
+    return F.array_join(F.transform(parts, lambda x, i: F.when(i == 0, x).otherwise(F.substring(x, k, F.length(x)))), "")
 
 
 def n_words(seq: Column, k: int) -> Column:

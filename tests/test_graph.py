@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from model import canonical, random_words, rc, unitigs, words
+from strandset.functions import kmer
 from strandset.operators import graph, multiset
 from strandset.operators import spss as P
 from strandset.sources import store
@@ -133,3 +134,9 @@ def test_stream_counts_as_a_batch(spark, tmp_path):
     query.awaitTermination(120)
     expected = W.count_words(W.words(W.fragments(reads), 5))
     assert sorted(map(tuple, spark.table("counted").collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_a_joined_part_of_more_than_a_million_letters_stays_whole(spark):
+    parts = F.array(F.lit("ACGTA"), F.concat(F.lit("GTA"), F.repeat(F.lit("CAGT"), 300_000), F.lit("G")))
+    got = spark.range(1).select(kmer.joined_path(parts, 4).alias("s")).select(F.length("s"), F.right("s", F.lit(5))).first()
+    assert tuple(got) == (1_200_006, "CAGTG")
