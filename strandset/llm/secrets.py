@@ -46,6 +46,10 @@ _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _NUMBER = re.compile(r"[0-9+/_=-]+")
 _MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])|[a-z][A-Z].*[a-z][A-Z]")
 
+#: Whole e-mail addresses and the host names of URLs; before an address neither a password nor a token in a URL ends.
+_ADDRESS = re.compile(r"(?<![:/A-Za-z0-9._%+=-])[A-Za-z0-9._%+=-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}|(?<=://)[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9@.:-])")
+_PART = re.compile(r"[^/=_-]+")
+
 SCHEMA = "spans array<struct<kind:string,start:long,end:long>>"
 
 
@@ -63,6 +67,31 @@ def _known(s: str) -> bool:
     )
 
 
+def _opaque(run: str, vocabulary: tiktoken.Encoding, least: int, ratio: float) -> list[tuple[int, int]]:
+    """The random stretches of a run: the whole run, or else what is left between its natural parts."""
+
+    def costly(s: str) -> bool:
+        return len(s) < ratio * len(vocabulary.encode_ordinary(s))
+
+    def random(s: str) -> bool:
+        return bool(len(s) >= least and _MIXED.search(s) and not _known(s) and costly(s))
+
+    if not _MIXED.search(run) or _known(run):
+        return []
+    if costly(run):
+        return [(0, len(run))]
+    found, begin, end = [], None, 0
+    for m in [*_PART.finditer(run), None]:
+        if m and costly(m[0]):
+            begin, end = m.start() if begin is None else begin, m.end()
+        elif begin is not None:
+            # Base64 holds separators itself, so neighbouring parts count together.
+            if random(run[begin:end]) and max(map(len, _PART.findall(run[begin:end]))) >= 8:
+                found.append((begin, end))
+            begin = None
+    return found
+
+
 def _spans(strings: list[str], vocabulary: str, least: int, ratio: float) -> list[list[tuple[int, int, int]]]:
     """For each text its spans (start, kind, end) in order."""
     found: list[list[tuple[int, int, int]]] = [[] for _ in strings]
@@ -72,6 +101,7 @@ def _spans(strings: list[str], vocabulary: str, least: int, ratio: float) -> lis
             out += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(s) if len(m[2]) >= LEAST_ASSIGN]
         if b"akia" in low:
             out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(s) if len(m[0]) >= LEAST_ACCESS]
+    addresses: dict[int, list[tuple[int, int]]] = {}
     data, starts = one_byte(strings)
     for table, kind, shortest in ((_HEX, 2, LEAST_HEX), (_KEY, 3, least)):
         begin, end = runs_of(table[data])
@@ -82,13 +112,15 @@ def _spans(strings: list[str], vocabulary: str, least: int, ratio: float) -> lis
         for r, a, b in zip(row.tolist(), begin.tolist(), end.tolist(), strict=True):
             s = strings[r]
             if kind == 3:
-                part = s[a:b]
-                if not _MIXED.search(part) or _known(part) or any(x < b and a < y for x, _, y in found[r]):
-                    continue
-                if "@" in s[max(0, a - 1) : a] + s[b : b + 1] or s[max(0, a - 1) : a] == "." or s[b : b + 1] == "@":
-                    continue
-                if len(part) >= ratio * len(_vocabulary(vocabulary).encode_ordinary(part)):
+                if r not in addresses:
+                    addresses[r] = [m.span() for m in _ADDRESS.finditer(s)]
+                if any(x <= a and b <= y for x, y in addresses[r]):
                     continue
+                taken = list(found[r])
+                for x, y in _opaque(s[a:b], _vocabulary(vocabulary), least, ratio):
+                    if not any(i < a + y and a + x < j for i, _, j in taken):
+                        found[r].append((a + x, kind, a + y))
+                continue
             found[r].append((a, kind, b))
     for out in found:
         out.sort()
@@ -107,7 +139,8 @@ def scan_secrets(
 
     ``spans`` holds kind, start and end (code points, end exclusive) by start, then kind. ``opaque``
     spans are runs of ``least`` or more key-like characters with fewer than ``ratio`` characters to a
-    token of ``vocabulary`` (a tiktoken rank file) that overlap no other span. A null or empty text has
+    token of ``vocabulary`` (a tiktoken rank file) that overlap no other span; in a run with more, stretches
+    of such parts between ``/``, ``=``, ``_`` and ``-``. Whole e-mail addresses and host names of URLs hold none. A null or empty text has
     no spans; a null id, repeated rows and ties stay as they are, one result a row; other columns are
     not read; an empty table gives an empty result. One narrow pass: no shuffle.
     """

@@ -45,6 +45,17 @@ def test_op1_base_spans_are_the_patterns_and_random_strings_are_found(spark):
     assert [s[0] for s in got[3]] == ["opaque"] and not got[5] and not got[7]
 
 
+def test_op1_secrets_beside_signs_and_in_long_runs(spark):
+    key, other = "xq8ZpL2vK9tRw3YbN7mDc4Hf", "Jt5WnQ8zRk2XvB7cLp9YdG4s"
+    texts = [
+        f"postgres://user:{key}@db.example.org/main", f"https://{key}@host.example.org", f"SG.{key}.{other}", f"see {key}.{other} there",
+        f"documentation/international/organization/understanding/{key}", f"production_environment_configuration={key}-development",
+        "someone.with.longname12345678901@example.org", "documentation/international/organization2/understanding/Environment",
+    ]
+    got = {r["doc_id"]: {texts[r["doc_id"]][s["start"] : s["end"]].strip("/") for s in r["spans"]} for r in secrets.scan_secrets(docs(spark, list(enumerate(texts)))).collect()}
+    assert got == {0: {key}, 1: {key}, 2: {key, other}, 3: {key, other}, 4: {key}, 5: {key}, 6: set(), 7: set()}
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     r = random.Random(1)
