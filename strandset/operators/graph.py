@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandset.functions import kmer as K
-from strandset.operators.lineage import written
+from strandset.operators.lineage import discard, written
 
 
 def _odd(k: int) -> None:
@@ -166,6 +166,7 @@ def components(pairs: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         step = written(step)
         jump = step.select(F.col("id").alias("component"), F.col("component").alias("further"))
         next_ = written(step.join(jump, "component").select("id", F.least("component", "further").alias("component"), "old"))
+        discard(step)
         if not next_.where("component <> old").take(1):
             return next_.select("id", "component")
         now = next_.select("id", "component")

@@ -1,4 +1,4 @@
-"""Cutting the lineage of iterative jobs."""
+"""Cutting the lineage of iterative jobs: tables written in the cluster's shared folder."""
 
 from __future__ import annotations
 
@@ -9,22 +9,49 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder from ``spark.checkpoint.dir``; where none is named, a temporary one."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        named = spark.sparkContext.getCheckpointDir()
+    """The cluster's shared folder, named in ``spark.checkpoint.dir``.
+
+    Only a local session, whose tasks share one machine, may name none: it gets a temporary folder.
+    """
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named is None:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="strandset-shared-")
-        spark.sparkContext.setCheckpointDir(named)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
     return named
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/strandset-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """The same rows, written as Parquet in the shared folder and read again.
 
     Unlike a checkpoint this gives the next plan true sizes, so that adaptive joins stay right over many
     rounds, and a lost executor costs no earlier round.
     """
-    path = f"{shared_folder(df.sparkSession)}/strandset-{uuid.uuid4().hex}"
+    path = f"{_own_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of :func:`written` that nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, df.written_to)
+
+
+def remove_intermediates(spark: SparkSession) -> None:
+    """Deletes all that this application has written between steps; its results must have been read or stored."""
+    _delete(spark, _own_folder(spark))
