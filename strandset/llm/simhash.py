@@ -6,23 +6,30 @@ are planned on a bounded sample and deal the distinct fingerprints into shards;
 one shard and is asked in each shard that its ball of ``radius`` can reach, so every pair is found.
 Within a shard a deeper tree is walked by whole sets of queries at a time.
 
-Links by similarity need a far wider radius, and its balls reach nearly every shard of such a tree. They are
-exact set joins instead: texts that alike share one of their rarest shingles (prefix filter), and each
-candidate is confirmed by the Jaccard similarity of the shingles themselves.
+Balls of many shards' trees reach ever more of them. So where a fingerprint would be asked in more than
+``radius + 1`` shards, fingerprints that share one of ``radius + 1`` bands of bits meet instead (two within
+``radius`` do), each band's value a tree of its own.
+
+Links by similarity need a radius at which balls reach nearly every shard. They are exact set joins
+instead: texts that alike share one of their rarest shingles (prefix filter). The text that has the fewest
+rarer shingles before a shared one is the vantage point of all that share it; the others are compared with
+it first, and pairs only between texts that this leaves in different groups and whose counts allow it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandset.llm.common import cut, row_key, slices
+from strandset.llm.common import cut, row_key, slices, written
+
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _fingerprints(strings: list[str | None], words: int, seed: int) -> np.ndarray:
@@ -62,38 +69,6 @@ def simhash(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     return read.mapInArrow(hashed, "doc_id long, fp long" + "".join(f", {c} long" for c in keep))
 
 
-BINS = 128
-
-
-BAND_BINS = 6
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _band_keys(sketch: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band of six bins; an empty bin takes the next filled one's value and distance."""
-    twice = np.concatenate((sketch, sketch), axis=1)
-    place = np.where(twice > 0, np.arange(2 * BINS), 2 * BINS)
-    filled = np.minimum.accumulate(place[:, ::-1], axis=1)[:, ::-1][:, :BINS]
-    value = np.take_along_axis(twice, np.minimum(filled, 2 * BINS - 1), axis=1).astype(np.uint64)
-    value |= (filled - np.arange(BINS)).astype(np.uint64) << np.uint64(8)
-    bands = BINS // BAND_BINS
-    keys = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(sketch), 1))
-    for i in range(BAND_BINS):
-        keys = (keys ^ value[:, i : bands * BAND_BINS : BAND_BINS]) * _MIX
-        keys ^= keys >> np.uint64(29)
-    return keys
-
-
-def _stacked(sketches: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, BINS)
-
-
-def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity of sketches, row by row; 1 where both are empty."""
-    both, either = ((a == b) & (a > 0)).sum(axis=1), ((a > 0) | (b > 0)).sum(axis=1)
-    return np.where(either == 0, 1.0, both / np.maximum(either, 1))
-
-
 def _median_split(points: np.ndarray, vantage: np.uint64) -> tuple[int, np.ndarray]:
     d = np.bitwise_count(points ^ vantage).astype(np.int64)
     return int(np.median(d)), d
@@ -151,29 +126,14 @@ class _Forest:
             np.minimum.at(self.parent, np.maximum(ra, rb), np.minimum(ra, rb))
 
 
-def linked_forest(
-    points: np.ndarray, home: np.ndarray, queries: np.ndarray, radius: int, sketch: np.ndarray | None = None, least: float = 0.0, leaf: int = 48, at_once: int = 1 << 20
-) -> tuple[np.ndarray, np.ndarray]:
+def linked_forest(points: np.ndarray, home: np.ndarray, queries: np.ndarray, radius: int, leaf: int = 48, at_once: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """Links between queries and home points within ``radius``, as a spanning forest of positions.
 
     ``home`` and ``queries`` are positions in ``points``. A vantage-point tree over ``home`` is walked by
     all queries together. Only the forest of links is kept, so a dense group of m points gives m - 1
-    links, not all its pairs. With ``sketch`` a link needs an estimated similarity of ``least`` as well.
+    links, not all its pairs.
     """
     forest = _Forest(len(points))
-
-    def link(a: np.ndarray, b: np.ndarray) -> None:
-        if sketch is None:
-            forest.unite(a, b)
-            return
-        for part in range(0, len(a), 1 << 15):
-            x, y = a[part : part + (1 << 15)], b[part : part + (1 << 15)]
-            apart = forest.roots(x) != forest.roots(y)
-            x, y = x[apart], y[apart]
-            if len(x):
-                good = _alike(sketch[x], sketch[y]) >= least
-                forest.unite(x[good], y[good])
-
     stack = [(home, queries)]
     while stack:
         mine, asked = stack.pop()
@@ -196,7 +156,7 @@ def linked_forest(
             some = asked[part : part + step]
             q, h = np.nonzero(np.bitwise_count(points[some][:, None] ^ points[mine][None, :]) <= radius)
             differ = some[q] != mine[h]
-            link(some[q][differ], mine[h][differ])
+            forest.unite(some[q][differ], mine[h][differ])
     roots = forest.roots(np.arange(len(points)))
     linked = np.flatnonzero(roots != np.arange(len(points)))
     return linked, roots[linked]
@@ -208,8 +168,10 @@ def _links(fps: DataFrame, radius: int, shard_rows: int, query_rows: int) -> Dat
     depth = max(0, int(np.ceil(np.log2(max(1, n / shard_rows)))))
     some = fps.orderBy(F.xxhash64("fp")).limit(64 * 2 ** min(depth, 10)).collect()
     sample = np.array([r["fp"] for r in some], np.int64).view(np.uint64)
-    nodes = plan_tree(sample, depth)
-    reach = len(route(sample, nodes, depth, radius)[0]) / max(1, len(sample))
+    nodes = plan_tree(sample, min(depth, 10))
+    reach = len(route(sample, nodes, min(depth, 10), radius)[0]) / max(1, len(sample))
+    if reach > radius + 1:
+        return _band_links(fps, radius, shard_rows)
     blocks = max(1, int(np.ceil(reach * n / 2**depth / query_rows)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,204 +185,181 @@ def _links(fps: DataFrame, radius: int, shard_rows: int, query_rows: int) -> Dat
             home = np.arange(len(row)) >= len(index)
             yield pa.record_batch([pa.array(shard), pa.array(block), batch.column(0).take(pa.array(row)), pa.array(home)], ["shard", "block", "fp", "home"])
 
+    dealt = fps.mapInArrow(deal, "shard long, block long, fp long, home boolean").withColumns({"key": F.lit(0).cast("long"), "query": ~F.col("home")})
+    return dealt.groupBy("shard", "block").applyInPandas(_searched(radius), "a long, b long")
+
+
+def _searched(radius: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The search of a shard's rows (key, fp, home, query): one tree for each key."""
+
     def search(group: pd.DataFrame) -> pd.DataFrame:
-        points, at = np.unique(group["fp"].to_numpy().view(np.uint64), return_inverse=True)
-        home = group["home"].to_numpy()
-        a, b = linked_forest(points, at[home], at[~home], radius)
-        return pd.DataFrame({"a": points[a].view(np.int64), "b": points[b].view(np.int64)})
+        out = [np.zeros((2, 0), np.uint64)]
+        order = np.argsort(group["key"].to_numpy(), kind="stable")
+        key, fp, home, query = (group[c].to_numpy()[order] for c in ("key", "fp", "home", "query"))
+        for mine in np.split(np.arange(len(key)), np.flatnonzero(key[1:] != key[:-1]) + 1):
+            points, at = np.unique(fp[mine].view(np.uint64), return_inverse=True)
+            if len(points) > 1:
+                a, b = linked_forest(points, np.unique(at[home[mine]]), np.unique(at[query[mine]]), radius)
+                out.append(np.stack((points[a], points[b])))
+        a, b = np.concatenate(out, axis=1).view(np.int64)
+        return pd.DataFrame({"a": a, "b": b})
 
-    dealt = fps.mapInArrow(deal, "shard long, block long, fp long, home boolean")
-    return dealt.groupBy("shard", "block").applyInPandas(search, "a long, b long")
+    return search
 
 
-def _similar_links(nodes: DataFrame, radius: int, least: float, shard_rows: int) -> DataFrame:
-    """A spanning forest (a, b) of the alike among ``nodes`` (node, fp, sketch).
+def _band_links(fps: DataFrame, radius: int, shard_rows: int) -> DataFrame:
+    """The forest of :func:`_links` from ``radius + 1`` rows a fingerprint: two within ``radius`` share a whole band.
 
-    Nodes that share a band's key meet in a shard, each shard made of many keys. A key of more than
-    ``shard_rows`` nodes is settled by itself: its nodes are compared with its smallest one; those alike
-    are linked through it, and only the others are compared with all nodes of the key, in blocks.
+    Many values of bands share a shard; a value of more than ``shard_rows`` fingerprints is searched in
+    blocks, each pair of blocks by itself.
+    """
+    bands = radius + 1
+    width = 64 // bands
+    parts = [F.shiftrightunsigned("fp", width * i).bitwiseAND(F.lit((1 << width) - 1)) * bands + i for i in range(bands)]
+    keys = fps.select("fp", F.explode(F.array(*parts)).alias("key"))
+    counts = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    blocks = F.ceil(F.col("n") / F.lit(shard_rows)).cast("long")
+    every = F.sequence(F.lit(0).cast("long"), blocks - 1)
+    own = keys.join(counts, "key").select("key", "fp", "n", F.pmod(F.xxhash64("fp"), blocks).alias("own"), F.explode(every).alias("other"))
+    shards = max(1, -(-fps.count() * bands // shard_rows))
+    whole = blocks == 1
+    shard = F.when(whole, F.pmod(F.xxhash64("key"), F.lit(shards))).otherwise(-1 - F.col("key")).alias("shard")
+    sides = [("own", "other", F.lit(True), whole), ("other", "own", F.lit(False), F.lit(True))]
+    home, query = (own.select(shard, F.col(i).alias("i"), F.col(j).alias("j"), "key", "fp", h.alias("home"), q.alias("query"), whole.alias("whole")) for i, j, h, q in sides)
+    dealt = home.unionByName(query.where("NOT whole"))
+    return dealt.groupBy("shard", "i", "j").applyInPandas(_searched(radius), "a long, b long")
+
+
+class Shingles:
+    """The distinct shingles of a text as ascending 64-bit hashes; fewer words are one shingle, none the empty set.
+
+    A-Z are lower-cased. The dictionary of the words' hashes is bounded.
     """
 
-    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            keys = _band_keys(_stacked(batch.column("sketch").to_pylist()))
-            node = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), keys.shape[1])
-            yield pa.record_batch([pa.array(keys.ravel().view(np.int64)), pa.array(node)], ["key", "node"])
+    def __init__(self, words: int, most: int = 400_000) -> None:
+        self.words, self.most, self.known = words, most, {}
 
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        names, first, at = np.unique(group["node"].to_numpy(), return_index=True, return_inverse=True)
-        role = group["role"].to_numpy()
-        points = group["fp"].to_numpy()[first].view(np.uint64)
-        sketch = _stacked(group["sketch"].iloc[first].tolist())
-        a, b = linked_forest(points, np.unique(at[role != "query"]), np.unique(at[role != "home"]), radius, sketch, least)
-        return pd.DataFrame({"a": names[a], "b": names[b]})
-
-    def with_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp, other = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("fp", "first_fp"))
-            sketch, first = (_stacked(batch.column(c).to_pylist()) for c in ("sketch", "first_sketch"))
-            alike = (np.bitwise_count(fp ^ other) <= radius) & (_alike(sketch, first) >= least)
-            names = ["key", "n", "node", "fp", "sketch", "first"]
-            yield pa.record_batch([*(batch.column(c) for c in names), pa.array(alike)], [*names, "alike"])
-
-    keys = nodes.select("node", "sketch").mapInArrow(banded, "key long, node long")
-    counts = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    total, most = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
-    shared = keys.join(counts, "key").join(nodes, "node")
-    shard = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-total // shard_rows)))).alias("shard")
-    edges = (
-        shared.where(F.col("n") <= shard_rows).select(shard, "node", "fp", "sketch", F.lit("both").alias("role"))
-        .groupBy("shard").applyInPandas(search, "a long, b long")
-    )
-    if most <= shard_rows:
-        return edges
-
-    large = shared.where(F.col("n") > shard_rows).select("key", "n", "node", "fp", "sketch")
-    first = large.groupBy("key").agg(F.min(F.struct("node", "fp", "sketch")).alias("s")).select(
-        "key", F.col("s.node").alias("first"), F.col("s.fp").alias("first_fp"), F.col("s.sketch").alias("first_sketch")
-    )
-    asked = cut(large.join(first, "key").mapInArrow(with_first, "key long, n long, node long, fp long, sketch binary, first long, alike boolean"))
-    others = asked.where("NOT alike")
-    rest = others.groupBy("key").agg(F.count("*").alias("r"))
-
-    def blocks(rows: F.Column) -> F.Column:
-        return F.ceil(rows / F.lit(shard_rows)).cast("long")
-
-    def block_of(rows: F.Column) -> F.Column:
-        return F.pmod(F.xxhash64("node"), blocks(rows))
-
-    def every(rows: F.Column) -> F.Column:
-        return F.explode(F.sequence(F.lit(0).cast("long"), blocks(rows) - 1))
-
-    n, r = F.col("n"), F.col("r")
-    home = asked.join(rest, "key").select("key", block_of(n).alias("i"), every(r).alias("j"), "node", "fp", "sketch", F.lit("home").alias("role"))
-    query = others.join(rest, "key").select("key", every(n).alias("i"), block_of(r).alias("j"), "node", "fp", "sketch", F.lit("query").alias("role"))
-    found = home.unionByName(query).groupBy("key", "i", "j").applyInPandas(search, "a long, b long")
-    return edges.union(asked.where("alike").select(F.col("node").alias("a"), F.col("first").alias("b"))).union(found)
-
-
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """The distinct shingles of a text as ascending 64-bit hashes; fewer words are one shingle, none the empty set."""
-    w = text.encode("utf-8", "replace").lower().split() if text else []
-    grams = zip(*(w[i:] for i in range(words)), strict=False) if len(w) >= words else [w] if w else []
-    return np.unique(np.array([xxhash.xxh64_intdigest(g, 7) for g in map(b" ".join, grams)], np.uint64))
-
-
-def _set_rows(read: DataFrame, shingle: int, words: int) -> DataFrame:
-    """(doc_id, k1, k2, fp, node, n) of (doc_id, text, k1, k2): node names the set of n shingles; fp is of ``words`` words."""
+    def __call__(self, text: str | None) -> np.ndarray:
+        w, known = text.encode("utf-8", "replace").lower().split() if text else [], self.known
+        if not w:
+            return np.zeros(0, np.uint64)
+        if len(known) > self.most:
+            known.clear()
+        for x in set(w).difference(known):
+            known[x] = xxhash.xxh64_intdigest(x, 7)
+        h = np.array([known[x] for x in w], np.uint64)
+        size = min(self.words, len(h))
+        out = np.full(len(h) - size + 1, size, np.uint64)
+        for i in range(size):
+            out = (out ^ (out >> np.uint64(29))) * _MIX + h[i : i + len(out)]
+        return np.unique((out ^ (out >> np.uint64(32))) * _MIX)
+
+
+def _set_rows(read: DataFrame, shingle: int, words: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(doc_id, k1, k2, fp, node, n, tokens) of (doc_id, text, k1, k2): node names the set of n shingles.
+
+    ``tokens`` are so many of the set's rarest shingles, rarest first, that a set alike shares one of
+    them; of copies of a set within a task only the first has them. fp is of ``words`` words, or zero.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make, seen, (known, count) = Shingles(shingle), set(), common
         for batch in slices(batches):
-            strings = batch.column("text").to_pylist()
-            sets = [shingle_set(s, shingle) for s in strings]
-            node = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-            own = [pa.array(_fingerprints(strings, words, 42).view(np.int64)), pa.array(node), pa.array([len(x) for x in sets], pa.int64())]
-            yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "k1", "k2")), *own], ["doc_id", "k1", "k2", "fp", "node", "n"])
+            strings, node, size, tokens = batch.column("text").to_pylist(), [], [], []
+            for s in strings:
+                x = make(s)
+                name = xxhash.xxh64_intdigest(x.tobytes())
+                node.append(name)
+                size.append(len(x))
+                if not len(x) or name in seen:
+                    tokens.append(None)
+                    continue
+                if len(seen) > 500_000:
+                    seen.clear()
+                seen.add(name)
+                rank = np.zeros(len(x), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                    rank = np.where(known[at] == x, count[at], 0)
+                tokens.append(x[np.lexsort((x, rank))[: len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1]].view(np.int64))
+            fp = _fingerprints(strings, words, 42) if words else np.zeros(len(strings), np.uint64)
+            own = [pa.array(fp.view(np.int64)), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))]
+            yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "k1", "k2")), *own], ["doc_id", "k1", "k2", "fp", "node", "n", "tokens"])
 
-    return read.mapInArrow(run, "doc_id long, k1 long, k2 long, fp long, node long, n long")
+    return read.mapInArrow(run, "doc_id long, k1 long, k2 long, fp long, node long, n long, tokens array<long>")
 
 
-def _common_shingles(read: DataFrame, words: int, total: int, sample: int = 10_000, most: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
+def _common_shingles(read: DataFrame, words: int, sample: int = 10_000, most: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
     """(ascending hashes, rank) of the shingles frequent in a bounded sample; they come last in the order of shingles.
 
     Any order gives the same links. This one only keeps the groups of candidates small.
     """
-    share = max(1, total // sample)
+    share = max(1, read.count() // sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = [shingle_set(s, words) for s in batch.column("text").to_pylist()]
+        make = Shingles(words)
+        for batch in slices(batches, 256):
+            sets = [make(s) for s in batch.column("text").to_pylist()]
             yield pa.record_batch([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], ["h"])
 
-    counted = read.where(F.pmod("k2", F.lit(share)) == 0).mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("c"))
+    counted = read.where(F.pmod("k2", F.lit(share)) == 0).select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("c"))
     rows = counted.where("c > 2").orderBy(F.desc("c"), "h").limit(most).collect()
     h = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
     order = np.argsort(h)
     return h[order], np.array([r["c"] for r in rows], np.int64)[order]
 
 
-def _prefixes(read: DataFrame, words: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(token, node, n, pos): of each set of n shingles so many of the rarest that a set alike shares one of them."""
+def _may_be_alike(n: Column, i: Column, m: Column, j: Column, least: float) -> Column:
+    """Whether sets of n and m shingles, whose first common one stands at i and j, can reach the similarity."""
+    need = F.ceil(F.lit(least / (1 + least)) * (n + m) - 1e-9)
+    return (F.least(n, m) >= least * F.greatest(n, m) - 1e-9) & (F.least(n - i, m - j) >= need)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, count = common
-        for batch in slices(batches, 256):
-            token, node, size, pos, seen = [], [], [], [], set()
-            for s in batch.column("text").to_pylist():
-                x = shingle_set(s, words)
-                name = xxhash.xxh64_intdigest(x.tobytes())
-                if not len(x) or name in seen:
-                    continue
-                seen.add(name)
-                rank = np.zeros(len(x), np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-                    rank = np.where(known[at] == x, count[at], 0)
-                m = len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1
-                token.append(x[np.lexsort((x, rank))[:m]])
-                node.append(np.full(m, name, np.uint64))
-                size.append(np.full(m, len(x)))
-                pos.append(np.arange(m))
-            columns = [np.concatenate([np.zeros(0, np.uint64), *c]).view(np.int64) for c in (token, node)]
-            columns += [np.concatenate([np.zeros(0, np.int64), *c]) for c in (size, pos)]
-            yield pa.record_batch([pa.array(c) for c in columns], ["token", "node", "n", "pos"])
 
-    return read.mapInArrow(run, "token long, node long, n long, pos long")
+def _counts(x: np.ndarray) -> bytes:
+    """How many shingles of a set begin with each pattern of bits, a byte a pattern; about two patterns a shingle."""
+    bits = max(6, int(len(x)).bit_length() + 1)
+    return np.minimum(np.bincount((x >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
-def _may_be_alike(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
-    """Whether sets of n and m shingles, whose first common one stands at i and j, can reach the similarity."""
-    need = np.ceil(least / (1 + least) * (n + m) - 1e-9)
-    return (np.minimum(n, m) >= least * np.maximum(n, m) - 1e-9) & (1 + np.minimum(n - i - 1, m - j - 1) >= need)
+def _most_shared(x: bytes, y: bytes) -> float:
+    """No two sets with these counts share more shingles."""
+    a, b = sorted((np.frombuffer(z, np.uint8).astype(np.int64) for z in (x, y)), key=len)
+    full = a.max(initial=0) == 255 or b.max(initial=0) == 255  # counts that stopped at a byte bound nothing
+    return np.inf if full else np.minimum(a, b.reshape(len(a), -1).sum(axis=1)).sum()
 
 
-def _pairs(tokens: DataFrame, least: float, block_rows: int) -> DataFrame:
-    """Distinct pairs (a, b) of nodes of different roots that share a token and may be alike.
+def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A narrow table to be joined: broadcast if it has at most ``most`` rows, else left to a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
-    A token of more than ``block_rows`` nodes is taken in blocks, each pair of blocks by itself.
-    """
-    blocks = F.ceil(F.col("m") / F.lit(block_rows)).cast("long")
-    own = tokens.withColumn("own", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    dealt = own.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "n", "pos")
 
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["token", "i", "j"])
-        token, i, j, own, node, root, n, pos = (group[c].to_numpy() for c in ("token", "i", "j", "own", "node", "root", "n", "pos"))
-        start = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
-        size = np.diff(np.append(start, len(token)))
-        after = np.repeat(start + size, size) - np.arange(len(token)) - 1
-        found, total = [np.zeros((0, 2), np.int64)], np.cumsum(after)
-        at = 0
-        while at < len(token):
-            last = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 20), "right")))
-            few = after[at:last]
-            x = np.repeat(np.arange(at, last), few)
-            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(few) - few, few)
-            good = (root[x] != root[y]) & ((i[x] == j[x]) | (own[x] != own[y])) & _may_be_alike(n[x], pos[x], n[y], pos[y], least)
-            a, b = node[x[good]], node[y[good]]
-            found.append(np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0))
-            at = last
-        a, b = np.unique(np.concatenate(found), axis=0).T
-        return pd.DataFrame({"a": a, "b": b})
+def _confirmed(pairs: DataFrame, read: DataFrame, keys: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets of shingles are alike by ``least``, counted on the whole texts.
 
-    total = tokens.agg(F.coalesce(F.sum(blocks), F.lit(0))).first()[0]
-    shard = F.pmod(F.xxhash64("token", "i", "j"), F.lit(max(1, -(-total // 65_536)))).alias("shard")
-    return dealt.select(shard, "*").groupBy("shard").applyInPandas(search, "a long, b long").distinct()
+    Pairs (a, n, b, m) of sets of n and m shingles first meet with the sets' counts, which bound what they
+    can share; the texts are joined to the few pairs that are left.
+    """
+    wanted = written(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(keys, "node"))
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = Shingles(words)
+        for batch in slices(batches, 256):
+            yield pa.record_batch([batch.column("node"), batch.column("text"), pa.array([_counts(make(s)) for s in batch.column("text").to_pylist()], pa.binary())], ["node", "text", "counts"])
 
-def _confirmed(pairs: DataFrame, read: DataFrame, keys: DataFrame, words: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles are alike by ``least``, counted on the whole texts."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    whole = cut(read.join(keys.join(wanted, "node"), ["k1", "k2"]).select("node", "text").dropDuplicates(["node"]))
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            rows = zip(*(batch.column(c).to_pylist() for c in ("n", "m", "x", "y")), strict=True)
+            good = [_most_shared(x, y) >= least / (1 + least) * (n + m) - 1e-9 for n, m, x, y in rows]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
+        make, known = Shingles(words), {}
 
         def shingles(node: int, text: str) -> np.ndarray:
             if node not in known:
                 if len(known) > 200:
                     known.clear()
-                known[node] = shingle_set(text, words)
+                known[node] = make(text)
             return known[node]
 
         for batch in slices(batches, 256):
@@ -431,28 +370,44 @@ def _confirmed(pairs: DataFrame, read: DataFrame, keys: DataFrame, words: int, l
                 good.append(both >= least * (len(p) + len(q) - both) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    sides = pairs.join(whole.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(whole.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-    return cut(sides.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long"))
+    texts = read.join(few(wanted), ["k1", "k2"]).select("node", "text").dropDuplicates(["node"])
+    whole = written(texts.mapInArrow(counted, "node long, text string, counts binary"))
 
+    def side(name: str, column: str, to: str) -> DataFrame:
+        return whole.select(F.col("node").alias(name), F.col(column).alias(to))
 
-def _exact_links(read: DataFrame, hashed: DataFrame, words: int, least: float, block_rows: int) -> DataFrame:
+    likely = pairs.join(side("a", "counts", "x"), "a").join(side("b", "counts", "y"), "b").mapInArrow(bounded, "a long, b long")
+    asked = written(likely).join(side("a", "text", "x"), "a").join(side("b", "text", "y"), "b")
+    return written(asked.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long"))
+
+
+def _exact_links(read: DataFrame, sets: DataFrame, words: int, least: float) -> DataFrame:
     """Links (a, b) that join all nodes alike by ``least``.
 
-    Each node is first compared with the smallest one at each of its tokens. Only nodes that this leaves in
-    different groups are compared pair by pair, so a dense group takes few comparisons.
+    At each token that sets share, the one that has it first among its rarest is the vantage point, with
+    which the others are compared. Pairs of others are compared only where this leaves them in different
+    groups, and only those that can still reach the similarity from where the token stands in each.
     """
-    common = _common_shingles(read, words, hashed.count())
-    rows = _prefixes(read, words, least, common).repartition("token").dropDuplicates(["token", "node"])
-    by = Window.partitionBy("token")
-    tokens = rows.select("*", F.count("*").over(by).alias("m"), F.min(F.struct("node", "n", "pos")).over(by).alias("s"))
-    tokens = cut(tokens.where("m > 1").select("token", "node", "n", "pos", "m", F.col("s.node").alias("first")))
-    keys = hashed.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k")).select("node", "k.k1", "k.k2")
-    tried = cut(tokens.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
+    rows = sets.select("node", "n", F.posexplode("tokens").alias("pos", "token"))
+    often = rows.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1").select("token")
+    tokens = written(rows.join(often, "token"))
+    keys = sets.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k")).select("node", "k.k1", "k.k2")
+    lead = tokens.groupBy("token").agg(F.min(F.struct("pos", "n", "node")).alias("s"))
+    able = _may_be_alike(F.col("s.n"), F.col("s.pos"), F.col("n"), F.col("pos"), least)
+    tried = tokens.join(lead, "token").where((F.col("node") != F.col("s.node")) & able)
+    tried = written(tried.select(F.col("s.node").alias("a"), F.col("s.n").alias("n"), F.col("node").alias("b"), F.col("n").alias("m")).distinct())
     edges = _confirmed(tried, read, keys, words, least)
-    rooted = tokens.drop("first").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = rooted.select("*", F.min("root").over(by).alias("low"), F.max("root").over(by).alias("high")).where("low <> high").drop("low", "high")
-    rest = cut(_pairs(cut(open_), least, block_rows).join(tried, ["a", "b"], "left_anti"))
-    return edges.union(_confirmed(rest, read, keys, words, least))
+
+    rooted = written(tokens.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    spread = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("fewest")).where("low <> high")
+    reach = _may_be_alike(F.col("n"), F.col("pos"), F.least("n", F.greatest("fewest", F.ceil(F.col("n") * least - 1e-9))), F.lit(0), least)
+    open_ = written(rooted.join(spread, "token").where(reach).select("token", "node", "n", "pos", "root").dropDuplicates(["token", "node"]))
+    x, y = open_.alias("x"), open_.alias("y")
+    differ = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & differ & _may_be_alike(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), least))
+    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = met.select(F.col("x.node").alias("a"), F.col("x.n").alias("n"), F.col("y.node").alias("b"), F.col("y.n").alias("m")).distinct()
+    return edges.union(_confirmed(written(rest.join(done, ["a", "b"], "left_anti")), read, keys, words, least))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -482,18 +437,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def _grouped(
-    docs: DataFrame, doc_id: str, text: str, words: int, radius: int, sketch_words: int, similarity: float, shard_rows: int, query_rows: int
+    docs: DataFrame, doc_id: str, text: str, words: int, radius: int, sketch_words: int, similarity: float, shard_rows: int, query_rows: int, fingerprints: bool = True
 ) -> DataFrame:
     """(doc_id, k1, k2, fp, root) of every row; the rows of a group have one root, (k1, k2) names a row."""
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     read = read.select("*", *row_key("doc_id", "text"))
     if sketch_words:
-        hashed = cut(_set_rows(read, sketch_words, words))
-        edges = _exact_links(read, hashed, sketch_words, similarity, min(shard_rows, 2048))
+        common = _common_shingles(read, sketch_words)
+        hashed = written(_set_rows(read, sketch_words, words if fingerprints else 0, similarity, common))
+        edges = _exact_links(read, hashed, sketch_words, similarity)
     else:
         hashed = cut(simhash(read, words=words, keep=("k1", "k2")).withColumn("node", F.col("fp")))
         edges = _links(hashed.select("fp").distinct(), radius, shard_rows, query_rows)
-    return hashed.join(components(edges), "node", "left").select("doc_id", "k1", "k2", "fp", F.coalesce("root", "node").alias("root"))
+    return hashed.join(few(components(edges)), "node", "left").select("doc_id", "k1", "k2", "fp", F.coalesce("root", "node").alias("root"))
 
 
 def near_duplicates(
@@ -538,12 +494,18 @@ def drop_near_duplicates(
 
     A null id comes after all others. Among rows of that id the hash of id and text decides, among rows
     equal in both the other columns. Rows of one id with unlike texts are in different groups: each stays.
+    Null and empty texts, and those of white space, are one group. Whole texts are compared, of any length;
+    an empty table gives an empty result. Other columns, of any name, stay as they are.
     """
-    found = _grouped(docs, doc_id, text, words, radius, sketch_words, similarity, shard_rows, query_rows)
-    rows = found.groupBy("root", "k1", "k2").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
-    stay = cut(rows.groupBy("root").agg(F.min(F.struct(F.isnull("id"), "id", "k1", "k2", "n")).alias("s")).select(*[F.col(f"s.{c}").alias(f"__{c}") for c in ("k1", "k2", "n")]))
+    found = _grouped(docs, doc_id, text, words, radius, sketch_words, similarity, shard_rows, query_rows, False)
+    rows = written(found.groupBy("root", "k1", "k2").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.isnull("id"), "id", "k1", "k2")).alias("s")).select("root", F.col("s.k1").alias("f1"), F.col("s.k2").alias("f2"))
+    judged = rows.join(first, "root").select("k1", "k2", "n", ((F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2"))).alias("stays")).where("NOT stays OR n > 1")
+    names = [F.col(c).alias(f"__{c}") for c in ("k1", "k2", "stays")]
+    marked = written(judged.select(*names))
     keyed = docs.select(F.struct("*").alias("__row"), F.col(f"`{doc_id}`").cast("long").alias("__id"), F.col(f"`{text}`").cast("string").alias("__text"))
     keyed = keyed.select("__row", *[k.alias(f"__k{n}") for n, k in enumerate(row_key("__id", "__text"), 1)])
-    kept = keyed.join(stay, ["__k1", "__k2"])
-    one = kept.where("__n > 1").groupBy("__k1", "__k2").agg(F.min_by("__row", F.to_json("__row")).alias("__row"))
-    return kept.where("__n = 1").select("__row").unionByName(one.select("__row")).select("__row.*")
+    alone = keyed.join(few(marked.select("__k1", "__k2")), ["__k1", "__k2"], "left_anti")
+    again = keyed.join(few(marked.where("__stays").select("__k1", "__k2")), ["__k1", "__k2"])
+    one = again.groupBy("__k1", "__k2").agg(F.min_by("__row", F.to_json("__row")).alias("__row"))
+    return alone.select("__row").unionByName(one.select("__row")).select("__row.*")

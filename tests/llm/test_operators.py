@@ -287,21 +287,38 @@ def test_op8_links_by_similarity_are_brute_force(spark, shard_rows):
     assert {x["doc_id"]: x["component_id"] for x in got} == group and len(got) == len(rows)
 
 
-def test_op8_a_key_of_many_unlike_texts_loses_no_link(spark):
-    """Three groups share one band's key only, and so do the texts of a group."""
+def test_op8_bands_of_bits_find_what_shards_find(spark):
+    """The deal by shared bands, small and large ones, gives the groups of all pairs within the radius."""
     r = np.random.default_rng(7)
-    rows, group = [], {}
-    for g in range(3):
-        base = r.integers(1, 256, 128).astype(np.uint8)
-        base[:6] = 9
-        for j in range(30):
-            own = base.copy()
-            own[6:126:6] = 1 + 30 * g + j
-            rows.append((30 * g + j, 30 * g + j, bytearray(own.tobytes())))
-            group[30 * g + j] = 30 * g
-    edges = simhash._similar_links(spark.createDataFrame(rows, "node long, fp long, sketch binary"), 16, 0.765, 8)
-    found = {x["node"]: x["root"] for x in simhash.components(edges).collect()}
-    assert {n: found.get(n, n) for n in group} == group
+    fps = r.integers(0, 2**63, 40).astype(np.int64).tolist()
+    fps += [f ^ 1 << int(b) for f in fps[:30] for b in r.integers(0, 63, 2)] + [f ^ 7 << 20 for f in fps[:20]] + [3 << 16 | int(x) for x in r.integers(0, 2**16, 60)]
+    fps = sorted(set(fps))
+    group = {f: f for f in fps}
+    for _ in fps:
+        group = {f: min(group[g] for g in fps if (f ^ g).bit_count() <= 3) for f in fps}
+    for shard_rows in (8, 4096):
+        edges = simhash._band_links(spark.createDataFrame([(f,) for f in fps], "fp long"), 3, shard_rows)
+        found = {x["node"]: x["root"] for x in simhash.components(edges).collect()}
+        assert {f: found.get(f, f) for f in fps} == group
+
+
+def test_op8_vantage_points_settle_a_dense_group(spark):
+    """A base and many edited copies: links by the base, few pairs besides, and all links of brute force."""
+    r = random.Random(11)
+    base = prose(r, 150, 5000).split()
+    strings = [" ".join(base)]
+    for _ in range(120):
+        own = list(base)
+        for at in r.sample(range(150), r.randrange(1, 9)):
+            own[at] = f"edit{r.randrange(10**6)}"
+        strings.append(" ".join(own))
+    group = list(range(len(strings)))
+    linked = [(i, j) for i in group for j in range(i) if similar(strings[i], strings[j]) >= 0.8]
+    for _ in strings:
+        for i, j in linked:
+            group[i] = group[j] = min(group[i], group[j])
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(docs(spark, list(enumerate(strings))), sketch_words=5).collect()}
+    assert got == dict(enumerate(group))
 
 
 def similar(a, b):
