@@ -23,6 +23,7 @@ _Q = 8  # most characters of a q-gram; items of fewer must occur exactly
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
 _ENTRIES = 1 << 21  # shared q-grams expanded at a time
+_PIECE = 1 << 18  # characters whose q-grams are made at a time
 
 
 def normalized(text: str) -> str:
@@ -76,46 +77,57 @@ class Passages:
         order = np.argsort(grams[inside], kind="stable")
         self.owner, self.offset = owner[inside][order], (position - starts[owner])[inside][order]
         self.unique, self.gram, self.count = np.unique(grams[inside][order], return_inverse=True, return_counts=True)
+        self.first = np.cumsum(self.count) - self.count
+        # The leading bits of a q-gram name a slot: whether it is taken, and where its sorted q-grams begin.
+        lead = (self.unique >> np.uint64(64 - _BITS)).astype(np.int64)
         self.bitmap = np.zeros(1 << _BITS, bool)
-        self.bitmap[self.unique >> np.uint64(64 - _BITS)] = True
+        self.bitmap[lead] = True
+        self.slot = np.zeros(1 << _BITS, np.int32)
+        self.slot[lead[::-1]] = np.arange(len(lead))[::-1]
+        self.crowd = int(np.bincount(lead).max(initial=1))
 
     def candidates(self, data: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         """(item, lowest and highest diagonal, first and last window) of the regions that meet the bound.
 
         The parts cover one range of items each, in order; an item's regions are all in one part.
         """
-        grams = _grams(data, self.q)
-        if not len(grams):
-            return
-        hit = self.bitmap[grams >> np.uint64(64 - _BITS)]
+        found = [self._hits(data[start : start + _PIECE + self.q - 1], start) for start in range(0, len(data), _PIECE)]
+        position, at = (np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in (0, 1))
         # No stretch of the longest window's reach with fewer hits than the smallest bound can hold a region.
         reach = int((self.sizes + 2 * self.edits).max())
-        total = np.concatenate(([0], np.cumsum(hit)))
-        ends = np.minimum(np.arange(len(grams)) + reach, len(grams))
-        dense = total[ends] - total[np.arange(len(grams))] >= self.least.min()
-        if not dense.any():
-            return
-        marks = np.zeros(len(grams) + 1, np.int64)
-        starts = np.flatnonzero(dense)
+        last = np.searchsorted(position, position + reach)
+        starts = np.flatnonzero(last - np.arange(len(position)) >= self.least.min())
+        marks = np.zeros(len(position) + 1, np.int64)
         np.add.at(marks, starts, 1)
-        np.add.at(marks, ends[starts], -1)
-        position = np.flatnonzero(hit & (np.cumsum(marks[:-1]) > 0))
-        at = np.minimum(np.searchsorted(self.unique, grams[position]), len(self.unique) - 1)
-        true = self.unique[at] == grams[position]
-        position, at = position[true], at[true]
+        np.add.at(marks, last[starts], -1)
+        dense = np.cumsum(marks[:-1]) > 0
+        position, at = position[dense], at[dense]
+        if not len(position):
+            return
         if self.count[at].sum() <= _ENTRIES:
-            yield self._regions(position, at, self.gram, self.owner, self.offset)
+            yield self._regions(position, self.first[at], self.count[at], self.owner, self.offset)
             return
         # Frequent q-grams: items are taken range by range.
         each = np.bincount(self.owner, np.bincount(at, minlength=len(self.unique))[self.gram], len(self.ids))
         part = (np.cumsum(each) // _ENTRIES).astype(np.int64)
         for p in np.unique(part[each > 0]):
             mine = np.flatnonzero(part[self.owner] == p)
-            yield self._regions(position, at, self.gram[mine], self.owner[mine], self.offset[mine])
+            first, last = (np.searchsorted(self.gram[mine], at, side) for side in ("left", "right"))
+            yield self._regions(position, first, last - first, self.owner[mine], self.offset[mine])
 
-    def _regions(self, position: np.ndarray, at: np.ndarray, gram: np.ndarray, owner: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, ...]:
-        first = np.searchsorted(gram, at)
-        n = np.searchsorted(gram, at, "right") - first
+    def _hits(self, data: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+        """(position, number of the q-gram) of all q-grams of the items in a piece of the texts."""
+        grams = _grams(data, self.q)
+        lead = grams >> np.uint64(64 - _BITS)
+        position = np.flatnonzero(self.bitmap[lead])
+        asked, at = grams[position], self.slot[lead[position]].astype(np.int64)
+        for _ in range(self.crowd - 1):
+            at = np.minimum(at + (self.unique[at] < asked), len(self.unique) - 1)
+        true = self.unique[at] == asked
+        return position[true] + start, at[true]
+
+    def _regions(self, position: np.ndarray, first: np.ndarray, n: np.ndarray, owner: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The regions of positions whose q-grams have ``n`` places in the items from ``first`` on."""
         some = n > 0
         position, first, n = position[some], first[some], n[some]
         found, open_ = [np.zeros((0, 4), np.int64)], None
@@ -148,6 +160,10 @@ class Passages:
 
     def _windows(self, rows: np.ndarray) -> np.ndarray:
         """(item, band, first window, last window) of the (item, band, offset) with enough offsets in a window."""
+        item, band = rows[:, 0], rows[:, 1]
+        # Most bands hold a few chance hits: a count over hashed bands, never too small, leaves them out before the sort.
+        mixed = ((item.astype(np.uint64) << np.uint64(40)) + band.astype(np.uint64)) * _MULTIPLIER >> np.uint64(44)
+        rows = rows[np.bincount(mixed.astype(np.int64), minlength=1 << 20)[mixed.astype(np.int64)] >= self.least[item]]
         item, band, off = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))].T
         far = np.arange(len(item)) + self.least[item] - 1
         to = np.minimum(far, len(item) - 1)
@@ -290,9 +306,10 @@ def _found(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_i
     out = None
     for block in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).distinct()
-        bench = Benchmark(sorted(((r["item_id"], r["text"]) for r in mine.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])), window, rate)
+        some = sorted(((r["item_id"], r["text"]) for r in mine.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 
-        def run(batches: Iterator[pa.RecordBatch], bench: Benchmark = bench) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], some: list = some) -> Iterator[pa.RecordBatch]:
+            bench = Benchmark(some, window, rate)
             for batch in batches:
                 keys = list(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "k1", "k2")), strict=True))
                 strings = texts(batch, "text")
@@ -314,7 +331,7 @@ def contaminated(
     item_text: str = "text",
     window: int = 120,
     rate: float = 0.1,
-    block_chars: int = 4_000_000,
+    block_chars: int = 1_000_000,
 ) -> DataFrame:
     """Benchmark items found in documents: (doc_id, item_id, n_windows, edits, start, end).
 
@@ -346,7 +363,7 @@ def decontaminate(
     item_text: str = "text",
     window: int = 120,
     rate: float = 0.1,
-    block_chars: int = 4_000_000,
+    block_chars: int = 1_000_000,
 ) -> DataFrame:
     """The documents, all columns, in which no benchmark item is found (see :func:`contaminated`).
 
