@@ -9,6 +9,7 @@ tokens. Three fixed patterns (assignments, access keys, long hexadecimal runs) a
 from __future__ import annotations
 
 import base64
+import bisect
 import functools
 import re
 from collections.abc import Iterator
@@ -44,7 +45,7 @@ _DIGEST_LENGTHS = (32, 40, 48, 56, 64, 96, 128)
 _ONE_CASE_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _NUMBER = re.compile(r"[0-9+/_=-]+")
-_MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])|[a-z][A-Z].*[a-z][A-Z]")
+_DIGIT, _LETTER, _HUMPS = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]"), re.compile(r"[a-z][A-Z].*[a-z][A-Z]")
 
 #: Whole e-mail addresses and the host names of URLs; before an address neither a password nor a token in a URL ends.
 _ADDRESS = re.compile(r"(?<![:/A-Za-z0-9._%+=-])[A-Za-z0-9._%+=-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}|(?<=://)[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9@.:-])")
@@ -60,6 +61,10 @@ def _vocabulary(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("secrets", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _mixed(s: str) -> bool:
+    return bool(_DIGIT.search(s) and _LETTER.search(s) or _HUMPS.search(s))
+
+
 def _known(s: str) -> bool:
     """Digests and identifiers, which are random-looking but no secrets."""
     return bool(
@@ -74,9 +79,9 @@ def _opaque(run: str, vocabulary: tiktoken.Encoding, least: int, ratio: float) -
         return len(s) < ratio * len(vocabulary.encode_ordinary(s))
 
     def random(s: str) -> bool:
-        return bool(len(s) >= least and _MIXED.search(s) and not _known(s) and costly(s))
+        return bool(len(s) >= least and _mixed(s) and not _known(s) and costly(s))
 
-    if not _MIXED.search(run) or _known(run):
+    if not _mixed(run) or _known(run):
         return []
     if costly(run):
         return [(0, len(run))]
@@ -92,6 +97,27 @@ def _opaque(run: str, vocabulary: tiktoken.Encoding, least: int, ratio: float) -
     return found
 
 
+class _Intervals:
+    """Intervals of a text, merged where they overlap, to be asked by bisection."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        self.starts, self.ends = [], []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        at = bisect.bisect_right(self.ends, a)
+        return at < len(self.starts) and self.starts[at] < b
+
+    def holds(self, a: int, b: int) -> bool:
+        at = bisect.bisect_right(self.starts, a) - 1
+        return at >= 0 and b <= self.ends[at]
+
+
 def _spans(strings: list[str], vocabulary: str, least: int, ratio: float) -> list[list[tuple[int, int, int]]]:
     """For each text its spans (start, kind, end) in order."""
     found: list[list[tuple[int, int, int]]] = [[] for _ in strings]
@@ -101,7 +127,7 @@ def _spans(strings: list[str], vocabulary: str, least: int, ratio: float) -> lis
             out += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(s) if len(m[2]) >= LEAST_ASSIGN]
         if b"akia" in low:
             out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(s) if len(m[0]) >= LEAST_ACCESS]
-    addresses: dict[int, list[tuple[int, int]]] = {}
+    known: dict[int, tuple[_Intervals, _Intervals]] = {}
     data, starts = one_byte(strings)
     for table, kind, shortest in ((_HEX, 2, LEAST_HEX), (_KEY, 3, least)):
         begin, end = runs_of(table[data])
@@ -112,13 +138,13 @@ def _spans(strings: list[str], vocabulary: str, least: int, ratio: float) -> lis
         for r, a, b in zip(row.tolist(), begin.tolist(), end.tolist(), strict=True):
             s = strings[r]
             if kind == 3:
-                if r not in addresses:
-                    addresses[r] = [m.span() for m in _ADDRESS.finditer(s)]
-                if any(x <= a and b <= y for x, y in addresses[r]):
+                if r not in known:
+                    known[r] = _Intervals([(i, j) for i, _, j in found[r]]), _Intervals([m.span() for m in _ADDRESS.finditer(s)])
+                taken, addresses = known[r]
+                if addresses.holds(a, b):
                     continue
-                taken = list(found[r])
                 for x, y in _opaque(s[a:b], _vocabulary(vocabulary), least, ratio):
-                    if not any(i < a + y and a + x < j for i, _, j in taken):
+                    if not taken.meets(a + x, a + y):
                         found[r].append((a + x, kind, a + y))
                 continue
             found[r].append((a, kind, b))
