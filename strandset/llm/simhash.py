@@ -333,81 +333,91 @@ def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def _confirmed(pairs: DataFrame, read: DataFrame, keys: DataFrame, words: int, least: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets of shingles are alike by ``least``, counted on the whole texts.
+def _whole_sets(read: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, n, shingles, counts) of the wanted ``nodes`` (node, k1, k2), one row each."""
 
-    Pairs (a, n, b, m) of sets of n and m shingles first meet with the sets' counts, which bound what they
-    can share; the texts are joined to the few pairs that are left.
-    """
-    wanted = written(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(keys, "node"))
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingles(words)
         for batch in slices(batches, 256):
-            yield pa.record_batch([batch.column("node"), batch.column("text"), pa.array([_counts(make(s)) for s in batch.column("text").to_pylist()], pa.binary())], ["node", "text", "counts"])
+            sets = [make(s) for s in batch.column("text").to_pylist()]
+            own = [pa.array([len(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array(list(map(_counts, sets)), pa.binary())]
+            yield pa.record_batch([batch.column("node"), *own], ["node", "n", "shingles", "counts"])
 
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 256):
-            rows = zip(*(batch.column(c).to_pylist() for c in ("n", "m", "x", "y")), strict=True)
-            good = [_most_shared(x, y) >= least / (1 + least) * (n + m) - 1e-9 for n, m, x, y in rows]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+    texts = read.join(few(written(nodes)), ["k1", "k2"]).select("node", "text")
+    return texts.mapInArrow(run, "node long, n long, shingles array<long>, counts binary").dropDuplicates(["node"])
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, known = Shingles(words), {}
 
-        def shingles(node: int, text: str) -> np.ndarray:
-            if node not in known:
-                if len(known) > 200:
-                    known.clear()
-                known[node] = make(text)
-            return known[node]
+def _ranked(whole: DataFrame, least: float) -> DataFrame:
+    """(token, node, n, pos): of each set the rarest shingles as in :func:`_set_rows`, but by their exact numbers in ``whole``.
+
+    Shingles of one set only come first and can't be shared, so only their number counts.
+    """
+    rows = whole.select("node", "n", F.explode("shingles").alias("token"))
+    shared = rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    own = rows.join(shared, "token").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("t"))
+    placed = own.select("node", "n", F.size("t").alias("s"), F.posexplode("t").alias("at", "t")).select("t.token", "node", "n", (F.col("n") - F.col("s") + F.col("at")).alias("pos"))
+    return placed.where(F.col("pos") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9))
 
-        for batch in slices(batches, 256):
-            good = []
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y")), strict=True):
-                p, q = shingles(a, x), shingles(b, y)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                good.append(both >= least * (len(p) + len(q) - both) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    texts = read.join(few(wanted), ["k1", "k2"]).select("node", "text").dropDuplicates(["node"])
-    whole = written(texts.mapInArrow(counted, "node long, text string, counts binary"))
+def _confirmed(pairs: DataFrame, whole: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets of shingles are alike by ``least``.
+
+    Pairs (a, n, b, m) of sets of n and m shingles first meet with the sets' counts, which bound what they
+    can share; the sets themselves are joined to the pairs that are left.
+    """
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            rows = zip(*(batch.column(c).to_pylist() for c in ("n", "m", "x", "y")), strict=True)
+            good = [_most_shared(x, y) >= least / (1 + least) * (n + m) - 1e-9 for n, m, x, y in rows]
+            yield batch.select(["a", "b", "n", "m"]).filter(pa.array(good, pa.bool_()))
 
     def side(name: str, column: str, to: str) -> DataFrame:
         return whole.select(F.col("node").alias(name), F.col(column).alias(to))
 
-    likely = pairs.join(side("a", "counts", "x"), "a").join(side("b", "counts", "y"), "b").mapInArrow(bounded, "a long, b long")
-    asked = written(likely).join(side("a", "text", "x"), "a").join(side("b", "text", "y"), "b")
-    return written(asked.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long"))
+    likely = pairs.join(side("a", "counts", "x"), "a").join(side("b", "counts", "y"), "b").mapInArrow(bounded, "a long, b long, n long, m long")
+    met = written(likely).join(side("a", "shingles", "x"), "a").join(side("b", "shingles", "y"), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return written(met.where(shared >= least * (F.col("n") + F.col("m") - shared) - 1e-9).select("a", "b"))
+
+
+def _reaching(tokens: DataFrame, spread: DataFrame, least: float) -> DataFrame:
+    """The rows of ``tokens`` that a set of their token's ``fewest`` shingles, first at the token, could be alike."""
+    best = F.least("n", F.greatest("fewest", F.ceil(F.col("n") * least - 1e-9)))
+    return tokens.join(spread, "token").where(_may_be_alike(F.col("n"), F.col("pos"), best, F.lit(0), least)).select(*tokens.columns)
 
 
 def _exact_links(read: DataFrame, sets: DataFrame, words: int, least: float) -> DataFrame:
     """Links (a, b) that join all nodes alike by ``least``.
 
-    At each token that sets share, the one that has it first among its rarest is the vantage point, with
-    which the others are compared. Pairs of others are compared only where this leaves them in different
-    groups, and only those that can still reach the similarity from where the token stands in each.
+    Only sets that share one of their rarest shingles are looked at further: of these all shingles are
+    counted, and the rarest taken anew. At each token the set that has it earliest is the vantage point,
+    with which the others are compared. Pairs of others are compared only where this leaves them in
+    different groups, and only those that can still reach the similarity from where the token stands.
     """
     rows = sets.select("node", "n", F.posexplode("tokens").alias("pos", "token"))
     often = rows.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1").select("token")
-    tokens = written(rows.join(often, "token"))
+    suspect = written(rows.join(often, "token"))
+    spread = suspect.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min("n").alias("fewest")).where("low <> high")
     keys = sets.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k")).select("node", "k.k1", "k.k2")
+    whole = written(_whole_sets(read, keys.join(_reaching(suspect, spread, least).select("node").distinct(), "node"), words))
+
+    tokens = written(_ranked(whole, least))
     lead = tokens.groupBy("token").agg(F.min(F.struct("pos", "n", "node")).alias("s"))
     able = _may_be_alike(F.col("s.n"), F.col("s.pos"), F.col("n"), F.col("pos"), least)
     tried = tokens.join(lead, "token").where((F.col("node") != F.col("s.node")) & able)
     tried = written(tried.select(F.col("s.node").alias("a"), F.col("s.n").alias("n"), F.col("node").alias("b"), F.col("n").alias("m")).distinct())
-    edges = _confirmed(tried, read, keys, words, least)
+    edges = _confirmed(tried, whole, least)
 
     rooted = written(tokens.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node")))
     spread = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("fewest")).where("low <> high")
-    reach = _may_be_alike(F.col("n"), F.col("pos"), F.least("n", F.greatest("fewest", F.ceil(F.col("n") * least - 1e-9))), F.lit(0), least)
-    open_ = written(rooted.join(spread, "token").where(reach).select("token", "node", "n", "pos", "root").dropDuplicates(["token", "node"]))
+    open_ = written(_reaching(rooted, spread, least))
     x, y = open_.alias("x"), open_.alias("y")
     differ = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & differ & _may_be_alike(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), least))
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = met.select(F.col("x.node").alias("a"), F.col("x.n").alias("n"), F.col("y.node").alias("b"), F.col("y.n").alias("m")).distinct()
-    return edges.union(_confirmed(written(rest.join(done, ["a", "b"], "left_anti")), read, keys, words, least))
+    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return edges.union(_confirmed(written(rest.join(done, ["a", "b"], "left_anti")), whole, least))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -499,8 +509,9 @@ def drop_near_duplicates(
     """
     found = _grouped(docs, doc_id, text, words, radius, sketch_words, similarity, shard_rows, query_rows, False)
     rows = written(found.groupBy("root", "k1", "k2").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")))
-    first = rows.groupBy("root").agg(F.min(F.struct(F.isnull("id"), "id", "k1", "k2")).alias("s")).select("root", F.col("s.k1").alias("f1"), F.col("s.k2").alias("f2"))
-    judged = rows.join(first, "root").select("k1", "k2", "n", ((F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2"))).alias("stays")).where("NOT stays OR n > 1")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.isnull("id"), "id", "k1", "k2")).alias("s"), F.sum("n").alias("of")).where("of > 1")
+    stays = (F.col("k1") == F.col("s.k1")) & (F.col("k2") == F.col("s.k2"))
+    judged = rows.join(few(written(first)), "root").select("k1", "k2", "n", stays.alias("stays")).where("NOT stays OR n > 1")
     names = [F.col(c).alias(f"__{c}") for c in ("k1", "k2", "stays")]
     marked = written(judged.select(*names))
     keyed = docs.select(F.struct("*").alias("__row"), F.col(f"`{doc_id}`").cast("long").alias("__id"), F.col(f"`{text}`").cast("string").alias("__text"))
