@@ -381,43 +381,60 @@ def _confirmed(pairs: DataFrame, whole: DataFrame, least: float) -> DataFrame:
     return written(met.where(shared >= least * (F.col("n") + F.col("m") - shared) - 1e-9).select("a", "b"))
 
 
-def _reaching(tokens: DataFrame, spread: DataFrame, least: float) -> DataFrame:
-    """The rows of ``tokens`` that a set of their token's ``fewest`` shingles, first at the token, could be alike."""
+def _pairs(x: DataFrame, y: DataFrame, least: float, how: str) -> DataFrame:
+    """Rows x and y (token, node, n, pos, root) of one token, but different roots, that may be alike."""
+    x, y = x.alias("x"), y.alias("y")
+    differ = (F.col("x.node") != F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
+    able = _may_be_alike(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), least)
+    return x.join(y, (F.col("x.token") == F.col("y.token")) & differ & able, how)
+
+
+def _named(pairs: DataFrame) -> DataFrame:
+    """(a, n, b, m), once each, with a < b."""
+    both = pairs.select(F.array_sort(F.array(F.struct("x.node", "x.n"), F.struct("y.node", "y.n"))).alias("p"))
+    a, b = F.element_at("p", 1), F.element_at("p", 2)
+    return both.select(a["node"].alias("a"), a["n"].alias("n"), b["node"].alias("b"), b["n"].alias("m")).distinct()
+
+
+def _led(tokens: DataFrame, least: float) -> DataFrame:
+    """(a, n, b, m): at each token the set that has it earliest, its vantage point, with the others that may be alike."""
+    lead = tokens.groupBy("token").agg(F.min(F.struct("pos", "n", "node", "root")).alias("s"))
+    return written(_named(_pairs(lead.select("token", "s.node", "s.n", "s.pos", "s.root"), tokens, least, "inner")))
+
+
+def _open(tokens: DataFrame, edges: DataFrame, least: float) -> DataFrame:
+    """The rows, with the roots that ``edges`` give, whose tokens still join sets of different groups that may be alike."""
+    rooted = written(tokens.drop("root").join(components(edges), "node", "left").select("token", "node", "n", "pos", F.coalesce("root", "node").alias("root")))
+    spread = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("fewest")).where("low <> high")
     best = F.least("n", F.greatest("fewest", F.ceil(F.col("n") * least - 1e-9)))
-    return tokens.join(spread, "token").where(_may_be_alike(F.col("n"), F.col("pos"), best, F.lit(0), least)).select(*tokens.columns)
+    able = _may_be_alike(F.col("n"), F.col("pos"), best, F.lit(0), least)  # with a set of fewest shingles, first at the token
+    return written(rooted.join(spread, "token").where(able).select(*rooted.columns).dropDuplicates(["token", "node"]))
 
 
 def _exact_links(read: DataFrame, sets: DataFrame, words: int, least: float) -> DataFrame:
     """Links (a, b) that join all nodes alike by ``least``.
 
-    Only sets that share one of their rarest shingles are looked at further: of these all shingles are
-    counted, and the rarest taken anew. At each token the set that has it earliest is the vantage point,
-    with which the others are compared. Pairs of others are compared only where this leaves them in
-    different groups, and only those that can still reach the similarity from where the token stands.
+    Sets that share one of their rarest shingles are compared with that shingle's vantage point. Where this
+    leaves sets that may be alike in different groups, their shingles are all counted and the rarest taken
+    anew, by exact numbers; then once more with vantage points, and pair by pair what is still open.
     """
-    rows = sets.select("node", "n", F.posexplode("tokens").alias("pos", "token"))
+    rows = sets.select("node", "n", F.posexplode("tokens").alias("pos", "token"), F.col("node").alias("root"))
     often = rows.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1").select("token")
-    suspect = written(rows.join(often, "token"))
-    spread = suspect.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min("n").alias("fewest")).where("low <> high")
+    tokens = written(rows.join(often, "token"))
     keys = sets.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k")).select("node", "k.k1", "k.k2")
-    whole = written(_whole_sets(read, keys.join(_reaching(suspect, spread, least).select("node").distinct(), "node"), words))
 
-    tokens = written(_ranked(whole, least))
-    lead = tokens.groupBy("token").agg(F.min(F.struct("pos", "n", "node")).alias("s"))
-    able = _may_be_alike(F.col("s.n"), F.col("s.pos"), F.col("n"), F.col("pos"), least)
-    tried = tokens.join(lead, "token").where((F.col("node") != F.col("s.node")) & able)
-    tried = written(tried.select(F.col("s.node").alias("a"), F.col("s.n").alias("n"), F.col("node").alias("b"), F.col("n").alias("m")).distinct())
-    edges = _confirmed(tried, whole, least)
-
-    rooted = written(tokens.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node")))
-    spread = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("fewest")).where("low <> high")
-    open_ = written(_reaching(rooted, spread, least))
-    x, y = open_.alias("x"), open_.alias("y")
-    differ = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & differ & _may_be_alike(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), least))
-    rest = met.select(F.col("x.node").alias("a"), F.col("x.n").alias("n"), F.col("y.node").alias("b"), F.col("y.n").alias("m")).distinct()
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return edges.union(_confirmed(written(rest.join(done, ["a", "b"], "left_anti")), whole, least))
+    tried = _led(tokens, least)
+    some = tried.select(F.col("a").alias("node")).union(tried.select(F.col("b").alias("node"))).distinct()
+    edges = _confirmed(tried, written(_whole_sets(read, keys.join(some, "node"), words)), least)
+    left = _open(tokens, edges, least)
+    alike = _pairs(left, left, least, "left_semi").select("node", "root").distinct()
+
+    whole = written(_whole_sets(read, keys.join(alike.select("node"), "node"), words))
+    ranked = written(_ranked(whole, least).join(alike, "node"))
+    edges = written(edges.union(_confirmed(_led(ranked, least).join(tried, ["a", "b"], "left_anti"), whole, least)))
+    left = _open(ranked, edges, least)
+    rest = written(_named(_pairs(left, left.where("true"), least, "inner")))
+    return edges.union(_confirmed(rest, whole, least))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
