@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from strandset.llm.common import cut, row_key, slices, written
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_BITS = 1024  # bits of a set, a power of two
 
 
 def _fingerprints(strings: list[str | None], words: int, seed: int) -> np.ndarray:
@@ -256,16 +257,17 @@ class Shingles:
 
 
 def _set_rows(read: DataFrame, shingle: int, words: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, k1, k2, fp, node, n, tokens) of (doc_id, text, k1, k2): node names the set of n shingles.
+    """(doc_id, k1, k2, fp, node, n, tokens, bits) of (doc_id, text, k1, k2): node names the set of n shingles.
 
     ``tokens`` are so many of the set's rarest shingles, rarest first, that a set alike shares one of
-    them; of copies of a set within a task only the first has them. fp is of ``words`` words, or zero.
+    them; ``bits`` holds of each pattern of leading bits whether an odd number of shingles has it. Of copies
+    of a set within a task only the first has these. fp is of ``words`` words, or zero.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, seen, (known, count) = Shingles(shingle), set(), common
         for batch in slices(batches):
-            strings, node, size, tokens = batch.column("text").to_pylist(), [], [], []
+            strings, node, size, tokens, bits = batch.column("text").to_pylist(), [], [], [], []
             for s in strings:
                 x = make(s)
                 name = xxhash.xxh64_intdigest(x.tobytes())
@@ -273,6 +275,7 @@ def _set_rows(read: DataFrame, shingle: int, words: int, least: float, common: t
                 size.append(len(x))
                 if not len(x) or name in seen:
                     tokens.append(None)
+                    bits.append(None)
                     continue
                 if len(seen) > 500_000:
                     seen.clear()
@@ -282,11 +285,13 @@ def _set_rows(read: DataFrame, shingle: int, words: int, least: float, common: t
                     at = np.minimum(np.searchsorted(known, x), len(known) - 1)
                     rank = np.where(known[at] == x, count[at], 0)
                 tokens.append(x[np.lexsort((x, rank))[: len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1]].view(np.int64))
+                odd = np.bincount((x >> np.uint64(64 - _BITS.bit_length() + 1)).astype(np.int64), minlength=_BITS) & 1
+                bits.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
             fp = _fingerprints(strings, words, 42) if words else np.zeros(len(strings), np.uint64)
-            own = [pa.array(fp.view(np.int64)), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))]
-            yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "k1", "k2")), *own], ["doc_id", "k1", "k2", "fp", "node", "n", "tokens"])
+            own = [pa.array(fp.view(np.int64)), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (tokens, bits))]
+            yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "k1", "k2")), *own], ["doc_id", "k1", "k2", "fp", "node", "n", "tokens", "bits"])
 
-    return read.mapInArrow(run, "doc_id long, k1 long, k2 long, fp long, node long, n long, tokens array<long>")
+    return read.mapInArrow(run, "doc_id long, k1 long, k2 long, fp long, node long, n long, tokens array<long>, bits array<long>")
 
 
 def _common_shingles(read: DataFrame, words: int, sample: int = 10_000, most: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
@@ -347,18 +352,6 @@ def _whole_sets(read: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     return texts.mapInArrow(run, "node long, n long, shingles array<long>, counts binary").dropDuplicates(["node"])
 
 
-def _ranked(whole: DataFrame, least: float) -> DataFrame:
-    """(token, node, n, pos): of each set the rarest shingles as in :func:`_set_rows`, but by their exact numbers in ``whole``.
-
-    Shingles of one set only come first and can't be shared, so only their number counts.
-    """
-    rows = whole.select("node", "n", F.explode("shingles").alias("token"))
-    shared = rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-    own = rows.join(shared, "token").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("t"))
-    placed = own.select("node", "n", F.size("t").alias("s"), F.posexplode("t").alias("at", "t")).select("t.token", "node", "n", (F.col("n") - F.col("s") + F.col("at")).alias("pos"))
-    return placed.where(F.col("pos") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9))
-
-
 def _confirmed(pairs: DataFrame, whole: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) of nodes whose sets of shingles are alike by ``least``.
 
@@ -381,60 +374,55 @@ def _confirmed(pairs: DataFrame, whole: DataFrame, least: float) -> DataFrame:
     return written(met.where(shared >= least * (F.col("n") + F.col("m") - shared) - 1e-9).select("a", "b"))
 
 
-def _pairs(x: DataFrame, y: DataFrame, least: float, how: str) -> DataFrame:
-    """Rows x and y (token, node, n, pos, root) of one token, but different roots, that may be alike."""
+def _pairs(x: DataFrame, y: DataFrame, least: float, *more: Column) -> DataFrame:
+    """(a, n, b, m), once each, a < b: rows x and y (token, node, n, pos, root) of one token, but different roots, that may be alike."""
     x, y = x.alias("x"), y.alias("y")
     differ = (F.col("x.node") != F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
     able = _may_be_alike(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), least)
-    return x.join(y, (F.col("x.token") == F.col("y.token")) & differ & able, how)
-
-
-def _named(pairs: DataFrame) -> DataFrame:
-    """(a, n, b, m), once each, with a < b."""
-    both = pairs.select(F.array_sort(F.array(F.struct("x.node", "x.n"), F.struct("y.node", "y.n"))).alias("p"))
+    on = (F.col("x.token") == F.col("y.token")) & differ & able
+    for condition in more:
+        on = on & condition
+    both = x.join(y, on).select(F.array_sort(F.array(F.struct("x.node", "x.n"), F.struct("y.node", "y.n"))).alias("p"))
     a, b = F.element_at("p", 1), F.element_at("p", 2)
     return both.select(a["node"].alias("a"), a["n"].alias("n"), b["node"].alias("b"), b["n"].alias("m")).distinct()
 
 
-def _led(tokens: DataFrame, least: float) -> DataFrame:
-    """(a, n, b, m): at each token the set that has it earliest, its vantage point, with the others that may be alike."""
-    lead = tokens.groupBy("token").agg(F.min(F.struct("pos", "n", "node", "root")).alias("s"))
-    return written(_named(_pairs(lead.select("token", "s.node", "s.n", "s.pos", "s.root"), tokens, least, "inner")))
-
-
 def _open(tokens: DataFrame, edges: DataFrame, least: float) -> DataFrame:
     """The rows, with the roots that ``edges`` give, whose tokens still join sets of different groups that may be alike."""
-    rooted = written(tokens.drop("root").join(components(edges), "node", "left").select("token", "node", "n", "pos", F.coalesce("root", "node").alias("root")))
+    rooted = written(tokens.drop("root").join(few(components(edges)), "node", "left").select("token", "node", "n", "pos", F.coalesce("root", "node").alias("root")))
     spread = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("fewest")).where("low <> high")
     best = F.least("n", F.greatest("fewest", F.ceil(F.col("n") * least - 1e-9)))
     able = _may_be_alike(F.col("n"), F.col("pos"), best, F.lit(0), least)  # with a set of fewest shingles, first at the token
-    return written(rooted.join(spread, "token").where(able).select(*rooted.columns).dropDuplicates(["token", "node"]))
+    return rooted.join(spread, "token").where(able).select(*rooted.columns).dropDuplicates(["token", "node"])
 
 
 def _exact_links(read: DataFrame, sets: DataFrame, words: int, least: float) -> DataFrame:
     """Links (a, b) that join all nodes alike by ``least``.
 
-    Sets that share one of their rarest shingles are compared with that shingle's vantage point. Where this
-    leaves sets that may be alike in different groups, their shingles are all counted and the rarest taken
-    anew, by exact numbers; then once more with vantage points, and pair by pair what is still open.
+    Sets that share one of their rarest shingles are compared with that shingle's vantage point, the set
+    that has it earliest. Pairs of others are compared only where this leaves them in different groups, and
+    only those that can reach the similarity: by where the token stands in each, and by the bits in which
+    they differ, of which each shingle of one set alone changes one at most.
     """
     rows = sets.select("node", "n", F.posexplode("tokens").alias("pos", "token"), F.col("node").alias("root"))
     often = rows.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1").select("token")
     tokens = written(rows.join(often, "token"))
     keys = sets.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k")).select("node", "k.k1", "k.k2")
 
-    tried = _led(tokens, least)
-    some = tried.select(F.col("a").alias("node")).union(tried.select(F.col("b").alias("node"))).distinct()
-    edges = _confirmed(tried, written(_whole_sets(read, keys.join(some, "node"), words)), least)
-    left = _open(tokens, edges, least)
-    alike = _pairs(left, left, least, "left_semi").select("node", "root").distinct()
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        some = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        return _confirmed(pairs, written(_whole_sets(read, keys.join(some, "node"), words)), least)
 
-    whole = written(_whole_sets(read, keys.join(alike.select("node"), "node"), words))
-    ranked = written(_ranked(whole, least).join(alike, "node"))
-    edges = written(edges.union(_confirmed(_led(ranked, least).join(tried, ["a", "b"], "left_anti"), whole, least)))
-    left = _open(ranked, edges, least)
-    rest = written(_named(_pairs(left, left.where("true"), least, "inner")))
-    return edges.union(_confirmed(rest, whole, least))
+    lead = tokens.groupBy("token").agg(F.min(F.struct("pos", "n", "node", "root")).alias("s")).select("token", "s.*")
+    tried = written(_pairs(lead, tokens, least))
+    edges = confirmed(tried)
+    open_ = written(_open(tokens, edges, least))
+    bits = sets.where("tokens IS NOT NULL").join(open_.select("node").distinct(), "node", "left_semi").select("node", "bits").dropDuplicates(["node"])
+    left = written(open_.join(few(written(bits), 100_000), "node"))
+    apart = sum((F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i])) for i in range(_BITS // 64)), F.lit(0))
+    within = apart <= (F.lit((1 - least) / (1 + least)) * (F.col("x.n") + F.col("y.n"))) + 1e-9
+    rest = _pairs(left, left.where("true"), least, F.col("x.node") < F.col("y.node"), within)
+    return edges.union(confirmed(written(rest.join(tried, ["a", "b"], "left_anti"))))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -502,8 +490,9 @@ def near_duplicates(
     repeated rows are returned each; other columns are not read; an empty table gives an empty result.
     """
     found = cut(_grouped(docs, doc_id, text, words, radius, sketch_words, similarity, shard_rows, query_rows))
-    merged = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return found.join(merged, "root").select("doc_id", "fp", "component_id")
+    merged = found.groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("of")).where("of > 1")
+    component = F.when(F.isnull("of"), F.col("doc_id")).otherwise(F.col("least"))
+    return found.join(few(written(merged)), "root", "left").select("doc_id", "fp", component.alias("component_id"))
 
 
 def drop_near_duplicates(
