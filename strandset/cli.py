@@ -28,7 +28,7 @@ def bucket_bits(k: int) -> int:
 
 def build(spark: SparkSession, fasta: str, k: int, cutoff: int = 1, canonical: bool = True, out: str | None = None, compression: str = "none", check: bool = False) -> dict:
     """FASTA to a packed set: (size, hash, n_dropped, n_strings, weight)."""
-    counts = written(W.count_words(W.words(W.fragments(read_fasta(spark, fasta)), k, canonical)))
+    counts = written(W.spelled(W.count_words(W.codes(W.fragments(read_fasta(spark, fasta)), k, canonical)), k))
     kept = W.cut_off(counts, cutoff).select("kmer")
     strings = written(spss(kept, k, canonical))
     stats = W.statistics(kept).first().asDict() | W.n_dropped(counts, cutoff).first().asDict() | string_stats(strings, k).first().asDict()

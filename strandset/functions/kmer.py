@@ -21,6 +21,13 @@ def decode(bits: Column, k: int) -> Column:
     return F.translate(F.lpad(F.conv(bits.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
 
 
+def reverse_complement_code(bits: Column, k: int) -> Column:
+    """The code of the reverse complement: pairs of bits are swapped in blocks, then all inverted."""
+    for size, mask in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF), (32, 0x00000000FFFFFFFF)):
+        bits = F.shiftrightunsigned(bits, size).bitwiseAND(F.lit(mask)).bitwiseOR(F.shiftleft(bits.bitwiseAND(F.lit(mask)), size))
+    return F.shiftrightunsigned(bits, 64 - 2 * k).bitwiseXOR(F.lit((1 << (2 * k)) - 1))
+
+
 def last_base(kmer: Column) -> Column:
     return F.right(kmer, F.lit(1))
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandset.functions import kmer as K
+from strandset.operators import words as W
 from strandset.operators.lineage import discard, written
 
 
@@ -19,38 +20,50 @@ def _odd(k: int) -> None:
         raise ValueError("canonical graphs need an odd k")
 
 
-def oriented(words: DataFrame) -> DataFrame:
-    """(s, c): each canonical word c and its reverse complement as rows."""
-    c = F.col("kmer")
-    return words.select(F.explode(F.array(c, K.reverse_complement(c))).alias("s"), c.alias("c"))
-
-
 def edges(words: DataFrame, k: int) -> DataFrame:
     """(u, v): oriented words that overlap by k - 1; loops and hairpins are no edges. k must be odd."""
     _odd(k)
-    rows = oriented(words)
-    a = rows.select(F.col("s").alias("u"), F.col("c").alias("cu"), F.right("s", F.lit(k - 1)).alias("overlap"))
-    b = rows.select(F.col("s").alias("v"), F.col("c").alias("cv"), F.left("s", F.lit(k - 1)).alias("overlap"))
-    return a.join(b, "overlap").where("cu <> cv").select("u", "v")
+    rows = _codes(words, k, True)
+    a = rows.select(F.col("s").alias("u"), F.col("c").alias("cu"), F.col("s").bitwiseAND(F.lit((1 << (2 * k - 2)) - 1)).alias("overlap"))
+    b = rows.select(F.col("s").alias("v"), F.col("c").alias("cv"), F.shiftright("s", 2).alias("overlap"))
+    return a.join(b, "overlap").where("cu <> cv").select(K.decode(F.col("u"), k).alias("u"), K.decode(F.col("v"), k).alias("v"))
 
 
 def side_degrees(words: DataFrame, k: int) -> DataFrame:
-    """(kmer, right, left): neighbours on each side of every canonical word."""
-    out = edges(words, k).groupBy(F.col("u").alias("s")).agg(F.count("*").alias("n"))
-    by = oriented(words).join(out, "s", "left").select("c", (F.col("s") == F.col("c")).alias("own"), F.coalesce("n", F.lit(0)).alias("n"))
-    return by.groupBy(F.col("c").alias("kmer")).agg(
-        F.sum(F.when(F.col("own"), F.col("n")).otherwise(0)).cast("long").alias("right"),
-        F.sum(F.when(~F.col("own"), F.col("n")).otherwise(0)).cast("long").alias("left"),
-    )
+    """(word, right, left): neighbours on each side of every canonical word.
+
+    A word's sides are grouped by the overlap that lies there, read in its smaller orientation: the
+    neighbours are the others in the group, on the overlap's other side, so that no join is needed.
+    """
+    _odd(k)
+
+    def side(overlap: Column, mirror: Column, right: bool) -> Column:
+        before = F.lit(right)  # as the word is written, it lies before the overlap on its right
+        cls = F.when(overlap == mirror, 2).when((overlap < mirror) == before, 0).otherwise(1)
+        return F.struct(F.least(overlap, mirror).alias("o"), F.lit(right).alias("right"), cls.alias("cls"))
+
+    word, c = W.word_column(words), F.col("c")
+    ends = words.select(W.bits_of(words).alias("c")).select("c", c.bitwiseAND(F.lit((1 << (2 * k - 2)) - 1)).alias("r"), F.shiftright(c, 2).alias("l"))
+    ends = ends.select("*", *[K.reverse_complement_code(F.col(x), k - 1).alias(f"{x}m") for x in "rl"])
+    sides = ends.select("c", F.explode(F.array(side(F.col("r"), F.col("rm"), True), side(F.col("l"), F.col("lm"), False))).alias("e"))
+    met = sides.groupBy("e.o").agg(F.collect_list(F.struct("c", "e.right", "e.cls")).alias("all"))
+    own = F.col("x")
+
+    def faces(other: Column) -> Column:
+        return (other["c"] != own["c"]) & ((own["cls"] == 2) | (other["cls"] + own["cls"] == 1))
+
+    each = met.select("all", F.explode("all").alias("x")).select(own["c"].alias("c"), own["right"].alias("right"), F.size(F.filter("all", faces)).alias("n"))
+    count = [F.sum(F.when(F.col("right") == r, F.col("n")).otherwise(0)).cast("long").alias(name) for r, name in ((True, "right"), (False, "left"))]
+    out = each.groupBy(F.col("c").alias("code")).agg(*count)
+    return out if word == "code" else W.spelled(out, k)
 
 
-def _codes(words: DataFrame, canonical: bool) -> DataFrame:
+def _codes(words: DataFrame, k: int, canonical: bool) -> DataFrame:
     """(s, c): codes of the oriented words, or of the words themselves in a directed graph."""
-    s = K.encode(F.col("kmer"))
+    own = words.select(W.bits_of(words).alias("c"))
     if not canonical:
-        return words.select(s.alias("s"), s.alias("c"))
-    both = F.array(s, K.encode(K.reverse_complement(F.col("kmer"))))
-    return words.select(F.explode(both).alias("s"), s.alias("c"))
+        return own.select(F.col("c").alias("s"), "c")
+    return own.select("c", K.reverse_complement_code(F.col("c"), k).alias("m")).select(F.explode(F.array("c", "m")).alias("s"), "c")
 
 
 def mates(codes: DataFrame, k: int) -> DataFrame:
@@ -73,7 +86,8 @@ def mates(codes: DataFrame, k: int) -> DataFrame:
 
 def terminals(words: DataFrame, k: int, canonical: bool = True) -> DataFrame:
     """(kmer, starts, ends): whether no unitig goes on before or after each word, read as it stands."""
-    codes, linked = _codes(words, canonical), mates(_codes(words, canonical), k)
+    codes = written(_codes(words, k, canonical))
+    linked = written(mates(codes, k))
     own = codes.where("s = c").select("s")
     has_up = linked.select("s", F.lit(True).alias("has_up"))
     has_down = linked.select(F.col("up").alias("s"), F.lit(True).alias("has_down"))
@@ -136,7 +150,7 @@ def unitigs(words: DataFrame, k: int) -> DataFrame:
     may hold as many words as a string can.
     """
     _odd(k)
-    codes = written(_codes(words, True))
+    codes = written(_codes(words, k, True))
     strings = _strings(chains(codes, written(mates(codes, k))), k)
     first, last = K.canonical(F.left("seq", F.lit(k))), K.canonical(F.right("seq", F.lit(k)))
     single = (F.length("seq") == k) & (F.col("seq") == K.canonical(F.col("seq")))
@@ -145,7 +159,7 @@ def unitigs(words: DataFrame, k: int) -> DataFrame:
 
 def unitigs_directed(words: DataFrame, k: int) -> DataFrame:
     """(seq): the maximal non-branching paths of a set whose words are read one way."""
-    codes = written(_codes(words, False))
+    codes = written(_codes(words, k, False))
     return _strings(chains(codes, written(mates(codes, k))), k).select("seq")
 
 

@@ -12,9 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandset.functions import kmer as K
 from strandset.operators.lineage import written
-from strandset.operators.words import in_sample
+from strandset.operators.words import bits_of, in_sample, spelled, word_column
 
 
 @dataclass(frozen=True)
@@ -77,19 +76,20 @@ def _after(splits: list[tuple[int, int, int]]) -> Column:
 def compress(words: DataFrame, k: int, n_bits: int, step: int = 50, gain: float = 0.1) -> MultiSet:
     """Splits shared words off the two sets that share most of a sample, again and again.
 
-    ``words`` (set_id, kmer) may repeat rows; a null set_id or kmer takes no part. Weights are counts over
+    ``words`` (set_id, kmer or code) may repeat rows; a null set_id or word takes no part. Weights are counts over
     the sampled buckets, ties go to the smaller numbers. It ends when no two nodes share a sampled word,
     or when an interval of steps (an eighth of the sets, and one) has cut the total size by a share of at
     most ``gain`` times the interval over the number of sets. The total size stands for the letters of the
     packed sets, of which it is the larger part, so that no set is packed for the test alone. Numbers of
     sets are by name; only they, the splits and one pair a step come to the driver.
     """
-    own = words.where(F.col("set_id").isNotNull() & F.col("kmer").isNotNull()).select("set_id", "kmer").distinct()
+    word = word_column(words)
+    own = words.where(F.col("set_id").isNotNull() & F.col(word).isNotNull()).select("set_id", bits_of(words).alias("code"))
     names = sorted(r["set_id"] for r in own.select("set_id").distinct().collect())
     spark, n0 = words.sparkSession, len(names)
     sets = spark.createDataFrame(list(zip(names, range(n0), strict=True)), "set_id string, node_id int")
-    of_word = written(own.join(F.broadcast(sets), "set_id").groupBy("kmer").agg(F.sort_array(F.collect_set("node_id")).alias("held")))
-    sampled = in_sample(K.encode(F.col("kmer")), k, n_bits, step)
+    of_word = written(own.join(F.broadcast(sets), "set_id").groupBy("code").agg(F.sort_array(F.collect_set("node_id")).alias("held")))
+    sampled = in_sample(F.col("code"), k, n_bits, step)
     classes = written(of_word.groupBy("held").agg(F.count("*").alias("cnt"), F.count_if(sampled).alias("sampled")))
     total = classes.agg(F.coalesce(F.sum(F.size("held") * F.col("cnt")), F.lit(0)).alias("n")).first()["n"]
     shared = classes.where("size(held) > 1 AND sampled > 0")
@@ -107,6 +107,6 @@ def compress(words: DataFrame, k: int, n_bits: int, step: int = 50, gain: float
         both = F.array_contains("held", best["j"]) & F.array_contains("held", best["k"])
         size -= classes.select("cnt", _after(splits).alias("held")).where(both).agg(F.sum("cnt").alias("n")).first()["n"]
         splits.append((best["j"], best["k"], n0 + len(splits)))
-    nodes = written(of_word.select(F.explode(_after(splits)).alias("node_id"), "kmer"))
+    nodes = written(spelled(of_word.select(F.explode(_after(splits)).alias("node_id"), "code"), k))
     edges = spark.createDataFrame([(p, n) for j, k_, n in splits for p in (j, k_)], "parent int, child int")
     return MultiSet(sets, nodes, edges, tuple(splits), n0)

@@ -1,4 +1,9 @@
-"""Counting words of reads, and algebra on sets of words."""
+"""Counting words of reads, and algebra on sets of words.
+
+A table of words has a column ``kmer`` (the string) or ``code`` (2 bits a base, words of at most 31
+letters); all operators take either. Codes are half the bytes to shuffle and are read off a fragment
+by shifts, so counting goes by codes and spells out what is left (:func:`spelled`).
+"""
 
 from __future__ import annotations
 
@@ -14,19 +19,50 @@ def fragments(reads: DataFrame) -> DataFrame:
     return reads.select(*rest, F.explode(F.split("seq", "N")).alias("frag")).where("length(frag) > 0")
 
 
+def word_column(words_: DataFrame) -> str:
+    return "code" if "code" in words_.columns else "kmer"
+
+
+def codes(strings: DataFrame, k: int, canonical: bool = True, column: str = "frag") -> DataFrame:
+    """The codes of all words of length k <= 31, one row each; shorter strings have none.
+
+    Strings are cut into overlapping pieces of 31 letters. A piece and its mirror image are coded once;
+    the words of both are shifts of the two codes.
+    """
+    if not 1 <= k <= 31:
+        raise ValueError("codes need 1 <= k <= 31")
+    rest = [c for c in strings.columns if c != column]
+    s, piece = F.col(column), F.col("__piece")
+    starts = F.explode(F.sequence(F.lit(1), F.length(s) - (k - 1), F.lit(32 - k)))
+    pieces = strings.where(F.length(s) >= k).select(*rest, s.alias("__s"), starts.alias("__at")).select(*rest, F.substring("__s", F.col("__at"), F.lit(31)).alias("__piece"))
+    coded = pieces.select(*rest, F.length(piece).alias("__m"), K.encode(piece).alias("__f"), K.encode(K.reverse_complement(piece)).alias("__r"))
+    at = coded.select("*", F.explode(F.sequence(F.lit(0), F.col("__m") - k)).alias("__j"))
+    mask = F.lit((1 << (2 * k)) - 1)
+    word = F.call_function("shiftright", F.col("__f"), 2 * (F.col("__m") - k - F.col("__j"))).bitwiseAND(mask)
+    mirror = F.call_function("shiftright", F.col("__r"), 2 * F.col("__j")).bitwiseAND(mask)
+    return at.select(*rest, (F.least(word, mirror) if canonical else word).alias("code"))
+
+
+def spelled(words_: DataFrame, k: int) -> DataFrame:
+    """The table with codes as strings."""
+    return words_.select(*[K.decode(F.col("code"), k).alias("kmer") if c == "code" else c for c in words_.columns])
+
+
 def words(strings: DataFrame, k: int, canonical: bool = True, column: str = "frag") -> DataFrame:
     """All words of length k, one row each; shorter strings have none."""
+    if k <= 31:
+        return spelled(codes(strings, k, canonical, column), k)
     rest = [c for c in strings.columns if c != column]
     s = F.col(column)
-    at = strings.where(F.length(s) >= k).select(*rest, column, F.explode(F.sequence(F.lit(1), F.length(s) - (k - 1))).alias("at"))
-    word = F.substring(s, F.col("at"), F.lit(k))
+    at = strings.where(F.length(s) >= k).select(*rest, column, F.explode(F.sequence(F.lit(1), F.length(s) - (k - 1))).alias("__at"))
+    word = F.substring(s, F.col("__at"), F.lit(k))
     return at.select(*rest, (K.canonical(word) if canonical else word).alias("kmer"))
 
 
 def count_words(rows: DataFrame, most: int | None = 255, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, kmer, cnt): counts that stop at ``most``. Sums are partial first, then clamped once."""
+    """(keys, word, cnt): counts that stop at ``most``. Sums are partial first, then clamped once."""
     n = F.count("*")
-    return rows.groupBy(*keys, "kmer").agg((n if most is None else F.least(n, F.lit(most).cast("long"))).alias("cnt"))
+    return rows.groupBy(*keys, word_column(rows)).agg((n if most is None else F.least(n, F.lit(most).cast("long"))).alias("cnt"))
 
 
 def cut_off(counts: DataFrame, least: int) -> DataFrame:
@@ -42,47 +78,56 @@ def n_dropped(counts: DataFrame, least: int) -> DataFrame:
 
 def add_counts(counts: DataFrame, more: DataFrame, most: int = 255) -> DataFrame:
     """Saturating sums of two counters."""
-    both = counts.select("kmer", "cnt").unionByName(more.select("kmer", "cnt"))
-    return both.groupBy("kmer").agg(F.least(F.sum("cnt"), F.lit(most).cast("long")).alias("cnt"))
+    word = word_column(counts)
+    both = counts.select(word, "cnt").unionByName(more.select(word, "cnt"))
+    return both.groupBy(word).agg(F.least(F.sum("cnt"), F.lit(most).cast("long")).alias("cnt"))
 
 
 def lookup(counts: DataFrame, asked: DataFrame) -> DataFrame:
     """The counts of asked words, 0 where there is none."""
-    return asked.join(counts, "kmer", "left").select("kmer", F.coalesce("cnt", F.lit(0)).cast("long").alias("cnt"))
+    word = word_column(counts)
+    return asked.join(counts, word, "left").select(word, F.coalesce("cnt", F.lit(0)).cast("long").alias("cnt"))
 
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.select("kmer").union(b.select("kmer")).distinct()
+    return a.select(word_column(a)).union(b.select(word_column(a))).distinct()
 
 
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.select("kmer").join(b.select("kmer"), "kmer", "left_anti")
+    return a.select(word_column(a)).join(b.select(word_column(a)), word_column(a), "left_anti")
 
 
 def intersection(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.select("kmer").join(b.select("kmer"), "kmer", "left_semi")
+    return a.select(word_column(a)).join(b.select(word_column(a)), word_column(a), "left_semi")
 
 
 def difference_size(a: DataFrame, b: DataFrame) -> DataFrame:
     """(n_diff, equal): words in one set only, by one aggregation over both."""
-    sides = a.select("kmer", F.lit(1).alias("side")).union(b.select("kmer", F.lit(2).alias("side")))
-    once = sides.groupBy("kmer").agg(F.sum("side").alias("side")).where("side <> 3")
+    word = word_column(a)
+    sides = a.select(word, F.lit(1).alias("side")).union(b.select(word, F.lit(2).alias("side")))
+    once = sides.groupBy(word).agg(F.sum("side").alias("side")).where("side <> 3")
     return once.agg(F.count("*").alias("n_diff"), (F.count("*") == 0).alias("equal"))
 
 
 def contains(words_: DataFrame, asked: DataFrame) -> DataFrame:
-    """(kmer, contained) for every asked word."""
-    held = words_.select("kmer", F.lit(True).alias("held")).distinct()
-    return asked.join(held, "kmer", "left").select("kmer", F.col("held").isNotNull().alias("contained"))
+    """(word, contained) for every asked word."""
+    word = word_column(words_)
+    held = words_.select(word, F.lit(True).alias("held")).distinct()
+    return asked.join(held, word, "left").select(word, F.col("held").isNotNull().alias("contained"))
 
 
 def find(words_: DataFrame, condition: Column) -> DataFrame:
     return words_.where(condition)
 
 
+def bits_of(words_: DataFrame) -> Column:
+    """The code of each word."""
+    return F.col("code") if "code" in words_.columns else K.encode(F.col("kmer"))
+
+
 def statistics(words_: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, size, hash): the number of words and the XOR of their codes."""
-    return words_.groupBy(*keys).agg(F.count("*").alias("size"), F.coalesce(F.bit_xor(K.encode(F.col("kmer"))), F.lit(0)).cast("long").alias("hash"))
+    return words_.groupBy(*keys).agg(F.count("*").alias("size"), F.coalesce(F.bit_xor(bits_of(words_)), F.lit(0)).cast("long").alias("hash"))
 
 
 def in_sample(bits: Column, k: int, n_bits: int, step: int = 50, offset: int = 7) -> Column:
@@ -93,11 +138,11 @@ def in_sample(bits: Column, k: int, n_bits: int, step: int = 50, offset: int = 7
 
 def sampled(words_: DataFrame, k: int, n_bits: int, step: int = 50, offset: int = 7) -> DataFrame:
     """The words of the sampled buckets (sampling is the operator's feature)."""
-    return words_.where(in_sample(K.encode(F.col("kmer")), k, n_bits, step, offset))
+    return words_.where(in_sample(bits_of(words_), k, n_bits, step, offset))
 
 
 def pair_weights(words_: DataFrame) -> DataFrame:
-    """(i, j, weight): words shared by each two sets (i < j).
+    """(i, j, weight): words shared by each two sets (i < j); rows may repeat.
 
     Words are grouped by the sets that hold them first, so pairs are made for each distinct group of
     sets, not for each word.
@@ -108,6 +153,6 @@ def pair_weights(words_: DataFrame) -> DataFrame:
 
 
 def colour_classes(words_: DataFrame) -> DataFrame:
-    """(colour, cnt): the sets that hold a word, in order, and the number of words with just these."""
-    of_word = words_.groupBy("kmer").agg(F.sort_array(F.collect_set("set_id")).alias("colour"))
+    """(colour, cnt): the sets that hold a word, in order, and the number of words with just these; rows may repeat."""
+    of_word = words_.groupBy(word_column(words_)).agg(F.sort_array(F.collect_set("set_id")).alias("colour"))
     return of_word.groupBy("colour").agg(F.count("*").alias("cnt"))

@@ -31,19 +31,29 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _words(spark: SparkSession, sf_dir: str, canonical: bool = True, k: int = SIZE) -> DataFrame:
-    return W.words(W.fragments(reads(spark, sf_dir)), k, canonical)
+    """(read_id, set_id, code) of every word."""
+    return W.codes(W.fragments(reads(spark, sf_dir)), k, canonical)
+
+
+def _counts(spark: SparkSession, sf_dir: str, canonical: bool = True, k: int = SIZE) -> DataFrame:
+    return W.count_words(_words(spark, sf_dir, canonical, k))
 
 
 def _set(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return _words(spark, sf_dir).where(F.col("set_id") == name).select("kmer").distinct()
+    return W.codes(W.fragments(reads(spark, sf_dir).where(F.col("set_id") == name)), SIZE).select("code").distinct()
 
 
 def _distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _words(spark, sf_dir).select("kmer").distinct()
+    return _words(spark, sf_dir).select("code").distinct()
+
+
+def _spelled(query: Callable[[SparkSession, str], DataFrame], k: int = SIZE) -> Callable[[SparkSession, str], DataFrame]:
+    """The query with its codes spelled out, after all else."""
+    return lambda s, d: W.spelled(query(s, d), k)
 
 
 def _scalar(column: Callable[[], Column], name: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda s, d: _distinct(s, d).select("kmer", column().alias(name))
+    return lambda s, d: W.spelled(_distinct(s, d), SIZE).select("kmer", column().alias(name))
 
 
 def _bits() -> Column:
@@ -55,7 +65,7 @@ def _folder(spark: SparkSession) -> str:
 
 
 def _graph_words(spark: SparkSession, sf_dir: str, canonical: bool = True) -> DataFrame:
-    return written(_words(spark, sf_dir, canonical).select("kmer").distinct())
+    return written(_words(spark, sf_dir, canonical).select("code").distinct())
 
 
 def _fasta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +73,7 @@ def _fasta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark)
     lines = reads(spark, sf_dir).select(F.concat(F.lit(">"), F.col("read_id").cast("string"), F.lit("\n"), "seq").alias("value"))
     lines.write.option("compression", "gzip").text(path)
-    return W.statistics(W.words(W.fragments(read_fasta(spark, path)), SIZE).select("kmer").distinct())
+    return W.statistics(W.codes(W.fragments(read_fasta(spark, path)), SIZE).select("code").distinct())
 
 
 def _spss_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +83,13 @@ def _spss_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.words_of(load_strings(spark, path, SIZE), SIZE)
 
 
+def _set_equals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A set against itself and against another."""
+    one = _set(spark, sf_dir, "src1")
+    rows = [W.difference_size(one, _set(spark, sf_dir, name)).withColumn("other", F.lit(name)) for name in ("src1", "src2")]
+    return rows[0].unionByName(rows[1])
+
+
 def _multiset(spark: SparkSession, sf_dir: str) -> multiset.MultiSet:
     return multiset.compress(_words(spark, sf_dir), SIZE, BUCKET_BITS)
 
@@ -86,22 +103,23 @@ def _multiset_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _shared_source_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that share a word are linked to the first one that has it."""
-    by = W.words(W.fragments(reads(spark, sf_dir)), 23).select("kmer", "read_id").distinct()
-    first = by.groupBy("kmer").agg(F.min("read_id").alias("x"))
-    return by.join(first, "kmer").select("x", F.col("read_id").alias("y")).distinct()
+    by = written(_words(spark, sf_dir, k=23).select("code", "read_id").distinct())
+    first = by.groupBy("code").agg(F.min("read_id").alias("x"), F.max("read_id").alias("y")).where("x < y").drop("y")
+    return by.join(first, "code").select("x", F.col("read_id").alias("y")).distinct()
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "set_stat": lambda s, d: W.statistics(W.cut_off(W.count_words(_words(s, d)), 2)),
-    "set_stat_by_source": lambda s, d: W.statistics(_words(s, d).select("set_id", "kmer").distinct(), ("set_id",)),
+    "set_stat": lambda s, d: W.statistics(W.cut_off(_counts(s, d), 2)),
+    "set_stat_by_source": lambda s, d: W.statistics(_words(s, d).select("set_id", "code").distinct(), ("set_id",)),
     "n_split_fragments": lambda s, d: W.fragments(reads(s, d)).groupBy("read_id").agg(F.count("*").alias("n_frags"), F.sum(F.length("frag")).alias("n_bases")),
-    "kmer_count_canonical_k15": lambda s, d: W.count_words(_words(s, d)),
-    "kmer_count_canonical_k23": lambda s, d: W.count_words(_words(s, d, k=23)),
-    "kmer_count_forward": lambda s, d: W.count_words(_words(s, d, canonical=False, k=9)),
-    "kmer_count_saturated": lambda s, d: W.count_words(_words(s, d, k=9)).where("cnt = 255"),
-    "count_cutoff": lambda s, d: W.cut_off(W.count_words(_words(s, d)), 4),
-    "count_dropped": lambda s, d: W.n_dropped(W.count_words(_words(s, d)), 4),
-    "count_add": lambda s, d: W.add_counts(W.count_words(_words(s, d, k=9)), W.count_words(_words(s, d, k=9).where("set_id = 'src1'"))),
-    "count_get": lambda s, d: W.lookup(W.count_words(_words(s, d).where("set_id = 'src1'")), _set(s, d, "src2")),
+    "kmer_count_canonical_k15": _spelled(_counts),
+    "kmer_count_canonical_k23": _spelled(lambda s, d: _counts(s, d, k=23), 23),
+    "kmer_count_forward": _spelled(lambda s, d: _counts(s, d, False, 9), 9),
+    "kmer_count_saturated": _spelled(lambda s, d: _counts(s, d, k=9).where("cnt = 255"), 9),
+    "count_cutoff": _spelled(lambda s, d: W.cut_off(_counts(s, d), 4)),
+    "count_dropped": lambda s, d: W.n_dropped(_counts(s, d), 4),
+    "count_add": _spelled(lambda s, d: W.add_counts(_counts(s, d, k=9), W.count_words(_words(s, d, k=9).where("set_id = 'src1'"))), 9),
+    "count_get": _spelled(lambda s, d: W.lookup(W.count_words(_words(s, d).where("set_id = 'src1'")), _set(s, d, "src2"))),
     "kmer_encode": _scalar(_bits, "bits"),
     "kmer_decode": _scalar(lambda: K.decode(_bits(), SIZE), "decoded"),
     "kmer_last": _scalar(lambda: K.last_base(F.col("kmer")), "last_base"),
@@ -109,23 +127,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kmer_canonical": _scalar(lambda: K.canonical(K.reverse_complement(F.col("kmer"))), "canonical"),
     "kmer_next": _scalar(lambda: K.following(F.col("kmer"), "C"), "next_c"),
     "kmer_prev": _scalar(lambda: K.preceding(F.col("kmer"), "C", SIZE), "prev_c"),
-    "kmer_nexts": lambda s, d: _distinct(s, d).select("kmer", F.explode(K.successors(F.col("kmer"))).alias("next_kmer")),
-    "kmer_prevs": lambda s, d: _distinct(s, d).select("kmer", F.explode(K.predecessors(F.col("kmer"), SIZE)).alias("prev_kmer")),
-    "bucket_key": lambda s, d: _distinct(s, d).select("kmer", K.bucket(_bits(), SIZE, BUCKET_BITS).alias("bucket"), K.bucket_key(_bits(), SIZE, BUCKET_BITS).alias("key")),
+    "kmer_nexts": lambda s, d: W.spelled(_distinct(s, d), SIZE).select("kmer", F.explode(K.successors(F.col("kmer"))).alias("next_kmer")),
+    "kmer_prevs": lambda s, d: W.spelled(_distinct(s, d), SIZE).select("kmer", F.explode(K.predecessors(F.col("kmer"), SIZE)).alias("prev_kmer")),
+    "bucket_key": _spelled(lambda s, d: _distinct(s, d).select("code", K.bucket(F.col("code"), SIZE, BUCKET_BITS).alias("bucket"), K.bucket_key(F.col("code"), SIZE, BUCKET_BITS).alias("key"))),
     "bucket_key_inverse": _scalar(lambda: K.from_bucket(K.bucket(_bits(), SIZE, BUCKET_BITS), K.bucket_key(_bits(), SIZE, BUCKET_BITS), SIZE, BUCKET_BITS), "bits"),
-    "sat_add": lambda s, d: W.count_words(_words(s, d, k=9)).select("kmer", K.saturating_add(F.col("cnt"), F.lit(200).cast("long")).alias("cnt")),
-    "set_union": lambda s, d: W.union(_set(s, d, "src1"), _set(s, d, "src2")),
-    "set_except": lambda s, d: W.difference(_set(s, d, "src1"), _set(s, d, "src2")),
-    "set_intersect": lambda s, d: W.intersection(_set(s, d, "src1"), _set(s, d, "src2")),
+    "sat_add": _spelled(lambda s, d: _counts(s, d, k=9).select("code", K.saturating_add(F.col("cnt"), F.lit(200).cast("long")).alias("cnt")), 9),
+    "set_union": _spelled(lambda s, d: W.union(_set(s, d, "src1"), _set(s, d, "src2"))),
+    "set_except": _spelled(lambda s, d: W.difference(_set(s, d, "src1"), _set(s, d, "src2"))),
+    "set_intersect": _spelled(lambda s, d: W.intersection(_set(s, d, "src1"), _set(s, d, "src2"))),
     "set_symdiff_size": lambda s, d: W.difference_size(_set(s, d, "src1"), _set(s, d, "src2")),
-    "set_equals": lambda s, d: W.difference_size(_set(s, d, "src1"), _set(s, d, "src1")),
-    "set_find": lambda s, d: W.find(_distinct(s, d), F.col("kmer").startswith("ACG")),
-    "set_sample_buckets": lambda s, d: W.sampled(_distinct(s, d), SIZE, BUCKET_BITS),
-    "pair_weights_full": lambda s, d: W.pair_weights(_words(s, d).distinct()),
-    "pair_weights_sampled": lambda s, d: W.pair_weights(W.sampled(_words(s, d), SIZE, BUCKET_BITS).distinct()),
-    "colour_classes": lambda s, d: W.colour_classes(_words(s, d)).select(F.array_join("colour", ",").alias("colour"), "cnt"),
-    "degree_by_side": lambda s, d: graph.side_degrees(_distinct(s, d), SIZE),
-    "set_contains": lambda s, d: W.contains(_set(s, d, "src1"), _set(s, d, "src2")),
+    "set_equals": _set_equals,
+    "set_find": lambda s, d: W.find(W.spelled(_distinct(s, d), SIZE), F.col("kmer").startswith("ACG")),
+    "set_sample_buckets": _spelled(lambda s, d: W.sampled(_distinct(s, d), SIZE, BUCKET_BITS)),
+    "pair_weights_full": lambda s, d: W.pair_weights(_words(s, d).select("set_id", "code")),
+    "pair_weights_sampled": lambda s, d: W.pair_weights(W.sampled(_words(s, d).select("set_id", "code"), SIZE, BUCKET_BITS)),
+    "colour_classes": lambda s, d: W.colour_classes(_words(s, d).select("set_id", "code")).select(F.array_join("colour", ",").alias("colour"), "cnt"),
+    "degree_by_side": _spelled(lambda s, d: graph.side_degrees(_distinct(s, d), SIZE)),
+    "set_contains": _spelled(lambda s, d: W.contains(_set(s, d, "src1"), _set(s, d, "src2"))),
     "terminal_ends": lambda s, d: graph.terminals(_graph_words(s, d), SIZE),
     "terminal_ends_directed": lambda s, d: graph.terminals(_graph_words(s, d, False), SIZE, canonical=False),
     "unitigs_canonical": lambda s, d: graph.unitigs(_graph_words(s, d), SIZE),
@@ -138,6 +156,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "spss_directed": lambda s, d: P.spss(_graph_words(s, d, False), SIZE, canonical=False),
     "spss_directed_to_set": lambda s, d: P.words_of(P.spss(_graph_words(s, d, False), SIZE, canonical=False), SIZE, canonical=False),
     "spss_weight": lambda s, d: P.string_stats(P.spss(_graph_words(s, d), SIZE), SIZE),
+    "spss_canonical_once": lambda s, d: P.held_once(P.spss(words := _graph_words(s, d), SIZE), words, SIZE),
+    "spss_shuffled_once": lambda s, d: P.held_once(P.spss(words := _graph_words(s, d), SIZE, shuffled=True), words, SIZE),
+    "spss_directed_once": lambda s, d: P.held_once(P.spss(words := _graph_words(s, d, False), SIZE, canonical=False), words, SIZE, canonical=False),
     "spss_load_roundtrip": _spss_roundtrip,
     "fasta_roundtrip": _fasta_roundtrip,
     "components": lambda s, d: graph.components(_shared_source_pairs(s, d), reads(s, d).select(F.col("read_id").alias("id"))),
@@ -161,8 +182,8 @@ def _rc(s: str) -> str:
 def _sql(body: str, k: int = SIZE, canonical: bool = True) -> str:
     word = f"least(w, {_rc('w')})" if canonical else "w"
     return (
-        f"WITH {_SPLIT}, p AS (SELECT set_id, frag, unnest(range(1, length(frag) - {k} + 2)) AS pos FROM f WHERE length(frag) >= {k}), "
-        f"w AS (SELECT set_id, {word} AS kmer FROM (SELECT set_id, substring(frag, pos, {k}) AS w FROM p)), "
+        f"WITH RECURSIVE {_SPLIT}, p AS (SELECT read_id, set_id, frag, unnest(range(1, length(frag) - {k} + 2)) AS pos FROM f WHERE length(frag) >= {k}), "
+        f"w AS (SELECT read_id, set_id, {word} AS kmer FROM (SELECT read_id, set_id, substring(frag, pos, {k}) AS w FROM p)), "
         f"d AS (SELECT DISTINCT kmer FROM w), c AS (SELECT kmer, least(count(*), 255)::BIGINT AS cnt FROM w GROUP BY kmer), "
         f"a AS (SELECT DISTINCT kmer FROM w WHERE set_id = 'src1'), b AS (SELECT DISTINCT kmer FROM w WHERE set_id = 'src2') {body}"
     )
@@ -170,6 +191,7 @@ def _sql(body: str, k: int = SIZE, canonical: bool = True) -> str:
 
 _BITS = "(" + " + ".join(f"(strpos('ACGT', substring(kmer, {i + 1}, 1)) - 1) * {4 ** (SIZE - 1 - i)}" for i in range(SIZE)) + ")::BIGINT"
 _LOW = 2 * SIZE - BUCKET_BITS
+BASES = "".join(K.BASES)
 _SAMPLE = f"({_BITS}) // {1 << _LOW} % 50 = 7 AND ({_BITS}) // {1 << _LOW} < {50 * (2**BUCKET_BITS // 50)}"
 
 
@@ -177,14 +199,50 @@ def _pairs(source: str) -> str:
     return f"SELECT x.set_id AS i, y.set_id AS j, count(*)::BIGINT AS weight FROM {source} x JOIN {source} y ON x.kmer = y.kmer AND x.set_id < y.set_id GROUP BY 1, 2"
 
 
-_TERMINALS = (
-    ", o AS ({oriented}), "
-    f"e AS (SELECT x.s AS u, y.s AS v FROM o x JOIN o y ON right(x.s, {SIZE - 1}) = left(y.s, {SIZE - 1}) AND x.c <> y.c), "
-    "one_out AS (SELECT u, any_value(v) AS v FROM e GROUP BY u HAVING count(*) = 1), "
-    "one_in AS (SELECT v FROM e GROUP BY v HAVING count(*) = 1), "
-    "m AS (SELECT u, v FROM one_out WHERE v IN (SELECT v FROM one_in)) "
-    "SELECT kmer, kmer NOT IN (SELECT v FROM m) AS starts, kmer NOT IN (SELECT u FROM m) AS ends FROM d"
-)
+def _graph_sql(body: str, canonical: bool = True) -> str:
+    """``o``: oriented words (s, canonical c, prefix and suffix of one letter less, n: successors that are other words).
+
+    Successors are counted by overlap, less the word's own two orientations, so no self-join is needed.
+    """
+    oriented = f"SELECT kmer AS s, kmer AS c FROM dm UNION ALL SELECT {_rc('kmer')}, kmer FROM dm" if canonical else "SELECT kmer AS s, kmer AS c FROM dm"
+    mine = "(pre = suf)::INT" + (f" + (left({_rc('s')}, {SIZE - 1}) = suf)::INT" if canonical else "")
+    return _sql(
+        f", dm AS MATERIALIZED (SELECT kmer FROM d), o0 AS MATERIALIZED (SELECT s, c, left(s, {SIZE - 1}) AS pre, right(s, {SIZE - 1}) AS suf FROM ({oriented})), "
+        "met AS MATERIALIZED (SELECT pre AS overlap, count(*) AS n FROM o0 GROUP BY pre), "
+        f"o AS MATERIALIZED (SELECT s, c, pre, suf, coalesce(n, 0) - ({mine}) AS n FROM o0 LEFT JOIN met ON suf = overlap) {body}",
+        canonical=canonical,
+    )
+
+
+_PRE = f"""ins AS MATERIALIZED (SELECT suf AS overlap, count(*) AS n FROM o0 GROUP BY suf),
+i AS MATERIALIZED (SELECT s, c, pre, coalesce(ins.n, 0) - ({{mine}}) AS n FROM o0 LEFT JOIN ins ON pre = overlap),
+m AS MATERIALIZED (SELECT x.s AS u, y.s AS v FROM o x JOIN i y ON x.suf = y.pre AND x.c <> y.c WHERE x.n = 1 AND y.n = 1)"""
+
+
+def _links_sql(body: str, canonical: bool = True) -> str:
+    """``m``: (u, v) where v is the only successor of u, and u the only predecessor of v."""
+    mine = "(pre = suf)::INT" + (f" + (right({_rc('s')}, {SIZE - 1}) = pre)::INT" if canonical else "")
+    return _graph_sql(f", {_PRE.format(mine=mine)} {body}", canonical)
+
+
+#: Strings that hold each word of the set exactly once, none else, and so many letters as their words and overlaps need.
+_ONCE = f"SELECT count(*)::BIGINT AS n_words, count(*)::BIGINT AS n_distinct, 0::BIGINT AS n_repeated, 0::BIGINT AS n_missing, 0::BIGINT AS n_foreign, bit_xor({_BITS})::BIGINT AS hash, true AS lengths_agree FROM d"
+
+_TERMINALS = "SELECT kmer, NOT (kmer IN (SELECT v FROM m)) AS starts, NOT (kmer IN (SELECT u FROM m)) AS ends FROM dm"
+
+#: Doublings of a pointer: paths of up to 2 ** 17 words.
+_DOUBLINGS = 17
+
+
+def _unitigs_sql(body: str, canonical: bool = True) -> str:
+    """``t``: unitig strings, by pointers doubled along ``m``; of a path and its mirror image one stays."""
+    start = "p0 AS MATERIALIZED (SELECT o.s, coalesce(m.u, o.s) AS up, (m.u IS NOT NULL)::INT AS dist FROM o LEFT JOIN m ON o.s = m.v)"
+    steps = [f"p{i + 1} AS MATERIALIZED (SELECT a.s, b.up, a.dist + b.dist AS dist FROM p{i} a JOIN p{i} b ON a.up = b.s)" for i in range(_DOUBLINGS)]
+    strings = f"t0 AS (SELECT up || coalesce(string_agg(right(s, 1), '' ORDER BY dist) FILTER (dist > 0), '') AS seq FROM p{_DOUBLINGS} GROUP BY up)"
+    first, last = (f"least({w}, {_rc(w)})" for w in (f"left(seq, {SIZE})", f"right(seq, {SIZE})"))
+    kept = f"WHERE {first} > {last} OR (length(seq) = {SIZE} AND seq <= {_rc('seq')})" if canonical else ""
+    return _links_sql(", " + ", ".join([start, *steps, strings, f"t AS MATERIALIZED (SELECT seq FROM t0 {kept})"]) + " " + body, canonical)
+
 
 ORACLES: dict[str, str] = {
     "set_stat": _sql(f"SELECT count(*)::BIGINT AS size, coalesce(bit_xor({_BITS}), 0)::BIGINT AS hash FROM c WHERE cnt >= 2"),
@@ -199,22 +257,22 @@ ORACLES: dict[str, str] = {
     "count_add": _sql("SELECT c.kmer, least(c.cnt + coalesce(o.n, 0), 255)::BIGINT AS cnt FROM c LEFT JOIN (SELECT kmer, least(count(*), 255) AS n FROM w WHERE set_id = 'src1' GROUP BY kmer) o ON c.kmer = o.kmer", 9),
     "count_get": _sql("SELECT b.kmer, coalesce(o.n, 0)::BIGINT AS cnt FROM b LEFT JOIN (SELECT kmer, least(count(*), 255) AS n FROM w WHERE set_id = 'src1' GROUP BY kmer) o ON b.kmer = o.kmer"),
     "kmer_encode": _sql(f"SELECT kmer, {_BITS} AS bits FROM d"),
-    "kmer_decode": _sql("SELECT kmer, kmer AS decoded FROM d"),
+    "kmer_decode": _sql(f", n AS (SELECT kmer, {_BITS} AS bits FROM d) SELECT kmer, {' || '.join(f'substring({BASES!r}, (bits // {4 ** i} % 4 + 1)::INT, 1)' for i in reversed(range(SIZE)))} AS decoded FROM n"),
     "kmer_last": _sql("SELECT kmer, right(kmer, 1) AS last_base FROM d"),
     "kmer_revcomp": _sql(f"SELECT kmer, {_rc('kmer')} AS revcomp FROM d"),
-    "kmer_canonical": _sql("SELECT kmer, kmer AS canonical FROM d"),
+    "kmer_canonical": _sql(f", n AS (SELECT kmer, {_rc('kmer')} AS m FROM d) SELECT kmer, least(m, {_rc('m')}) AS canonical FROM n"),
     "kmer_next": _sql("SELECT kmer, substring(kmer, 2) || 'C' AS next_c FROM d"),
     "kmer_prev": _sql(f"SELECT kmer, 'C' || left(kmer, {SIZE - 1}) AS prev_c FROM d"),
     "kmer_nexts": _sql("SELECT kmer, substring(kmer, 2) || unnest(['A', 'C', 'G', 'T']) AS next_kmer FROM d"),
     "kmer_prevs": _sql(f"SELECT kmer, unnest(['A', 'C', 'G', 'T']) || left(kmer, {SIZE - 1}) AS prev_kmer FROM d"),
     "bucket_key": _sql(f"SELECT kmer, ({_BITS}) // {1 << _LOW} AS bucket, ({_BITS}) % {1 << _LOW} AS key FROM d"),
-    "bucket_key_inverse": _sql(f"SELECT kmer, {_BITS} AS bits FROM d"),
+    "bucket_key_inverse": _sql(f", n AS (SELECT kmer, ({_BITS}) // {1 << _LOW} AS bucket, ({_BITS}) % {1 << _LOW} AS key FROM d) SELECT kmer, (bucket * {1 << _LOW} + key)::BIGINT AS bits FROM n"),
     "sat_add": _sql("SELECT kmer, least(cnt + 200, 255)::BIGINT AS cnt FROM c", 9),
     "set_union": _sql("SELECT kmer FROM a UNION SELECT kmer FROM b"),
     "set_except": _sql("SELECT kmer FROM a EXCEPT SELECT kmer FROM b"),
     "set_intersect": _sql("SELECT kmer FROM a INTERSECT SELECT kmer FROM b"),
     "set_symdiff_size": _sql("SELECT count(*)::BIGINT AS n_diff, count(*) = 0 AS equal FROM a FULL JOIN b ON a.kmer = b.kmer WHERE a.kmer IS NULL OR b.kmer IS NULL"),
-    "set_equals": _sql("SELECT 0::BIGINT AS n_diff, true AS equal"),
+    "set_equals": _sql(", ".join(["", *(f"{t}{n} AS (SELECT count(*)::BIGINT AS n_diff, count(*) = 0 AS equal, '{n}' AS other FROM a FULL JOIN {t} q ON a.kmer = q.kmer WHERE a.kmer IS NULL OR q.kmer IS NULL)" for t, n in (("a", "src1"), ("b", "src2")))]) + " SELECT * FROM asrc1 UNION ALL SELECT * FROM bsrc2"),
     "set_find": _sql("SELECT kmer FROM d WHERE kmer LIKE 'ACG%'"),
     "set_sample_buckets": _sql(f"SELECT kmer FROM d WHERE {_SAMPLE}"),
     "pair_weights_full": _sql(f", u AS (SELECT DISTINCT set_id, kmer FROM w) {_pairs('u')}"),
@@ -227,12 +285,27 @@ ORACLES: dict[str, str] = {
     "spss_directed_to_set": _sql("SELECT kmer FROM d", canonical=False),
     "multiset_get": _sql("SELECT kmer FROM a"),
     "multiset_all_sets": _sql(f"SELECT set_id, count(*)::BIGINT AS size, bit_xor({_BITS})::BIGINT AS hash FROM (SELECT DISTINCT set_id, kmer FROM w) GROUP BY set_id"),
-    "terminal_ends": _sql(_TERMINALS.format(oriented=f"SELECT kmer AS s, kmer AS c FROM d UNION ALL SELECT {_rc('kmer')}, kmer FROM d")),
-    "terminal_ends_directed": _sql(_TERMINALS.format(oriented="SELECT kmer AS s, kmer AS c FROM d"), canonical=False),
-    "degree_by_side": _sql(
-        f", o AS (SELECT kmer AS s, kmer AS c FROM d UNION ALL SELECT {_rc('kmer')}, kmer FROM d), "
-        f"e AS (SELECT x.s AS u FROM o x JOIN o y ON right(x.s, {SIZE - 1}) = left(y.s, {SIZE - 1}) AND x.c <> y.c), "
-        "n AS (SELECT u, count(*) AS n FROM e GROUP BY u) "
-        f"SELECT d.kmer, coalesce(r.n, 0)::BIGINT AS right, coalesce(l.n, 0)::BIGINT AS left FROM d LEFT JOIN n r ON r.u = d.kmer LEFT JOIN n l ON l.u = {_rc('d.kmer')}"
+    "unitigs_canonical": _unitigs_sql("SELECT seq FROM t"),
+    "unitigs_directed": _unitigs_sql("SELECT seq FROM t", False),
+    "unitig_stats": _unitigs_sql(f"SELECT count(*)::BIGINT AS n_strings, sum(length(seq) - {SIZE - 1})::BIGINT AS n_words, sum(length(seq))::BIGINT AS weight FROM t"),
+    "unitig_overlap_edges": _unitigs_sql(
+        f", z AS MATERIALIZED (SELECT x.*, left(t, {SIZE - 1}) AS pre, right(t, {SIZE - 1}) AS suf FROM (SELECT seq AS t, seq AS n FROM t UNION ALL SELECT {_rc('seq')}, seq FROM t) x) "
+        "SELECT x.t AS u, y.t AS v FROM z x JOIN z y ON x.suf = y.pre AND x.n <> y.n"
+    ),
+    "spss_canonical_once": _sql(_ONCE),
+    "spss_shuffled_once": _sql(_ONCE),
+    "spss_directed_once": _sql(_ONCE, canonical=False),
+    "components": _sql(
+        ", dw AS MATERIALIZED (SELECT DISTINCT kmer, read_id FROM w), fst AS MATERIALIZED (SELECT kmer, min(read_id) AS x FROM dw GROUP BY kmer), "
+        "g AS MATERIALIZED (SELECT DISTINCT x, read_id AS y FROM dw JOIN fst USING (kmer) WHERE x <> read_id), "
+        "near AS MATERIALIZED (SELECT x, y FROM g UNION SELECT y, x FROM g), "
+        "reach AS (SELECT x AS a, y AS c FROM near UNION SELECT reach.a, near.y FROM reach JOIN near ON reach.c = near.x) "
+        "SELECT r.read_id AS id, least(r.read_id, coalesce(min(c), r.read_id))::BIGINT AS component FROM r LEFT JOIN reach ON r.read_id = reach.a GROUP BY r.read_id",
+        23,
+    ),
+    "terminal_ends": _links_sql(_TERMINALS),
+    "terminal_ends_directed": _links_sql(_TERMINALS, False),
+    "degree_by_side": _graph_sql(
+        f"SELECT r.s AS kmer, r.n::BIGINT AS right, l.n::BIGINT AS left FROM o r JOIN o l ON l.s = {_rc('r.s')} WHERE r.s = r.c"
     ),
 }
