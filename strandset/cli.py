@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import argparse
 import time
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +21,7 @@ from strandset.sources.store import read_multiset, write_dot, write_multiset
 
 
 def bucket_bits(k: int) -> int:
-    """Bits of the bucket number: most of a short word, 10 to 14 of others."""
+    """Bits of the bucket number: most of a short word, 10 to 14 of others (fixed values)."""
     return min(2 * k, 10 if k == 19 else 14)
 
 
@@ -39,16 +38,22 @@ def build(spark: SparkSession, fasta: str, k: int, cutoff: int = 1, canonical: b
     return stats
 
 
+def _of_files(spark: SparkSession, paths: list[str], k: int, canonical: bool, name: str) -> DataFrame:
+    """(name, code): the words of packed sets, all files in one scan; each is named by the longest of ``paths`` in its own."""
+    strings = load_strings(spark, paths, k)
+    given = F.filter(F.array(*map(F.lit, paths)), lambda p: F.contains(F.col("file"), p))
+    longest = F.array_max(F.transform(given, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
+    return W.codes(strings.select(F.coalesce(longest, F.col("file")).alias(name), "seq"), k, canonical, "seq").distinct()
+
+
 def stat(spark: SparkSession, paths: list[str], k: int, canonical: bool = True) -> DataFrame:
     """(file, size, hash) of packed sets."""
-    rows = [words_of(load_strings(spark, p, k), k, canonical).select(F.lit(p).alias("file"), "kmer") for p in paths]
-    return W.statistics(reduce(DataFrame.unionByName, rows), ("file",))
+    return W.statistics(_of_files(spark, paths, k, canonical, "file"), ("file",))
 
 
 def compress_files(spark: SparkSession, paths: list[str], k: int, out: str, canonical: bool = True, graph: str | None = None) -> None:
     """Packed sets to a multi-set folder, and its graph in DOT."""
-    rows = [words_of(load_strings(spark, p, k), k, canonical).select(F.lit(p).alias("set_id"), "kmer") for p in paths]
-    multi = compress(reduce(DataFrame.unionByName, rows), k, bucket_bits(k))
+    multi = compress(_of_files(spark, paths, k, canonical, "set_id"), k, bucket_bits(k))
     write_multiset(multi, out)
     if graph:
         write_dot(multi.edges, graph)

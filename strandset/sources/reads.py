@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandset.operators.lineage import few, written
+
 #: Each letter's base, ACGT in turn over the alphabet, the same for both cases.
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LETTER_BASES = 2 * ("ACGT" * 7)[:26]
@@ -21,21 +23,33 @@ def reads_from_documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("read_id"), F.col("source").alias("set_id"), seq.alias("seq"))
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, read_id, seq) of FASTA files with two lines a record; gz and bz2 by extension.
 
     An odd number of lines, a header without ``>`` and a sequence with other characters than A, C, G, T,
     N raise InvalidInput. An empty file has no reads.
+
+    A record is one row, cut off before the next line that begins with ``>``, so that Spark splits plain and bzip2
+    files; only a gzip file is one task. Records are numbered within a split and by the splits before it.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"\n\z", "").alias("value"))
-    lines = whole.where("value <> ''").select("file", F.posexplode(F.split("value", "\n", -1)).alias("pos", "line"))
-    odd = lines.groupBy("file").agg((F.count("*") % 2).alias("odd")).where("odd = 1")
-    header = (F.col("pos") % 2 == 0) & ~F.col("line").startswith(">")
-    sequence = (F.col("pos") % 2 == 1) & ~F.col("line").rlike("^[ACGTN]*$")
-    bad = lines.where(header | sequence).select("file").unionByName(odd.select("file")).take(1)
+    rows = spark.read.option("lineSep", "\n>").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value"
+    )
+    heads = F.min(F.struct("at", F.col("value").startswith(">").alias("marked"))).alias("head")
+    splits = rows.groupBy("file", "block").agg(heads, F.max("at").alias("end"), F.count("*").alias("n"))
+    of_file = Window.partitionBy("file")  # a row for each split of a file
+    before = F.coalesce(F.sum("n").over(of_file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = F.col("block") == F.max("block").over(of_file)
+    marked = F.min(F.struct("block", "head.marked")).over(of_file)["marked"]
+    placed = written(splits.select("file", "block", F.col("head.at").alias("from"), F.when(last, F.col("end")).alias("last"), before.alias("before"), marked.alias("marked"), F.sum("n").over(of_file).alias("of")))
+    ends = F.coalesce(F.col("at") == F.col("last"), F.lit(False))
+    value = F.when(ends, F.regexp_replace("value", r"\n\z", "")).otherwise(F.col("value"))
+    records = rows.join(few(placed), ["file", "block"]).select("file", (F.col("before") + F.col("at") - F.col("from")).alias("read_id"), value.alias("value"), "marked", "of")
+    records = records.where("NOT (of = 1 AND value = '')")
+    bad = records.where(~F.col("value").rlike(r"\A[^\n]*\n[ACGTN]*\z") | ~F.col("marked")).select("file").take(1)
     if bad:
         raise InvalidInput(f"{bad[0]['file']} is not FASTA with two lines a record over ACGTN")
-    return lines.where("pos % 2 = 1").select("file", ((F.col("pos") - 1) / 2).cast("long").alias("read_id"), F.col("line").alias("seq"))
+    return records.select("file", "read_id", F.substring_index("value", "\n", -1).alias("seq"))
 
 
 def write_strings(strings: DataFrame, path: str, compression: str = "none") -> None:
@@ -43,9 +57,9 @@ def write_strings(strings: DataFrame, path: str, compression: str = "none") -> N
     strings.select("seq").write.mode("error").option("compression", compression).text(path)
 
 
-def load_strings(spark: SparkSession, path: str, k: int) -> DataFrame:
-    """Strings of a set from text files; shorter ones than k and other characters raise InvalidInput."""
-    strings = spark.read.text(path).select(F.col("value").alias("seq"))
+def load_strings(spark: SparkSession, path: str | list[str], k: int) -> DataFrame:
+    """(seq, file): strings of sets from text files, all in one scan; shorter ones than k and other characters raise InvalidInput."""
+    strings = spark.read.text(path).select(F.col("value").alias("seq"), F.col("_metadata.file_path").alias("file"))
     if strings.where((F.length("seq") < k) | ~F.col("seq").rlike("^[ACGT]+$")).take(1):
         raise InvalidInput(f"{path} holds a line that is no string of {k} or more bases")
     return strings
