@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandset.operators.lineage import shared_folder, written
+from strandset.operators.lineage import few, shared_folder, written
 
-__all__ = ["cut", "held_out", "one_byte", "row_key", "runs_of", "shared_folder", "slices", "table", "texts", "written"]
+__all__ = ["cut", "few", "held_out", "one_byte", "row_key", "runs_of", "shared_folder", "slices", "table", "texts", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandset.llm.common import cut, row_key, slices, written
+from strandset.llm.common import cut, few, row_key, slices, written
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 1024  # bits of a set, a power of two
@@ -333,11 +333,6 @@ def _most_shared(x: bytes, y: bytes) -> float:
     return np.inf if full else np.minimum(a, b.reshape(len(a), -1).sum(axis=1)).sum()
 
 
-def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """A narrow table to be joined: broadcast if it has at most ``most`` rows, else left to a shuffle."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def _whole_sets(read: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """(node, n, shingles, counts) of the wanted ``nodes`` (node, k1, k2), one row each."""
 
