@@ -9,73 +9,65 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-_KEY = ("__row_id", "__row_hash")
+from strandset.llm.common import slices
 
 
-def _windows(docs: DataFrame, text: str, size: int) -> DataFrame:
-    """(h1, h2, __row_id, __row_hash, pos): the 128-bit hash of each window of ``size`` lines."""
+def _windows(keyed: DataFrame, size: int) -> DataFrame:
+    """(h1, h2, id, row, pos) of (id, row, text): the 128-bit hash of each window of ``size`` lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
-        for batch in batches:
-            ids, hashes = (batch.column(c).to_pylist() for c in _KEY)
+        for batch in slices(batches, 256):
             found: list[bytes] = []
-            row_ids, row_hashes, counts = [], [], []
-            pos: list[np.ndarray] = []
-            for i, h, s in zip(ids, hashes, batch.column("__text").to_pylist(), strict=True):
+            at: list[int] = []
+            pos: list[int] = []
+            for row, s in enumerate(batch.column("text").to_pylist()):
                 lines = (s or "").split("\n")
                 if len(lines) < size:
                     continue
                 d = [digest(x.encode("utf-8", "replace")) for x in lines]
-                own = [digest(b"".join(d[j : j + size])) for j in range(len(d) - size + 1) if any(lines[j : j + size])]
-                pos.append(np.array([j for j in range(len(d) - size + 1) if any(lines[j : j + size])], np.int32))
-                found += own
-                row_ids.append(i)
-                row_hashes.append(h)
-                counts.append(len(own))
+                own = [j for j in range(len(d) - size + 1) if any(lines[j : j + size])]
+                found += [digest(b"".join(d[j : j + size])) for j in own]
+                pos += own
+                at += [row] * len(own)
             both = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
-            at = np.repeat(np.arange(len(counts)), counts)
-            yield pa.record_batch(
-                [pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(row_ids, pa.int64()).take(pa.array(at)), pa.array(row_hashes, pa.int64()).take(pa.array(at)), pa.array(np.concatenate(pos) if pos else np.zeros(0, np.int32))],
-                ["h1", "h2", *_KEY, "pos"],
-            )
+            rows = pa.array(at, pa.int64())
+            yield pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1]), batch.column("id").take(rows), batch.column("row").take(rows), pa.array(pos, pa.int32())], ["h1", "h2", "id", "row", "pos"])
 
-    return docs.select(*_KEY, F.col(text).cast("string").alias("__text")).mapInArrow(run, "h1 long, h2 long, __row_id long, __row_hash long, pos int")
+    return keyed.select("id", "row", "text").mapInArrow(run, "h1 long, h2 long, id long, row long, pos int")
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, counts: bool = True) -> DataFrame:
     """Removes later occurrences of repeated windows of ``size`` consecutive lines.
 
-    Returns all columns with ``text`` replaced by the kept lines, and n_lines and n_removed (long)
-    appended. A window is found again if its lines are equal anywhere in the corpus, the same document
-    included; its first occurrence by (doc_id, row hash, position) stays, and the lines that any later
-    one covers go. Windows of empty lines only don't count. A null text stays null and an empty text is
-    one empty line, with nothing removed; texts of fewer lines hold no window; null ids come first.
+    Returns all columns with ``text`` replaced by the kept lines and, with ``counts``, n_lines and
+    n_removed (long) appended. A window is found again if its lines are equal anywhere in the corpus, the
+    same document included; its first occurrence by (doc_id, row hash, position) stays, and the lines that
+    any later one covers go. Windows of empty lines only don't count. A null text stays null and an empty
+    text is one empty line, with nothing removed; texts of fewer lines hold no window; null ids come first.
     Rows with equal id and text are one document and are treated alike, so that a repeated row keeps
-    its lines. An empty table gives an empty result; clashing columns are not touched, but n_lines and
-    n_removed replace columns of these names.
+    its lines. An empty table gives an empty result. Columns of any other name are not touched; with
+    ``counts``, n_lines and n_removed take the place of columns of these names, else those stay too.
 
     Windows are counted by partial aggregation and only those seen in two places are joined back; the
     join's hot keys are left to adaptive execution, which splits them.
     """
-    keyed = docs.withColumns({_KEY[0]: F.col(doc_id).cast("long"), _KEY[1]: F.xxhash64(F.col(text).cast("string"))})
-    windows = _windows(keyed, text, size)
-    place = F.struct(*_KEY, "pos")
+    t, i = F.col(f"`{text}`").cast("string"), F.col(f"`{doc_id}`").cast("long")
+    keyed = docs.select(F.struct("*").alias("all"), i.alias("id"), t.alias("text")).select("all", "id", "text", F.xxhash64("text").alias("row"))
+    windows = _windows(keyed, size)
+    place = F.struct("id", "row", "pos")
     first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h1", "h2", "first")
     later = windows.join(first, ["h1", "h2"]).where(place != F.col("first"))
-    covered = later.groupBy(*_KEY).agg(F.collect_set("pos").alias("__starts"))
-    same = (F.coalesce(F.col(f"d.{_KEY[0]}"), F.lit(0)) == F.coalesce(F.col(f"c.{_KEY[0]}"), F.lit(0))) & (
-        F.col(f"d.{_KEY[0]}").isNull() == F.col(f"c.{_KEY[0]}").isNull()
-    ) & (F.col(f"d.{_KEY[1]}") == F.col(f"c.{_KEY[1]}"))
-    met = keyed.alias("d").join(covered.alias("c"), same, "left")
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    kept = met.select(*[F.col(f"d.`{c}`").alias(c) for c in names], F.col("c.__starts").alias("__starts"))
+    covered = later.groupBy("id", "row").agg(F.collect_set("pos").alias("starts"))
+    met = keyed.alias("d").join(covered.alias("c"), F.col("d.id").eqNullSafe(F.col("c.id")) & (F.col("d.row") == F.col("c.row")), "left")
+    kept = met.select("d.all", "d.text", "c.starts")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 256):
             new, n_lines, n_removed = [], [], []
-            for s, starts in zip(batch.column("__text").to_pylist(), batch.column("__starts").to_pylist(), strict=True):
+            for s, starts in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist(), strict=True):
                 lines = (s or "").split("\n")
                 gone = np.zeros(len(lines) + size, bool)
                 if starts:
@@ -85,15 +77,11 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
                 new.append("\n".join([x for x, g in zip(lines, gone.tolist(), strict=False) if not g]) if n else s)
                 n_lines.append(len(lines))
                 n_removed.append(n)
-            rest = [batch.column(i) for i, c in enumerate(batch.schema.names) if c not in ("__text", "__starts")]
-            head = [c for c in batch.schema.names if c not in ("__text", "__starts")]
-            yield pa.record_batch([*rest, pa.array(new, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], [*head, "__text", "n_lines", "n_removed"])
-
-    others = [c for c in names if c != text]
-    read = kept.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`").cast("string").alias("__text"), "__starts")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema if f.name in others]
-    out = read.mapInArrow(apply, ", ".join([*fields, "__text string", "n_lines long", "n_removed long"]))
-    return out.select(*[F.col("__text").alias(text) if c == text else F.col(f"`{c}`") for c in names], "n_lines", "n_removed")
+            yield pa.record_batch([batch.column("all"), pa.array(new, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], ["all", "text", "n_lines", "n_removed"])
+
+    out = kept.mapInArrow(apply, StructType([kept.schema["all"], *StructType.fromDDL("text string, n_lines long, n_removed long")]))
+    own = ("n_lines", "n_removed") if counts else ()
+    return out.select(*[F.col("text").alias(c) if c == text else F.col("all")[c].alias(c) for c in docs.columns if c not in own], *own)
 
 
 #: The same in DuckDB's SQL, by the windows' texts themselves.
