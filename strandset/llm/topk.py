@@ -8,14 +8,16 @@ below the query's k-th score.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandset.llm.common import cut
+from strandset.llm.common import cut, few, slices
+
+_NONE = -(2**62)  # below any score; its negative is still a 64-bit integer
 
 
 def quantized(vectors: DataFrame, vec_id: str, embedding: str, scale: int) -> DataFrame:
@@ -66,19 +68,25 @@ def _arrays(ids: bytes, values: bytes, dim: int) -> tuple[np.ndarray, np.ndarray
     return np.frombuffer(ids, np.int64), np.frombuffer(values, np.int64).reshape(-1, dim)
 
 
+def _bounds(q: np.ndarray, most: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """For each query and range of vectors what no score exceeds: the summed products with the range's extremes."""
+    return np.maximum(q, 0) @ most.T + np.minimum(q, 0) @ least.T
+
+
 def search_block(
-    q_ids: np.ndarray, q: np.ndarray, d_ids: np.ndarray, d: np.ndarray, k: int, block: int
+    q_ids: np.ndarray, q: np.ndarray, d_ids: np.ndarray, d: np.ndarray, k: int, block: int, reached: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best (query, vector, score) of one shard for each query, ties to the smaller vector id.
 
     Blocks of ``block`` documents are taken in the order of their bounds; a query stops at the first
-    bound below its k-th score (an equal bound may still hold a tie with a smaller id).
+    bound below its k-th score, or below the k-th score that it has ``reached`` elsewhere (an equal bound
+    may still hold a tie with a smaller id).
     """
     starts = np.arange(0, len(d), block)
     most, least = np.maximum.reduceat(d, starts), np.minimum.reduceat(d, starts)
-    bounds = np.maximum(q, 0) @ most.T + np.minimum(q, 0) @ least.T
+    bounds = _bounds(q, most, least)
     order = np.argsort(-bounds, axis=1, kind="stable")
-    floor = np.int64(-(2**62))  # below any score; its negative is still an int64
+    floor = np.int64(_NONE)
     top_s = np.full((len(q), k), floor)
     top_i = np.full((len(q), k), np.iinfo(np.int64).max)
     # Integer sums of this size are exact in doubles, whose matrix product is much faster.
@@ -87,7 +95,7 @@ def search_block(
     active = np.arange(len(q))
     for step in range(len(starts)):
         which = order[active, step]
-        keep = bounds[active, which] >= top_s[active, -1]
+        keep = bounds[active, which] >= (top_s[active, -1] if reached is None else np.maximum(top_s[active, -1], reached[active]))
         active, which = active[keep], which[keep]
         if not len(active):
             break
@@ -126,33 +134,88 @@ def top_k(
     once, with the smallest of its vectors. Other columns are not read; an empty table gives an empty
     result.
 
-    Queries in packs of ``queries_at_once`` meet shards of ``shard`` vectors by an equi-join on the
-    shard's number, so a task holds one pack and one shard. Each shard returns k rows a query.
+    Vectors lie in shards of ``shard`` rows. A first pass over the shards' term maxima alone gives each
+    query the shard of its highest bound, whose k-th score is its threshold; a second one gives the other
+    shards whose bounds reach it. Only there are queries sent, in packs of ``queries_at_once``, so a task
+    holds one pack and one shard, and a shard returns k rows a query.
     """
     rows = cut(quantized(vectors, vec_id, embedding, scale))
-    asked = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    shards = _packed(rows, shard, shard, ("lead", "vec_id"))
-    numbered = cut(shards.withColumn("shard", F.monotonically_increasing_id()))
-    # One number for each shard is all that is listed: rows / shard of them.
-    numbers = numbered.select("shard", "dim")
-    packs = _packed(asked, queries_at_once, queries_at_once, ("lead", "vec_id")).select(
-        "dim", F.col("ids").alias("q_ids"), F.col("values").alias("q_values")
-    )
-    pairs = packs.join(numbers, "dim").repartition("shard")
+    asked = cut(rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).select(F.col("vec_id").alias("query_id"), "v", F.size("v").alias("dim")))
+    shards = cut(_packed(rows, shard, shard, ("lead", "vec_id")).withColumn("shard", F.monotonically_increasing_id()))
+    best = cut(best_shards(asked, shards, queries_at_once))
+    first = cut(_searched(asked.join(best, "query_id").withColumn("reached", F.lit(_NONE)), shards, k, block, queries_at_once))
+    full = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+    threshold = full.select("query_id", F.when(F.col("n") == k, F.col("least")).otherwise(_NONE).alias("reached"))
+    # A query alone in its first shard found none there: any score reaches it.
+    open_ = cut(asked.join(threshold, "query_id", "left").withColumn("reached", F.coalesce("reached", F.lit(_NONE))))
+    others = reaching_shards(open_, shards, queries_at_once).join(best, ["query_id", "shard"], "left_anti")
+    found = first.unionByName(_searched(open_.join(others, "query_id"), shards, k, block, queries_at_once))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _bounded(asked: DataFrame, shards: DataFrame, queries_at_once: int, maxima_at_once: int, choose: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(query_id, shard, bound) of the pairs that ``choose`` takes by the bounds (queries x shards) and what queries have reached.
+
+    Packs of queries meet chunks of the shards' term maxima, some two vectors a shard; no vectors are sent.
+    """
+
+    def extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                q_ids, q = _arrays(row["q_ids"], row["q_values"], row["dim"])
+                d = _arrays(row["ids"], row["values"], row["dim"])[1]
+                kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                values = (row["dim"], row["shard"], d.max(axis=0).tolist(), d.min(axis=0).tolist())
+                yield pa.record_batch([pa.array([x], t) for x, t in zip(values, kinds, strict=True)], ["dim", "shard", "most", "least"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 8):
+            for row in batch.to_pylist():
+                most, least, number = (np.array([m[c] for m in row["maxima"]]) for c in ("most", "least", "shard"))
+                q, ids, reached = (np.array([x[c] for x in row["queries"]]) for c in ("v", "query_id", "reached"))
+                bounds = _bounds(q, most, least)
+                i, j = np.nonzero(choose(bounds, reached))
+                yield pa.record_batch([pa.array(ids[i]), pa.array(number[j]), pa.array(bounds[i, j])], ["query_id", "shard", "bound"])
+
+    maxima = shards.mapInArrow(extremes, "dim int, shard long, most array<long>, least array<long>")
+    chunks = _grouped(maxima, "dim", "maxima", ("shard", "most", "least"), maxima_at_once)
+    packs = _grouped(asked, "dim", "queries", ("query_id", "v", "reached"), queries_at_once)
+    return packs.join(chunks, "dim").select("queries", "maxima").mapInArrow(compare, "query_id long, shard long, bound long")
+
+
+def best_shards(asked: DataFrame, shards: DataFrame, queries_at_once: int, maxima_at_once: int = 1_024) -> DataFrame:
+    """(query_id, shard): the shard of the highest bound for each query (query_id, v, dim)."""
+    found = _bounded(asked.withColumn("reached", F.lit(_NONE)), shards, queries_at_once, maxima_at_once, lambda bounds, _: bounds == bounds.max(axis=1, keepdims=True))
+    return found.groupBy("query_id").agg(F.max(F.struct("bound", "shard")).alias("s")).select("query_id", "s.shard")
+
+
+def reaching_shards(asked: DataFrame, shards: DataFrame, queries_at_once: int, maxima_at_once: int = 1_024) -> DataFrame:
+    """(query_id, shard): all shards whose bounds reach the score that a query (query_id, v, dim, reached) has reached."""
+    found = _bounded(asked, shards, queries_at_once, maxima_at_once, lambda bounds, reached: bounds >= reached[:, None])
+    return found.select("query_id", "shard")
+
+
+def _grouped(rows: DataFrame, by: str, name: str, columns: tuple[str, ...], most: int) -> DataFrame:
+    """(by, name): the columns of about ``most`` rows of a key together, in as many groups as it takes."""
+    n = cut(rows.groupBy(by).agg(F.ceil(F.count("*") / F.lit(most)).alias("parts")))
+    part = F.pmod(F.xxhash64(columns[0]), F.col("parts")).alias("part")
+    return rows.join(few(n), by).select("*", part).groupBy(by, "part").agg(F.collect_list(F.struct(*columns)).alias(name)).drop("part")
+
+
+def _searched(asked: DataFrame, shards: DataFrame, k: int, block: int, queries_at_once: int) -> DataFrame:
+    """(query_id, vec_id, score): the k best of each shard for the queries (query_id, v, reached, shard) sent to it."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 8):
+            for row in batch.to_pylist():
+                q_ids, q, reached = (np.array([x[c] for x in row["queries"]]) for c in ("query_id", "v", "reached"))
                 d_ids, d = _arrays(row["ids"], row["values"], row["dim"])
-                a, b, s = search_block(q_ids, q, d_ids, d, k, block)
+                a, b, s = search_block(q_ids, q, d_ids, d, k, block, reached)
                 yield pa.record_batch([pa.array(a), pa.array(b), pa.array(s)], ["query_id", "vec_id", "score"])
 
-    met = pairs.join(numbered.drop("dim"), "shard")
-    found = met.mapInArrow(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    packs = _grouped(asked, "shard", "queries", ("query_id", "v", "reached"), queries_at_once)
+    return packs.join(shards, "shard").mapInArrow(search, "query_id long, vec_id long, score long")
 
 
 #: The registered query in DuckDB's SQL: every query against all rows.
