@@ -191,14 +191,16 @@ def pack_documents(
     read; an empty table gives an empty result.
 
     The histogram of lengths (at most ``capacity`` rows) is all that reaches the driver. Ranks are
-    numbered within (length, salt), with as many salts as keep a group near ``ranked_at_once`` rows,
-    and moved on by the counts of the salts before.
+    numbered within (length, salt), with as many salts for a length as keep a group within a partition's
+    share of all rows, ``ranked_at_once`` at most, and moved on by the counts of the salts before.
     """
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     pieces = cut(tokenized_pieces(docs, doc_id, text, path, capacity))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    salts = max(1, -(-max(counts.values(), default=1) // ranked_at_once))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    spark = docs.sparkSession
+    share = max(1, min(ranked_at_once, sum(counts.values()) // int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    salts = spark.createDataFrame([(length, -(-n // share)) for length, n in sorted(counts.items())], "length long, salts long")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts"))).drop("salts")
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     shift = (
         salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
