@@ -70,9 +70,10 @@ class Grams:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable, bound: int, grams: Callable[[], Grams]) -> DataFrame:
-    """At most ``bound`` labelled documents as (y, order, grams): those first in the order of their ids' hashes.
+    """At most ``bound`` labelled documents as (doc_id, y, grams): those first in the order of their ids' hashes.
 
-    Ids are chosen first, so at most ``bound`` of them are joined to the texts.
+    Ids are chosen first, so at most ``bound`` of them are joined to the texts; of rows with one id the
+    smallest text is taken, so that the bound holds for rows as well.
     """
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
@@ -81,7 +82,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable, b
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     )
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = read.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
+    rows = read.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.min("text").alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = grams()
