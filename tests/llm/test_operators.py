@@ -102,6 +102,32 @@ def test_op3_is_brute_force(spark):
     assert set(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == expected
 
 
+def test_op3_shards_below_a_threshold_are_left_out(spark):
+    """Clustered vectors: fewer (query, shard) pairs than all are scored, and the result is brute force."""
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(12, 16)) * 4
+    values = np.round(np.repeat(centres, 60, axis=0) + r.normal(size=(720, 16)) * 0.2, 2)
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(values)], "vec_id long, embedding array<double>")
+    rows = topk.quantized(frame, "vec_id", "embedding", 256)
+    shards = topk.cut(topk._packed(rows, 32, 32, ("lead", "vec_id")).withColumn("shard", F.monotonically_increasing_id()))
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "v", F.size("v").alias("dim"))
+    q = np.floor(values * 256).astype(np.int64)
+    scores = q[::50] @ q.T
+    scores[np.arange(len(scores)), np.arange(0, 720, 50)] = -(2**40)
+    kth = spark.createDataFrame([(50 * i, int(np.sort(s)[-5])) for i, s in enumerate(scores)], "query_id long, reached long")
+    n = topk.reaching_shards(asked.join(kth, "query_id"), shards, 4, 8).count()
+    assert len(scores) <= n < 0.5 * len(scores) * shards.count()
+    got = topk.top_k(frame, F.col("vec_id") % 50 == 0, shard=32, block=8, queries_at_once=4).collect()
+    expected = {(50 * i, rank + 1, int(j), int(s[j])) for i, s in enumerate(scores) for rank, j in enumerate(np.lexsort((np.arange(720), -s))[:5])}
+    assert set(map(tuple, got)) == expected
+
+
+def test_op3_repeated_ids(spark):
+    rows = [(0, [1.0, 2.0]), (0, [3.0, 1.0]), (1, [1.0, 1.0]), (1, [2.0, 2.0]), (2, [0.0, 1.0]), (None, [9.0, 9.0]), (3, [1.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, scale=1).collect()
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1, 6), (2, 1, 3), (3, 2, 2)]
+
+
 def test_op4_finds_edited_passages_and_no_others(spark):
     r = random.Random(9)
     items = [(i, prose(r, 30, 5000)) for i in range(6)] + [(None, "short"), (8, None), (9, "")]
