@@ -16,7 +16,7 @@ from strandset.operators.multiset import compress
 from strandset.operators.spss import join_unitigs, spss, string_stats, words_of
 from strandset.operators.graph import unitigs
 from strandset.operators.lineage import written
-from strandset.sources.reads import load_strings, read_fasta, write_strings
+from strandset.sources.reads import load_files, load_strings, read_fasta, write_strings
 from strandset.sources.store import read_multiset, write_dot, write_multiset
 
 
@@ -40,7 +40,7 @@ def build(spark: SparkSession, fasta: str, k: int, cutoff: int = 1, canonical: b
 
 def _of_files(spark: SparkSession, paths: list[str], k: int, canonical: bool, name: str) -> DataFrame:
     """(name, code): the words of packed sets, all files in one scan; each is named by the longest of ``paths`` in its own."""
-    strings = load_strings(spark, paths, k)
+    strings = load_files(spark, paths, k)
     given = F.filter(F.array(*map(F.lit, paths)), lambda p: F.contains(F.col("file"), p))
     longest = F.array_max(F.transform(given, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
     return W.codes(strings.select(F.coalesce(longest, F.col("file")).alias(name), "seq"), k, canonical, "seq").distinct()

@@ -88,12 +88,10 @@ def terminals(words: DataFrame, k: int, canonical: bool = True) -> DataFrame:
     """(kmer, starts, ends): whether no unitig goes on before or after each word, read as it stands."""
     codes = written(_codes(words, k, canonical))
     linked = written(mates(codes, k))
-    own = codes.where("s = c").select("s")
-    has_up = linked.select("s", F.lit(True).alias("has_up"))
-    has_down = linked.select(F.col("up").alias("s"), F.lit(True).alias("has_down"))
-    return own.join(has_up, "s", "left").join(has_down, "s", "left").select(
-        K.decode(F.col("s"), k).alias("kmer"), F.col("has_up").isNull().alias("starts"), F.col("has_down").isNull().alias("ends")
-    )
+    marks = [(codes.where("s = c").select("s"), (True, False, False)), (linked.select("s"), (False, True, False)), (linked.select(F.col("up").alias("s")), (False, False, True))]
+    rows = [frame.select("s", *[F.lit(x).alias(c) for c, x in zip(("own", "up", "down"), flags, strict=True)]) for frame, flags in marks]
+    met = rows[0].union(rows[1]).union(rows[2]).groupBy("s").agg(*[F.max(c).alias(c) for c in ("own", "up", "down")]).where("own")
+    return met.select(K.decode(F.col("s"), k).alias("kmer"), (~F.col("up")).alias("starts"), (~F.col("down")).alias("ends"))
 
 
 def chains(nodes: DataFrame, links: DataFrame) -> DataFrame:

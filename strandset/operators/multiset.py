@@ -81,7 +81,7 @@ def compress(words: DataFrame, k: int, n_bits: int, step: int = 50, gain: float
     or when an interval of steps (an eighth of the sets, and one) has cut the total size by a share of at
     most ``gain`` times the interval over the number of sets. The total size stands for the letters of the
     packed sets, of which it is the larger part, so that no set is packed for the test alone. Numbers of
-    sets are by name; only they, the splits and one pair a step come to the driver.
+    sets are by name; only they, the splits and one pair a step come to the driver. A step is one job on the classes.
     """
     word = word_column(words)
     own = words.where(F.col("set_id").isNotNull() & F.col(word).isNotNull()).select("set_id", bits_of(words).alias("code"))
@@ -92,20 +92,22 @@ def compress(words: DataFrame, k: int, n_bits: int, step: int = 50, gain: float
     sampled = in_sample(F.col("code"), k, n_bits, step)
     classes = written(of_word.groupBy("held").agg(F.count("*").alias("cnt"), F.count_if(sampled).alias("sampled")))
     total = classes.agg(F.coalesce(F.sum(F.size("held") * F.col("cnt")), F.lit(0)).alias("n")).first()["n"]
-    shared = classes.where("size(held) > 1 AND sampled > 0")
+    # The classes as they stand after the splits up to ``base``; later splits are an expression on them.
+    now, base = classes.where("size(held) > 1"), 0
     size, at_test, interval, splits = total, total, n0 // 8 + 1, []
     while True:
         if splits and len(splits) % interval == 0:
             if not at_test or (at_test - size) / at_test <= gain * interval / n0:
                 break
             at_test = size
-        now = shared.select("cnt", "sampled", _after(splits).alias("held"))
-        pairs = now.select("cnt", "sampled", "held", F.explode("held").alias("j")).select("cnt", "sampled", "j", F.explode("held").alias("k")).where("j < k")
-        best = pairs.groupBy("j", "k").agg(F.sum("sampled").alias("weight")).orderBy(F.desc("weight"), "j", "k").first()
+        if len(splits) - base == 16:
+            now, base = written(now.select("cnt", "sampled", _after(splits[base:]).alias("held")).where("size(held) > 1")), len(splits)
+        held = now.select("cnt", "sampled", _after(splits[base:]).alias("held")).where("size(held) > 1")
+        pairs = held.select("cnt", "sampled", "held", F.explode("held").alias("j")).select("cnt", "sampled", "j", F.explode("held").alias("k")).where("j < k")
+        best = pairs.groupBy("j", "k").agg(F.sum("sampled").alias("weight"), F.sum("cnt").alias("shared")).orderBy(F.desc("weight"), "j", "k").first()
         if best is None or best["weight"] <= 0:
             break
-        both = F.array_contains("held", best["j"]) & F.array_contains("held", best["k"])
-        size -= classes.select("cnt", _after(splits).alias("held")).where(both).agg(F.sum("cnt").alias("n")).first()["n"]
+        size -= best["shared"]
         splits.append((best["j"], best["k"], n0 + len(splits)))
     nodes = written(spelled(of_word.select(F.explode(_after(splits)).alias("node_id"), "code"), k))
     edges = spark.createDataFrame([(p, n) for j, k_, n in splits for p in (j, k_)], "parent int, child int")

@@ -244,6 +244,39 @@ def _unitigs_sql(body: str, canonical: bool = True) -> str:
     return _links_sql(", " + ", ".join([start, *steps, strings, f"t AS MATERIALIZED (SELECT seq FROM t0 {kept})"]) + " " + body, canonical)
 
 
+def _multiset_sql(body: str, most: int = 24, gain: float = 0.1) -> str:
+    """Compression by up to ``most`` steps spelled out: c, the classes, z, size and state, b, the best pair of each step.
+
+    ``reach`` holds (node, node_id) of all nodes below each node, ``edges`` (parent, child).
+    """
+    parts = [
+        "ids AS MATERIALIZED (SELECT set_id, row_number() OVER (ORDER BY set_id)::INT - 1 AS id FROM (SELECT DISTINCT set_id FROM w))",
+        "n0 AS MATERIALIZED (SELECT count(*)::INT AS n0, (count(*) // 8 + 1)::INT AS step FROM ids)",
+        f"h AS (SELECT kmer, any_value({_SAMPLE})::INT AS sampled, list_sort(list(DISTINCT id)) AS held FROM w JOIN ids USING (set_id) GROUP BY kmer)",
+        "c0 AS MATERIALIZED (SELECT held, count(*) AS cnt, sum(sampled) AS sampled FROM h GROUP BY held)",
+        "z0 AS MATERIALIZED (SELECT false AS stop, sum(len(held) * cnt) AS old FROM c0)",
+    ]
+    for i in range(most):
+        size = f"(SELECT sum(len(held) * cnt) FROM c{i})"
+        if i:
+            test = f"{i} % (SELECT step FROM n0) = 0"
+            rule = f"(old - {size})::DOUBLE / old <= {gain} * (SELECT step FROM n0) / (SELECT n0 FROM n0)"
+            parts.append(f"z{i} AS MATERIALIZED (SELECT stop OR ({test} AND {rule}) AS stop, CASE WHEN {test} THEN {size} ELSE old END AS old FROM z{i - 1})")
+        parts.append(
+            f"b{i} AS MATERIALIZED (SELECT j, k, (SELECT n0 FROM n0) + {i} AS n FROM (SELECT j, k, sum(sampled) AS weight FROM (SELECT sampled, j, unnest(held) AS k FROM "
+            f"(SELECT sampled, held, unnest(held) AS j FROM c{i})) WHERE j < k GROUP BY j, k) WHERE weight > 0 AND NOT (SELECT stop FROM z{i}) ORDER BY weight DESC, j, k LIMIT 1)"
+        )
+        both = "list_contains(held, j) AND list_contains(held, k)"
+        parts.append(f"c{i + 1} AS MATERIALIZED (SELECT CASE WHEN {both} THEN list_append(list_filter(held, lambda x: x <> j AND x <> k), n) ELSE held END AS held, cnt, sampled FROM c{i} LEFT JOIN b{i} ON true)")
+    splits = " UNION ALL ".join(f"SELECT * FROM b{i}" for i in range(most))
+    parts += [
+        f"edges AS MATERIALIZED (SELECT unnest([j, k]) AS parent, n AS child FROM ({splits}))",
+        f"nodes AS MATERIALIZED (SELECT unnest(held) AS node_id, cnt FROM c{most})",
+        "reach AS (SELECT id AS node, id AS node_id FROM ids UNION SELECT node, child FROM reach JOIN edges ON node_id = parent)",
+    ]
+    return _sql(", " + ", ".join(parts) + " " + body)
+
+
 ORACLES: dict[str, str] = {
     "set_stat": _sql(f"SELECT count(*)::BIGINT AS size, coalesce(bit_xor({_BITS}), 0)::BIGINT AS hash FROM c WHERE cnt >= 2"),
     "set_stat_by_source": _sql(f"SELECT set_id, count(*)::BIGINT AS size, bit_xor({_BITS})::BIGINT AS hash FROM (SELECT DISTINCT set_id, kmer FROM w) GROUP BY set_id"),
@@ -303,6 +336,12 @@ ORACLES: dict[str, str] = {
         "SELECT r.read_id AS id, least(r.read_id, coalesce(min(c), r.read_id))::BIGINT AS component FROM r LEFT JOIN reach ON r.read_id = reach.a GROUP BY r.read_id",
         23,
     ),
+    "multiset_node_sizes": _multiset_sql("SELECT node_id, sum(cnt)::BIGINT AS size FROM nodes GROUP BY node_id"),
+    "multiset_reachable": _multiset_sql("SELECT set_id, node_id FROM reach JOIN ids ON node = id"),
+    "dot_lines": _multiset_sql("SELECT 0 AS pos, 'digraph G {' AS line UNION ALL SELECT 2, '}' UNION ALL SELECT 1, 'v' || parent || ' -> v' || child FROM edges"),
+    "adjacency_text": _multiset_sql(
+        "SELECT count(*) || coalesce(' ' || string_agg(line, ' ' ORDER BY parent), '') AS text FROM (SELECT parent, parent || ' ' || count(*) || ' ' || string_agg(child, ' ' ORDER BY child) AS line FROM edges GROUP BY parent)"
+    ),
     "terminal_ends": _links_sql(_TERMINALS),
     "terminal_ends_directed": _links_sql(_TERMINALS, False),
     "degree_by_side": _graph_sql(

@@ -58,7 +58,12 @@ def write_strings(strings: DataFrame, path: str, compression: str = "none") -> N
 
 
 def load_strings(spark: SparkSession, path: str | list[str], k: int) -> DataFrame:
-    """(seq, file): strings of sets from text files, all in one scan; shorter ones than k and other characters raise InvalidInput."""
+    """(seq): strings of sets from text files, all in one scan; shorter ones than k and other characters raise InvalidInput."""
+    return load_files(spark, path, k).select("seq")
+
+
+def load_files(spark: SparkSession, path: str | list[str], k: int) -> DataFrame:
+    """(seq, file): :func:`load_strings` with the file of each string."""
     strings = spark.read.text(path).select(F.col("value").alias("seq"), F.col("_metadata.file_path").alias("file"))
     if strings.where((F.length("seq") < k) | ~F.col("seq").rlike("^[ACGT]+$")).take(1):
         raise InvalidInput(f"{path} holds a line that is no string of {k} or more bases")

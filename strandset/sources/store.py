@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandset.operators import words as W
 from strandset.operators.multiset import MultiSet
 from strandset.operators.spss import spss
-from strandset.sources.reads import InvalidInput, load_strings, write_strings
+from strandset.sources.reads import InvalidInput, load_files, write_strings
 
 
 def write_multiset(multi: MultiSet, path: str) -> None:
@@ -96,7 +96,7 @@ def import_text(spark: SparkSession, path: str, k: int, canonical: bool = True,
     splits = tuple((*sorted(p), n) for n, p in sorted(parents.items()))
     n_sets = n_nodes - len(splits)
     named = list(names) if names is not None else [str(i) for i in range(n_sets)]
-    strings = load_strings(spark, [f"{path}/{node}" for node in range(n_nodes)], k)
+    strings = load_files(spark, [f"{path}/{node}" for node in range(n_nodes)], k)
     node = F.regexp_extract("file", r"/([0-9]+)/[^/]*\z", 1).cast("int").alias("node_id")
     nodes = W.spelled(W.codes(strings.select(node, "seq"), k, canonical, "seq").distinct(), k)
     sets = spark.createDataFrame(list(zip(named, range(n_sets), strict=True)), "set_id string, node_id int")
