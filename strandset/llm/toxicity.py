@@ -106,7 +106,7 @@ def score_toxicity(
     learnable=lambda doc_id: ~held_out(doc_id),
     bound: int = 16_000,
     ridge: float = 1e-5,
-    sparsity: float = 3e-5,
+    sparsity: float = 1e-4,
     fairness: float = 1.0,
     epochs: int = 80,
 ) -> DataFrame:
