@@ -108,8 +108,8 @@ def chains(nodes: DataFrame, links: DataFrame) -> DataFrame:
     )
     now = written(start)
     finished = [now.where("done")]
-    before = None
-    while left := now.where("NOT done").count():
+    before, left = None, now.where("NOT done").count()
+    while left:
         here, ahead = now.where("NOT done").alias("a"), now.alias("b")
         met = written(here.join(ahead, F.col("a.up") == F.col("b.s")).select(F.struct("a.*").alias("a"), F.struct("b.*").alias("b")))
         state = met.agg(F.count_if(~F.col("b.done")), F.count_if((F.col("b.low") < F.col("a.low")) | (F.col("b.least_c") < F.col("a.least_c")))).first()
@@ -120,7 +120,7 @@ def chains(nodes: DataFrame, links: DataFrame) -> DataFrame:
             "a.s", "b.up", (F.col("a.dist") + F.col("b.dist")).alias("dist"), "b.done", F.least("a.low", "b.low").alias("low"), F.least("a.least_c", "b.least_c").alias("least_c")
         )
         finished.append(moved.where("done"))
-        now = moved.unionByName(met.where("b.done").select("b.*"))
+        now, left = moved.unionByName(met.where("b.done").select("b.*")), state[0]
     found = finished[0]
     for more in finished[1:]:
         found = found.unionByName(more)
