@@ -140,3 +140,21 @@ def test_a_joined_part_of_more_than_a_million_letters_stays_whole(spark):
     parts = F.array(F.lit("ACGTA"), F.concat(F.lit("GTA"), F.repeat(F.lit("CAGT"), 300_000), F.lit("G")))
     got = spark.range(1).select(kmer.joined_path(parts, 4).alias("s")).select(F.length("s"), F.right("s", F.lit(5))).first()
     assert tuple(got) == (1_200_006, "CAGTG")
+
+
+@pytest.mark.parametrize("k", [3, 5])
+def test_degrees_by_grouped_overlaps(spark, k):
+    """Palindromic overlaps, hairpins and homopolymers among all words of a small k, against every pair."""
+    import random
+    from collections import Counter
+
+    r = random.Random(k)
+    pair = str.maketrans("ACGT", "TGCA")
+    words = {min(w, w.translate(pair)[::-1]) for w in ("".join(r.choice("ACGT") for _ in range(k)) for _ in range(24 if k == 3 else 260))} | {"A" * k}
+    sides = {w: (w, w.translate(pair)[::-1]) for w in words}
+    expected = {w: tuple(sum(o[-(k - 1) :] == v[: k - 1] for x in words if x != w for v in sides[x]) for o in sides[w]) for w in words}
+    frame = spark.createDataFrame([(w,) for w in sorted(words)], "kmer string")
+    got = {x["kmer"]: (x["right"], x["left"]) for x in graph.side_degrees(frame, k).collect()}
+    assert got == expected
+    edges = Counter((x["u"], x["v"]) for x in graph.edges(frame, k).collect())
+    assert sum(edges.values()) == sum(a + b for a, b in expected.values())
