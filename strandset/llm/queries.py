@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandset.llm import chat, decontaminate, lines, packing, quality, secrets, simhash, substrings, topk, toxicity
+from strandset.llm import chat, decontaminate, lines, packing, quality, repair, secrets, simhash, substrings, topk, toxicity
 from strandset.llm.common import table
 
 
@@ -73,6 +73,15 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    fixed = repair.digests(repair.repair_conversations(repair.damaged(turns))).withColumnRenamed("conv_id", "id")
+    ids = turns.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    empty = F.sha2(F.lit("").cast("binary"), 256)
+    return ids.join(fixed, F.col("conv_id").eqNullSafe(F.col("id")), "left").select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", empty).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_quality_classifier": op2_quality_classifier,
@@ -84,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {
@@ -91,4 +101,5 @@ ORACLES: dict[str, str] = {
     "op5_chat_formatting": chat.ORACLE,
     "op7_line_dedup": lines.ORACLE,
     "op10_substring_dedup": substrings.ORACLE,
+    "op11_conversation_repair": repair.ORACLE,
 }
