@@ -20,14 +20,14 @@ from strandset.llm.common import cut, few, slices
 _NONE = -(2**62)  # below any score; its negative is still a 64-bit integer
 
 
-def quantized(vectors: DataFrame, vec_id: str, embedding: str, scale: int) -> DataFrame:
-    """(vec_id, v) with v = floor(scale * x); vectors that are null, empty or hold null or non-finite components go."""
+def quantized(vectors: DataFrame, vec_id: str, embedding: str, scale: int, **others: Column) -> DataFrame:
+    """(vec_id, v, others) with v = floor(scale * x); vectors that are null, empty or hold null or non-finite components go."""
     x = F.col("x")
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))))
     return (
-        vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("x"))
+        vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("x"), *[c.alias(name) for name, c in others.items()])
         .where(F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & ~bad)
-        .select("vec_id", F.transform(x, lambda c: F.floor(c * scale).cast("long")).alias("v"))
+        .select("vec_id", F.transform(x, lambda c: F.floor(c * scale).cast("long")).alias("v"), *others)
     )
 
 
