@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandset.llm import chat, decontaminate, lines, negatives, packing, quality, repair, secrets, simhash, substrings, topk, toxicity
+from strandset.llm import chat, decontaminate, lines, negatives, packing, quality, repair, secrets, simhash, substrings, suffixes, topk, toxicity
 from strandset.llm.common import table
 
 
@@ -82,6 +82,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.join(fixed, F.col("conv_id").eqNullSafe(F.col("id")), "left").select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", empty).alias("repaired_sha256"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffixes.dedup_bytes(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vectors = table(spark, sf_dir, "embeddings").withColumn("label", moved)
@@ -100,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
@@ -109,5 +115,6 @@ ORACLES: dict[str, str] = {
     "op7_line_dedup": lines.ORACLE,
     "op10_substring_dedup": substrings.ORACLE,
     "op11_conversation_repair": repair.ORACLE,
+    "op12_suffix_dedup": suffixes.ORACLE,
     "op13_hard_negatives": negatives.ORACLE,
 }
