@@ -7,11 +7,16 @@ overlap, without a join.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandset.functions import kmer as K
 from strandset.operators import words as W
+from strandset.operators.compaction import _COMPLETE, _PART, _SINGLE, cut_ring, local_paths
 from strandset.operators.lineage import discard, written
 
 
@@ -94,13 +99,18 @@ def terminals(words: DataFrame, k: int, canonical: bool = True) -> DataFrame:
     return met.select(K.decode(F.col("s"), k).alias("kmer"), (~F.col("up")).alias("starts"), (~F.col("down")).alias("ends"))
 
 
-def chains(nodes: DataFrame, links: DataFrame) -> DataFrame:
+#: Nodes that one task places when doubling has left no more.
+_LAST = 200_000
+
+
+def chains(nodes: DataFrame, links: DataFrame, last: int = _LAST) -> DataFrame:
     """(s, head, dist, ring): each node's place on its path, by pointer doubling.
 
     ``nodes`` (s, c) are linked by (s, up), at most one on each side. c names a node and its mirror image
     alike (c = s in a directed graph). In each round only nodes that have not met their head move on, and
-    only nodes that are still pointed at are kept to be asked, so a round costs what is left. Rings are
-    cut before their smallest node; of a ring and its mirror image that with the smaller one stays.
+    only nodes that are still pointed at are kept to be asked, so a round costs what is left; when at most ``last`` nodes
+    are left, one task places them. Rings are cut before their smallest node; of a ring and its mirror image that with the
+    smaller one stays.
     """
     start = nodes.join(links, "s", "left").select(
         "s", F.coalesce("up", "s").alias("up"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("dist"),
@@ -108,12 +118,19 @@ def chains(nodes: DataFrame, links: DataFrame) -> DataFrame:
     )
     now = written(start)
     finished = [now.where("done")]
-    before, left = None, now.where("NOT done").count()
+    before, left, ring = None, now.where("NOT done").count(), None
     while left:
+        if left <= last:  # what they point at has met its head, or is among them
+            rest = now.join(now.where("NOT done").select(F.col("up").alias("s")).distinct(), "s", "left_semi").where("done").unionByName(now.where("NOT done"))
+            placed = written(_placed_at_once(rest))
+            finished.append(placed.where("NOT ring").select("s", "up", "dist", "done", "low", "least_c"))
+            ring, left = placed.where("ring AND low = least_c").select("s", "low"), placed.where("ring").count()
+            break
         here, ahead = now.where("NOT done").alias("a"), now.alias("b")
         met = written(here.join(ahead, F.col("a.up") == F.col("b.s")).select(F.struct("a.*").alias("a"), F.struct("b.*").alias("b")))
         state = met.agg(F.count_if(~F.col("b.done")), F.count_if((F.col("b.low") < F.col("a.low")) | (F.col("b.least_c") < F.col("a.least_c")))).first()
         if before == left and not state[1]:
+            ring = written(now.where("NOT done AND low = least_c").select("s", "low"))
             break  # nothing has met a head and no smallest node was news: rings alone are left
         before = left
         moved = met.select(
@@ -127,38 +144,79 @@ def chains(nodes: DataFrame, links: DataFrame) -> DataFrame:
     paths = found.select("s", F.col("up").alias("head"), "dist", F.lit(False).alias("ring"))
     if not left:
         return paths
-    ring = written(now.where("NOT done AND low = least_c").select("s", "low"))
     cut = ring.where("s <> low").join(links, "s").select("s", "up")
     opened = chains(ring.select("s", F.col("s").alias("c")), cut)
     return paths.unionByName(opened.select("s", "head", "dist", F.lit(True).alias("ring")))
 
 
-def _strings(rows: DataFrame, k: int) -> DataFrame:
-    """(seq, ring): the words of each path as one string."""
-    base = F.element_at(F.array(*[F.lit(b) for b in K.BASES]), (F.col("s").bitwiseAND(F.lit(3)) + 1).cast("int"))
-    parts = rows.groupBy("head", "ring").agg(F.array_sort(F.collect_list(F.when(F.col("dist") > 0, F.struct("dist", base.alias("base"))))).alias("parts"))
-    return parts.select(F.concat(K.decode(F.col("head"), k), F.array_join(F.transform("parts", lambda x: x["base"]), "")).alias("seq"), "ring")
+def _placed_at_once(rest: DataFrame) -> DataFrame:
+    """The rows of ``chains`` that have not met their head, with head and distance, or marked as a ring with its smallest nodes; a bounded number, in one task."""
+
+    names = ["s", "up", "dist", "done", "low", "least_c"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        s, up, dist, done, low, least_c = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in names)
+        order = np.argsort(s)
+        s, up, dist, done, low, least_c = (x[order] for x in (s, up, dist, done, low, least_c))
+        mine = np.flatnonzero(~done)
+        to = np.searchsorted(s, up)
+        for _ in range(len(s).bit_length() + 1):
+            a = np.flatnonzero(~done)
+            b = to[a]
+            up[a], dist[a], done[a], to[a], low[a], least_c[a] = up[b], dist[a] + dist[b], done[b], to[b], np.minimum(low[a], low[b]), np.minimum(least_c[a], least_c[b])
+        yield pa.record_batch([pa.array(x[mine]) for x in (s, up, dist, done, low, least_c, ~done)], [*names, "ring"])
+
+    return rest.repartition(1).mapInArrow(run, "s long, up long, dist long, done boolean, low long, least_c long, ring boolean")
+
+
+def joined(parts: DataFrame, k: int, overlap: int) -> DataFrame:
+    """(seq, ring, n): parts (head, ring, dist, seq) of each path as one string; each shares ``overlap`` letters with the one before.
+
+    Parts are joined in blocks of 4,096 first, so that no list holds all parts of a long path.
+    """
+    block = parts.select("head", "ring", F.expr("dist div 4096").alias("block"), F.struct("dist", F.when(F.col("dist") == 0, F.col("seq")).otherwise(F.substring("seq", overlap + 1, F.length("seq"))).alias("seq")).alias("p"))
+
+    def whole(list_: Column) -> Column:
+        return F.array_join(F.transform(F.array_sort(list_), lambda x: x["seq"]), "")
+
+    blocks = block.repartition("head").groupBy("head", "ring", "block").agg(whole(F.collect_list("p")).alias("seq"), F.count("*").alias("n"))
+    return blocks.groupBy("head", "ring").agg(whole(F.collect_list(F.struct("block", "seq"))).alias("seq"), F.sum("n").alias("n")).select("seq", "ring", "n")
+
+
+def _unitigs(words: DataFrame, k: int, canonical: bool) -> DataFrame:
+    """(seq): paths joined where their words' overlaps lie, their ends glued along the words that lie in two places."""
+    paths = local_paths(words, k, canonical)
+    complete = paths.where(f"kind = {_COMPLETE}").select("seq")
+    # A word told alone in both of its places has no neighbour in either.
+    lone = paths.where(f"kind = {_SINGLE}").groupBy("id").agg(F.count("*").alias("n")).where("n = 2").select(K.decode(F.col("id"), k).alias("seq"))
+    parts = paths.where(f"kind = {_PART}")
+    nodes = parts.select(F.col("id").alias("s"), F.least("id", "mirror").alias("c"))
+    glue = parts.where("next IS NOT NULL").select(F.col("next").alias("s"), F.col("id").alias("up"))
+    placed = chains(nodes, glue).join(parts.select(F.col("id").alias("s"), "seq"), "s")
+    whole = joined(placed, k, k)
+    first, last = K.canonical(F.left("seq", F.lit(k))), K.canonical(F.right("seq", F.lit(k)))
+    linear = whole.where(~F.col("ring") & (first > last if canonical else F.lit(True))).select("seq")
+    rings = whole.where("ring").select(cut_ring(F.left("seq", F.length("seq") - 1), k, canonical).alias("seq"))
+    return complete.unionByName(lone).unionByName(linear).unionByName(rings)
 
 
 def unitigs(words: DataFrame, k: int) -> DataFrame:
     """(seq): the maximal non-branching paths of a canonical set, each once.
 
     Of a path's two mirror images the one stays whose first canonical word is the larger; a single word
-    stays as it is; rings are cut at their smallest word. The string of a path is one value, so a path
-    may hold as many words as a string can.
+    stays as it is; rings are cut at their smallest word, which they hold as it is. The string of a path is one
+    value and must fit a string of Spark (2 GB).
     """
     _odd(k)
-    codes = written(_codes(words, k, True))
-    strings = _strings(chains(codes, written(mates(codes, k))), k)
-    first, last = K.canonical(F.left("seq", F.lit(k))), K.canonical(F.right("seq", F.lit(k)))
-    single = (F.length("seq") == k) & (F.col("seq") == K.canonical(F.col("seq")))
-    return strings.where(F.col("ring") | (first > last) | single).select("seq")
+    return _unitigs(written(words.select(W.bits_of(words).alias("code"))), k, True)
 
 
 def unitigs_directed(words: DataFrame, k: int) -> DataFrame:
     """(seq): the maximal non-branching paths of a set whose words are read one way."""
-    codes = written(_codes(words, k, False))
-    return _strings(chains(codes, written(mates(codes, k))), k).select("seq")
+    return _unitigs(written(words.select(W.bits_of(words).alias("code"))), k, False)
 
 
 def components(pairs: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

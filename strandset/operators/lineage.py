@@ -49,7 +49,7 @@ def written(df: DataFrame) -> DataFrame:
 
 def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """A narrow table to be joined: broadcast if it has at most ``most`` rows, else left to a shuffle."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def discard(*tables: DataFrame) -> None:

@@ -16,6 +16,7 @@ from strandset.operators import graph, multiset
 from strandset.operators import spss as P
 from strandset.operators import words as W
 from strandset.operators.lineage import shared_folder, written
+from strandset.operators.superwords import count_super_words
 from strandset.sources import store
 from strandset.sources.reads import LETTER_BASES, LETTERS, load_strings, read_fasta, reads_from_documents, write_strings
 
@@ -36,15 +37,15 @@ def _words(spark: SparkSession, sf_dir: str, canonical: bool = True, k: int = SI
 
 
 def _counts(spark: SparkSession, sf_dir: str, canonical: bool = True, k: int = SIZE) -> DataFrame:
-    return W.count_words(_words(spark, sf_dir, canonical, k))
+    return count_super_words(W.fragments(reads(spark, sf_dir)), k, canonical)
 
 
 def _set(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return W.codes(W.fragments(reads(spark, sf_dir).where(F.col("set_id") == name)), SIZE).select("code").distinct()
+    return count_super_words(W.fragments(reads(spark, sf_dir).where(F.col("set_id") == name)), SIZE).select("code")
 
 
-def _distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _words(spark, sf_dir).select("code").distinct()
+def _distinct(spark: SparkSession, sf_dir: str, canonical: bool = True) -> DataFrame:
+    return _counts(spark, sf_dir, canonical).select("code")
 
 
 def _spelled(query: Callable[[SparkSession, str], DataFrame], k: int = SIZE) -> Callable[[SparkSession, str], DataFrame]:
@@ -65,7 +66,7 @@ def _folder(spark: SparkSession) -> str:
 
 
 def _graph_words(spark: SparkSession, sf_dir: str, canonical: bool = True) -> DataFrame:
-    return written(_words(spark, sf_dir, canonical).select("code").distinct())
+    return written(_distinct(spark, sf_dir, canonical))
 
 
 def _fasta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,20 +229,36 @@ def _links_sql(body: str, canonical: bool = True) -> str:
 #: Strings that hold each word of the set exactly once, none else, and so many letters as their words and overlaps need.
 _ONCE = f"SELECT count(*)::BIGINT AS n_words, count(*)::BIGINT AS n_distinct, 0::BIGINT AS n_repeated, 0::BIGINT AS n_missing, 0::BIGINT AS n_foreign, bit_xor({_BITS})::BIGINT AS hash, true AS lengths_agree FROM d"
 
-_TERMINALS = "SELECT kmer, NOT (kmer IN (SELECT v FROM m)) AS starts, NOT (kmer IN (SELECT u FROM m)) AS ends FROM dm"
+#: The last table is materialised, so that a LIMIT around the query doesn't change the joins below it.
+_TERMINALS = """, ends AS (SELECT u AS kmer, 0 AS v, 1 AS u FROM m UNION ALL SELECT v, 1, 0 FROM m UNION ALL SELECT kmer, 0, 0 FROM dm),
+e AS MATERIALIZED (SELECT kmer, max(v) = 0 AS starts, max(u) = 0 AS ends FROM ends GROUP BY kmer),
+t AS MATERIALIZED (SELECT e.* FROM e SEMI JOIN dm USING (kmer)) SELECT kmer, starts, ends FROM t"""
 
-#: Doublings of a pointer: paths of up to 2 ** 17 words.
+#: Doublings of a pointer: paths of up to 2 ** 17 words; a longer one is an error.
 _DOUBLINGS = 17
 
 
 def _unitigs_sql(body: str, canonical: bool = True) -> str:
-    """``t``: unitig strings, by pointers doubled along ``m``; of a path and its mirror image one stays."""
+    """``t``: unitig strings, by pointers doubled along ``m``; of a path and its mirror image one stays.
+
+    What has not met a head then lies on rings. A ring is walked from its smallest word, read as it is; a walk from any other
+    word ends at the first smaller one. Rings hold all that is left, or a path was too long.
+    """
     start = "p0 AS MATERIALIZED (SELECT o.s, coalesce(m.u, o.s) AS up, (m.u IS NOT NULL)::INT AS dist FROM o LEFT JOIN m ON o.s = m.v)"
     steps = [f"p{i + 1} AS MATERIALIZED (SELECT a.s, b.up, a.dist + b.dist AS dist FROM p{i} a JOIN p{i} b ON a.up = b.s)" for i in range(_DOUBLINGS)]
-    strings = f"t0 AS (SELECT up || coalesce(string_agg(right(s, 1), '' ORDER BY dist) FILTER (dist > 0), '') AS seq FROM p{_DOUBLINGS} GROUP BY up)"
+    left = f"q AS MATERIALIZED (SELECT p.s, c FROM p{_DOUBLINGS} p JOIN m ON p.up = m.v JOIN o ON p.s = o.s)"
+    round_ = "around AS MATERIALIZED (SELECT m.u, m.v, q.c FROM m JOIN q ON m.v = q.s)"
+    walk = (
+        "walk AS (SELECT s AS first, s AS last, s AS seq FROM q WHERE s = c UNION ALL "
+        "SELECT first, v, seq || right(v, 1) FROM walk JOIN around ON last = u WHERE c >= first AND v <> first)"
+    )
+    strings = f"t0 AS (SELECT up || coalesce(string_agg(right(s, 1), '' ORDER BY dist) FILTER (dist > 0), '') AS seq FROM p{_DOUBLINGS} p ANTI JOIN q USING (s) GROUP BY up)"
     first, last = (f"least({w}, {_rc(w)})" for w in (f"left(seq, {SIZE})", f"right(seq, {SIZE})"))
     kept = f"WHERE {first} > {last} OR (length(seq) = {SIZE} AND seq <= {_rc('seq')})" if canonical else ""
-    return _links_sql(", " + ", ".join([start, *steps, strings, f"t AS MATERIALIZED (SELECT seq FROM t0 {kept})"]) + " " + body, canonical)
+    rings = "rings AS MATERIALIZED (SELECT seq FROM walk JOIN around ON last = u AND first = v)"
+    whole = f"(SELECT coalesce(sum(length(seq) - {SIZE - 1}), 0) * {2 if canonical else 1} FROM rings) = (SELECT count(*) FROM q)"
+    unitig = f"t AS MATERIALIZED (SELECT seq FROM t0 {kept} UNION ALL SELECT CASE WHEN {whole} THEN seq ELSE error('a path is too long') END FROM rings UNION ALL SELECT error('a path is too long') WHERE NOT {whole})"
+    return _links_sql(", " + ", ".join([start, *steps, left, round_, walk, strings, rings, unitig]) + " " + body, canonical)
 
 
 def _multiset_sql(body: str, most: int = 24, gain: float = 0.1) -> str:
@@ -268,7 +285,9 @@ def _multiset_sql(body: str, most: int = 24, gain: float = 0.1) -> str:
         )
         both = "list_contains(held, j) AND list_contains(held, k)"
         parts.append(f"c{i + 1} AS MATERIALIZED (SELECT CASE WHEN {both} THEN list_append(list_filter(held, lambda x: x <> j AND x <> k), n) ELSE held END AS held, cnt, sampled FROM c{i} LEFT JOIN b{i} ON true)")
-    splits = " UNION ALL ".join(f"SELECT * FROM b{i}" for i in range(most))
+    # One step more is looked at: a compression that goes on is an error.
+    parts.append(f"over AS MATERIALIZED (SELECT count(*) AS n FROM (SELECT sampled, j, unnest(held) AS k FROM (SELECT sampled, held, unnest(held) AS j FROM c{most})) WHERE j < k AND sampled > 0 AND (SELECT count(*) FROM b{most - 1}) > 0)")
+    splits = " UNION ALL ".join(f"SELECT j, k, CASE WHEN (SELECT n FROM over) = 0 THEN n ELSE error('more steps than are spelled out') END AS n FROM b{i}" for i in range(most))
     parts += [
         f"edges AS MATERIALIZED (SELECT unnest([j, k]) AS parent, n AS child FROM ({splits}))",
         f"nodes AS MATERIALIZED (SELECT unnest(held) AS node_id, cnt FROM c{most})",
@@ -323,7 +342,7 @@ ORACLES: dict[str, str] = {
     "unitig_stats": _unitigs_sql(f"SELECT count(*)::BIGINT AS n_strings, sum(length(seq) - {SIZE - 1})::BIGINT AS n_words, sum(length(seq))::BIGINT AS weight FROM t"),
     "unitig_overlap_edges": _unitigs_sql(
         f", z AS MATERIALIZED (SELECT x.*, left(t, {SIZE - 1}) AS pre, right(t, {SIZE - 1}) AS suf FROM (SELECT seq AS t, seq AS n FROM t UNION ALL SELECT {_rc('seq')}, seq FROM t) x) "
-        "SELECT x.t AS u, y.t AS v FROM z x JOIN z y ON x.suf = y.pre AND x.n <> y.n"
+        ", pairs AS MATERIALIZED (SELECT x.t AS u, y.t AS v FROM z x JOIN z y ON x.suf = y.pre AND x.n <> y.n) SELECT u, v FROM pairs"
     ),
     "spss_canonical_once": _sql(_ONCE),
     "spss_shuffled_once": _sql(_ONCE),
@@ -345,6 +364,7 @@ ORACLES: dict[str, str] = {
     "terminal_ends": _links_sql(_TERMINALS),
     "terminal_ends_directed": _links_sql(_TERMINALS, False),
     "degree_by_side": _graph_sql(
-        f"SELECT r.s AS kmer, r.n::BIGINT AS right, l.n::BIGINT AS left FROM o r JOIN o l ON l.s = {_rc('r.s')} WHERE r.s = r.c"
+        # A word's successors are counted in its own row, its predecessors as successors of its mirror image.
+        ", t AS MATERIALIZED (SELECT c AS kmer, max(CASE WHEN s = c THEN n END)::BIGINT AS right, max(CASE WHEN s <> c THEN n END)::BIGINT AS left FROM o GROUP BY c) SELECT * FROM t"
     ),
 }

@@ -44,6 +44,49 @@ def test_unitigs_are_the_models(spark, both):
     assert len(got) == len(expected) + len(rings) and set(expected) <= set(linear)
 
 
+@pytest.mark.parametrize("last", [0, 10**6])
+def test_chains_and_rings_by_rounds_and_at_once(spark, last):
+    """Paths of many lengths and rings, with ids that are not in order, against walking."""
+    r = random.Random(6)
+    ids, links, expected = r.sample(range(10**6), 900), [], {}
+    at = 0
+    for n in (1, 2, 3, 50, 200, 77):
+        path, at = ids[at : at + n], at + n
+        links += [(b, a) for a, b in zip(path, path[1:])]
+        expected |= {x: (path[0], i, False) for i, x in enumerate(path)}
+    for n in (2, 5, 64):
+        ring, at = ids[at : at + n], at + n
+        ring = ring[(i := ring.index(min(ring))) :] + ring[:i]
+        links += [(b, a) for a, b in zip(ring, ring[1:] + ring[:1])]
+        expected |= {x: (ring[0], i, True) for i, x in enumerate(ring)}
+    nodes = spark.createDataFrame([(x, x) for x in expected], "s long, c long")
+    got = graph.chains(nodes, spark.createDataFrame(links, "s long, up long"), last).collect()
+    assert len(got) == len(expected) and {x["s"]: (x["head"], x["dist"], x["ring"]) for x in got} == expected
+
+
+@pytest.mark.parametrize(("both", "options"), [(True, (1, 40)), (True, (10**6, 50)), (False, (1, 40)), (False, (10**6, 30))])
+def test_unitigs_whatever_place_words_are_dealt_to(spark, both, options, monkeypatch):
+    """Words in many small batches, and all minimizers too heavy: every link between two places is glued; rings too."""
+    local = graph.local_paths
+    monkeypatch.setattr(graph, "local_paths", lambda words, k, canonical: local(words, k, canonical, *options))
+    own = mixed(8, 7, both)
+    expected, rings = unitigs(own, both)
+    got = strings((graph.unitigs if both else graph.unitigs_directed)(kmers(spark, own), 7))
+    assert held_once(got, 7, both) == set(own)
+    assert len(got) == len(expected) + len(rings) and set(expected) <= {canonical(s) if both else s for s in got}
+    for ring in rings:  # cut at its smallest word, which is held as it is
+        assert [s for s in got if s.startswith(ring[0]) and len(s) == len(ring) + 6]
+
+
+def test_a_long_path_and_a_hairpin(spark):
+    r = random.Random(13)
+    text = "".join(r.choice("ACGT") for _ in range(30_000))
+    own = words(text, 15) | words("ACGTTGCATCCAGGTACC" + rc("ACGTTGCATCCAGGTACC"), 15)
+    expected, rings = unitigs(sorted(own))
+    got = strings(graph.unitigs(kmers(spark, sorted(own)), 15))
+    assert sorted(map(canonical, got)) == expected and not rings and max(map(len, got)) > 10_000
+
+
 def test_a_ring_is_one_string(spark):
     assert [len(s) for s in strings(graph.unitigs(kmers(spark, sorted(words(RING + RING[:8], 9))), 9))] == [29]
 
