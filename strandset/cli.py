@@ -6,6 +6,7 @@ Codecs go by file name or ``--compression``; nothing is run in a shell.
 from __future__ import annotations
 
 import argparse
+import re
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from strandset.operators.multiset import compress
 from strandset.operators.spss import join_unitigs, spss, string_stats, words_of
 from strandset.operators.graph import unitigs
 from strandset.operators.lineage import written
+from strandset.operators.superwords import count_super_words
 from strandset.sources.reads import load_files, load_strings, read_fasta, write_strings
 from strandset.sources.store import read_multiset, write_dot, write_multiset
 
@@ -27,11 +29,11 @@ def bucket_bits(k: int) -> int:
 
 def build(spark: SparkSession, fasta: str, k: int, cutoff: int = 1, canonical: bool = True, out: str | None = None, compression: str = "none", check: bool = False) -> dict:
     """FASTA to a packed set: (size, hash, n_dropped, n_strings, weight)."""
-    counts = written(W.spelled(W.count_words(W.codes(W.fragments(read_fasta(spark, fasta)), k, canonical)), k))
-    kept = W.cut_off(counts, cutoff).select("kmer")
+    counts = written(count_super_words(W.fragments(read_fasta(spark, fasta)), k, canonical))
+    kept = W.cut_off(counts, cutoff).select("code")
     strings = written(spss(kept, k, canonical))
     stats = W.statistics(kept).first().asDict() | W.n_dropped(counts, cutoff).first().asDict() | string_stats(strings, k).first().asDict()
-    if check and not W.difference_size(kept, words_of(strings, k, canonical)).first()["equal"]:
+    if check and not W.difference_size(W.spelled(kept, k), words_of(strings, k, canonical)).first()["equal"]:
         raise RuntimeError("the strings don't hold the set")
     if out:
         write_strings(strings, out, compression)
@@ -39,11 +41,18 @@ def build(spark: SparkSession, fasta: str, k: int, cutoff: int = 1, canonical: b
 
 
 def _of_files(spark: SparkSession, paths: list[str], k: int, canonical: bool, name: str) -> DataFrame:
-    """(name, code): the words of packed sets, all files in one scan; each is named by the longest of ``paths`` in its own."""
-    strings = load_files(spark, paths, k)
-    given = F.filter(F.array(*map(F.lit, paths)), lambda p: F.contains(F.col("file"), p))
-    longest = F.array_max(F.transform(given, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
-    return W.codes(strings.select(F.coalesce(longest, F.col("file")).alias(name), "seq"), k, canonical, "seq").distinct()
+    """(name, code): the words of packed sets, all files in one scan; each set is named by the path given for it.
+
+    A path may be a file, a folder of part files or a pattern; Hadoop's own listing tells which files each stands for. A file that two
+    paths stand for belongs to the longer one.
+    """
+    given = {}
+    for path in sorted(paths, key=len):
+        files = (re.sub("^file:/+", "file:/", f) for f in spark.read.text(path).inputFiles())  # as a row's metadata names them
+        given |= dict.fromkeys(files, path)
+    named = F.broadcast(spark.createDataFrame(list(given.items()), "file string, given string"))  # a row a file of the call
+    strings = load_files(spark, paths, k).join(named, "file")
+    return W.codes(strings.select(F.col("given").alias(name), "seq"), k, canonical, "seq").distinct()
 
 
 def stat(spark: SparkSession, paths: list[str], k: int, canonical: bool = True) -> DataFrame:

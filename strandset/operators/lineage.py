@@ -25,7 +25,8 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
-def _own_folder(spark: SparkSession) -> str:
+def own_folder(spark: SparkSession) -> str:
+    """The folder of this application in the shared one: all that it writes between steps lies there."""
     return f"{shared_folder(spark)}/strandset-{spark.sparkContext.applicationId}"
 
 
@@ -40,7 +41,7 @@ def written(df: DataFrame) -> DataFrame:
     Unlike a checkpoint this gives the next plan true sizes, so that adaptive joins stay right over many
     rounds, and a lost executor costs no earlier round.
     """
-    path = f"{_own_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = f"{own_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
@@ -48,7 +49,10 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """A narrow table to be joined: broadcast if it has at most ``most`` rows, else left to a shuffle."""
+    """A narrow table to be joined: broadcast if it has at most ``most`` rows, else left to a shuffle.
+
+    Rows are counted, a number a task, and none is moved; of a :func:`written` table the files' footers tell.
+    """
     return F.broadcast(df) if df.count() <= most else df
 
 
@@ -59,5 +63,7 @@ def discard(*tables: DataFrame) -> None:
 
 
 def remove_intermediates(spark: SparkSession) -> None:
-    """Deletes all that this application has written between steps; its results must have been read or stored."""
-    _delete(spark, _own_folder(spark))
+    """Deletes all that this application has written between steps, checkpoints too; its results must have been read or stored."""
+    _delete(spark, own_folder(spark))
+    if (checkpoints := spark.sparkContext.getCheckpointDir()) is not None:
+        _delete(spark, checkpoints)

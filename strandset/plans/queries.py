@@ -15,7 +15,7 @@ from strandset.functions import kmer as K
 from strandset.operators import graph, multiset
 from strandset.operators import spss as P
 from strandset.operators import words as W
-from strandset.operators.lineage import shared_folder, written
+from strandset.operators.lineage import own_folder, written
 from strandset.operators.superwords import count_super_words
 from strandset.sources import store
 from strandset.sources.reads import LETTER_BASES, LETTERS, load_strings, read_fasta, reads_from_documents, write_strings
@@ -62,7 +62,7 @@ def _bits() -> Column:
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/query-{uuid.uuid4().hex}"
+    return f"{own_folder(spark)}/query-{uuid.uuid4().hex}"
 
 
 def _graph_words(spark: SparkSession, sf_dir: str, canonical: bool = True) -> DataFrame:

@@ -113,3 +113,34 @@ def test_intermediates_can_be_removed(spark):
     remove_intermediates(spark)
     with pytest.raises(Exception):  # noqa: B017
         table.count()
+
+
+def test_sets_are_named_by_the_paths_given(spark, packed, tmp_path, monkeypatch):
+    """Relative paths, letters that are encoded in a URL, folders of several part files, and one name that begins another."""
+    import shutil
+
+    folder, _ = packed
+    for name in ("x", "a b", "x2"):
+        shutil.copytree(folder / "one", tmp_path / "sets" / name)
+    part = next((tmp_path / "sets" / "x").glob("part-*"))
+    shutil.copy(part, part.with_name("part-99999" + part.suffix))
+    monkeypatch.chdir(tmp_path)
+    size = cli.stat(spark, [str(folder / "one")], K).first()["size"]
+    given = [f"{tmp_path}/sets/x", f"{tmp_path}/sets/a b", f"{tmp_path}/sets/x2"]
+    assert {r["file"]: r["size"] for r in cli.stat(spark, given, K).collect()} == dict.fromkeys(given, size)
+    assert [r["file"] for r in cli.stat(spark, [f"{tmp_path}/sets/x*"], K).collect()] == [f"{tmp_path}/sets/x*"]
+
+
+def test_few_moves_no_rows_and_intermediates_go(spark):
+    from strandset.operators.lineage import few, own_folder
+    from strandset.plans import queries
+
+    assert "hint" in few(spark.range(5))._jdf.queryExecution().logical().toString().lower()
+    assert "hint" not in few(spark.range(5), 4)._jdf.queryExecution().logical().toString().lower()
+    written(spark.range(3)), spark.range(3).checkpoint()
+    queries.QUERIES["fasta_roundtrip"](spark, "/root/testdata/sf0.001").collect()
+    fs = lambda path: spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path))
+    assert fs(own_folder(spark))
+    remove_intermediates(spark)
+    assert not fs(own_folder(spark)) and not fs(spark.sparkContext.getCheckpointDir())
+    assert spark.range(3).checkpoint().count() == 3
