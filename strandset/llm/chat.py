@@ -20,7 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandset.llm.common import slices
+
 OPEN, CLOSE = b"<s>", b"</s>"
+_TURNS = 256  # turns that are assembled at once: the scatter indices take many times their bytes
 _TURN = re.compile(r"<s>([^<\n]*(?:<[\\n][^<\n]*)*)\n([^<]*(?:<\\[^<]*)*)</s>")
 _ESCAPED = re.compile(r"([<\[])(.)", re.DOTALL)
 
@@ -144,7 +147,7 @@ def format_conversations(
     between turns, in order in the same partition. Rows with a null id are one conversation. Other
     columns are not read; an empty table gives an empty result.
 
-    Turns are sorted within partitions by conversation and streamed, so memory is bounded by a batch
+    Turns are sorted within partitions by conversation and streamed, so memory is bounded by 256 turns
     and a part, however long a conversation is.
     """
     read = turns.select(
@@ -155,7 +158,7 @@ def format_conversations(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Conversations(part_bytes)
-        for batch in batches:
+        for batch in slices(batches, _TURNS):
             buffer, offsets, begin, end = _format(batch)
             ids, roles = batch.column("conv_id").to_pylist(), batch.column("role").to_pylist()
             first = 0

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from strandset.llm.common import cut, few, slices
 
+#: Tasks over which the packs that meet one chunk of maxima are dealt.
+_SPREAD = 4
 _NONE = -(2**62)  # below any score; its negative is still a 64-bit integer
 
 
@@ -179,9 +181,15 @@ def _bounded(asked: DataFrame, shards: DataFrame, queries_at_once: int, maxima_a
                 yield pa.record_batch([pa.array(ids[i]), pa.array(number[j]), pa.array(bounds[i, j])], ["query_id", "shard", "bound"])
 
     maxima = shards.mapInArrow(extremes, "dim int, shard long, most array<long>, least array<long>")
-    chunks = _grouped(maxima, "dim", "maxima", ("shard", "most", "least"), maxima_at_once)
-    packs = _grouped(asked, "dim", "queries", ("query_id", "v", "reached"), queries_at_once)
-    return packs.join(chunks, "dim").select("queries", "maxima").mapInArrow(compare, "query_id long, shard long, bound long")
+    chunks = cut(_grouped(maxima, "dim", "maxima", ("shard", "most", "least"), maxima_at_once, "chunk"))
+    packs = _grouped(asked, "dim", "queries", ("query_id", "v", "reached"), queries_at_once, "pack")
+    # A pack is sent to each chunk by number; pairs are dealt by both numbers, so no length of vectors is one key.
+    numbers = cut(chunks.groupBy("dim").agg(F.max("chunk").alias("last")))
+    sent = packs.join(few(numbers), "dim").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
+    spread = F.pmod(F.xxhash64("pack"), F.lit(_SPREAD)).alias("spread")
+    copies = chunks.withColumn("spread", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SPREAD - 1).cast("long"))))
+    met = sent.withColumn("spread", spread).join(copies, ["dim", "chunk", "spread"])
+    return met.select("queries", "maxima").mapInArrow(compare, "query_id long, shard long, bound long")
 
 
 def best_shards(asked: DataFrame, shards: DataFrame, queries_at_once: int, maxima_at_once: int = 1_024) -> DataFrame:
@@ -196,11 +204,11 @@ def reaching_shards(asked: DataFrame, shards: DataFrame, queries_at_once: int, m
     return found.select("query_id", "shard")
 
 
-def _grouped(rows: DataFrame, by: str, name: str, columns: tuple[str, ...], most: int) -> DataFrame:
-    """(by, name): the columns of about ``most`` rows of a key together, in as many groups as it takes."""
+def _grouped(rows: DataFrame, by: str, name: str, columns: tuple[str, ...], most: int, number: str = "part") -> DataFrame:
+    """(by, number, name): the columns of about ``most`` rows of a key together, in as many numbered groups as it takes."""
     n = cut(rows.groupBy(by).agg(F.ceil(F.count("*") / F.lit(most)).alias("parts")))
-    part = F.pmod(F.xxhash64(columns[0]), F.col("parts")).alias("part")
-    return rows.join(few(n), by).select("*", part).groupBy(by, "part").agg(F.collect_list(F.struct(*columns)).alias(name)).drop("part")
+    part = F.pmod(F.xxhash64(columns[0]), F.col("parts")).alias(number)
+    return rows.join(few(n), by).select("*", part).groupBy(by, number).agg(F.collect_list(F.struct(*columns)).alias(name))
 
 
 def _searched(asked: DataFrame, shards: DataFrame, k: int, block: int, queries_at_once: int) -> DataFrame:
