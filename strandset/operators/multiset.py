@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandset.operators.lineage import written
+from strandset.operators.lineage import discard, few, written
 from strandset.operators.words import bits_of, in_sample, spelled, word_column
 
 
@@ -29,37 +29,34 @@ class MultiSet:
 
     def reachable(self) -> DataFrame:
         """(set_id, node_id): every node that a set is made of, itself included."""
-        reach = closure(self.splits, self.n_sets)
-        pairs = self.sets.sparkSession.createDataFrame([(i, n) for i, ns in reach.items() for n in sorted(ns)], "node int, node_id int")
-        return self.sets.join(F.broadcast(pairs), F.col("node") == self.sets["node_id"]).select("set_id", pairs["node_id"])
+        pairs = closure(self.edges, self.sets.select(F.col("node_id").alias("node")))
+        return self.sets.join(pairs, F.col("node") == self.sets["node_id"]).select("set_id", pairs["node_id"])
 
     def get(self, set_id: str) -> DataFrame:
-        """(kmer): one set back; only the nodes that it reaches are read."""
-        own = self.sets.where(F.col("set_id") == set_id).first()
-        if own is None:
+        """(kmer): one set back; of nodes stored by folder only those that it reaches are read, by dynamic partition pruning."""
+        if self.sets.where(F.col("set_id") == set_id).first() is None:
             raise KeyError(set_id)
-        return self.nodes.where(F.col("node_id").isin(sorted(closure(self.splits, self.n_sets)[own["node_id"]]))).select("kmer").distinct()
+        wanted = written(self.reachable()).where(F.col("set_id") == set_id).select("node_id")
+        return self.nodes.join(few(wanted), "node_id", "left_semi").select("kmer").distinct()
 
     def all_sets(self) -> DataFrame:
         """(set_id, kmer): every set back."""
-        return self.nodes.join(F.broadcast(self.reachable()), "node_id").select("set_id", "kmer").distinct()
-
-
-def closure(splits: tuple[tuple[int, int, int], ...], n_sets: int) -> dict[int, set[int]]:
-    """The nodes that each node reaches; there are as many nodes as sets and splits, never words."""
-    children: dict[int, list[int]] = {}
-    for j, k, n in splits:
-        children.setdefault(j, []).append(n)
-        children.setdefault(k, []).append(n)
-    reach: dict[int, set[int]] = {}
-    for node in range(n_sets + len(splits) - 1, -1, -1):
-        reach[node], todo = {node}, list(children.get(node, []))
-        while todo:
-            x = todo.pop()
-            if x not in reach[node]:
-                reach[node].add(x)
-                todo += children.get(x, [])
-    return reach
+        return self.nodes.join(few(written(self.reachable())), "node_id").select("set_id", "kmer").distinct()
+
+
+def closure(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, node_id): all nodes that a node reaches over edges (parent, child), and each of ``nodes`` (node) itself.
+
+    Paths are doubled each round, so a chain of n levels takes log n rounds; equal pairs are one, however many paths lead there.
+    """
+    now = written(edges.select(F.col("parent").alias("node"), F.col("child").alias("node_id")).distinct())
+    before, n = 0, now.count()
+    while n > before:
+        a, b = now.select("node", F.col("node_id").alias("by")), now.select(F.col("node").alias("by"), "node_id")
+        longer = written(now.union(a.join(b, "by").select("node", "node_id")).distinct())
+        discard(now)
+        now, before, n = longer, n, longer.count()
+    return now.union(nodes.select("node", F.col("node").alias("node_id"))).distinct()
 
 
 def _after(splits: list[tuple[int, int, int]]) -> Column:

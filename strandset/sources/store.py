@@ -24,13 +24,21 @@ def read_multiset(spark: SparkSession, path: str) -> MultiSet:
     """Lazily: only the sets' names and the edges are read at once."""
     sets, edges = spark.read.parquet(f"{path}/sets"), spark.read.parquet(f"{path}/edges")
     nodes = spark.read.parquet(f"{path}/nodes").select(F.col("node_id").cast("int").alias("node_id"), "kmer")
-    parents: dict[int, list[int]] = {}
-    for row in edges.collect():
-        parents.setdefault(row["child"], []).append(row["parent"])
-    splits = tuple((*sorted(p), n) for n, p in sorted(parents.items()))
+    splits = _splits([(r["parent"], r["child"]) for r in edges.collect()], path)
     return MultiSet(sets, nodes, edges, splits, sets.count())
 
 
+def _splits(pairs: list[tuple[int, int]], path: str) -> tuple[tuple[int, int, int], ...]:
+    """(j, k, n) of each node n that was split off two others, which have smaller numbers; other edges raise InvalidInput."""
+    parents: dict[int, list[int]] = {}
+    for parent, child in pairs:
+        parents.setdefault(child, []).append(parent)
+    for child, two in parents.items():
+        if len(set(two)) != 2 or len(two) != 2 or max(two) >= child:
+            raise InvalidInput(f"{path}: node {child} must have two parents of smaller numbers, not {two}")
+    return tuple((*sorted(p), n) for n, p in sorted(parents.items()))
+
+
 def adjacency(edges: DataFrame) -> DataFrame:
     """(parent, line): each parent's part of the adjacency text, ``parent n child...``."""
     by = edges.groupBy("parent").agg(F.sort_array(F.collect_list("child")).alias("children"))
@@ -90,10 +98,7 @@ def import_text(spark: SparkSession, path: str, k: int, canonical: bool = True,
     if len(meta) != 2 or not meta[1].isdigit():
         raise InvalidInput(f"{path}/meta must hold two lines")
     pairs, n_nodes = parse_adjacency(meta[0]), int(meta[1])
-    parents: dict[int, list[int]] = {}
-    for p, c in pairs:
-        parents.setdefault(c, []).append(p)
-    splits = tuple((*sorted(p), n) for n, p in sorted(parents.items()))
+    splits = _splits(pairs, f"{path}/meta")
     n_sets = n_nodes - len(splits)
     named = list(names) if names is not None else [str(i) for i in range(n_sets)]
     strings = load_files(spark, [f"{path}/{node}" for node in range(n_nodes)], k)

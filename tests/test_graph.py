@@ -155,6 +155,27 @@ def test_multiset_gives_every_set_back(spark, many, tmp_path):
         assert sorted(x["kmer"] for x in one.get("s3").collect()) == sets["s3"]
 
 
+def test_a_chain_of_many_levels_is_reached_and_only_its_folders_are_read(spark, many, tmp_path):
+    pairs = [(i, i + 1) for i in range(130)] + [(500, 501), (500, 502), (501, 503), (502, 503)]
+    got = multiset.closure(spark.createDataFrame(pairs, "parent int, child int"), spark.createDataFrame([(0,), (7,), (500,), (900,)], "node int"))
+    reach = {}
+    for r in got.collect():
+        reach.setdefault(r["node"], []).append(r["node_id"])
+    assert sorted(reach[0]) == list(range(131)) and sorted(reach[7]) == list(range(7, 131)) and sorted(reach[500]) == [500, 501, 502, 503] and reach[900] == [900]
+    store.write_multiset(many[1], f"{tmp_path}/m")
+    plan = store.read_multiset(spark, f"{tmp_path}/m").get("s3")._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+    with pytest.raises(KeyError):
+        many[1].get("none")
+
+
+def test_broken_edges_are_refused(spark, many, tmp_path):
+    store.write_multiset(many[1], f"{tmp_path}/m")
+    many[1].edges.limit(1).write.mode("overwrite").parquet(f"{tmp_path}/m/edges")
+    with pytest.raises(store.InvalidInput):
+        store.read_multiset(spark, f"{tmp_path}/m")
+
+
 def test_multiset_text(spark, many):
     _, multi = many
     text = store.adjacency_text(multi.edges).first()["text"]
