@@ -357,7 +357,8 @@ def dedup_bytes(
 #: The registered query in DuckDB's SQL: the strings by their texts in hexadecimal digits.
 ORACLE = """
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
-w AS MATERIALIZED (SELECT r, p, md5_number(substring(x, 2 * p + 1, 400)) AS h FROM (SELECT r, x, unnest(range(0, len(x) // 2 - 199)) AS p FROM d WHERE len(x) >= 400)),
+y AS MATERIALIZED (SELECT r, a, least(512, n - a) AS n, substring(x, 2 * a + 1, 1422) AS y FROM (SELECT r, x, len(x) // 2 - 199 AS n, unnest(range(0, len(x) // 2 - 199, 512)) AS a FROM d WHERE len(x) >= 400)),
+w AS MATERIALIZED (SELECT r, a + q AS p, md5_number(substring(y, 2 * q + 1, 400)) AS h FROM (SELECT r, a, y, unnest(range(0, n)) AS q FROM y)),
 g AS (SELECT r, p FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
 s AS (SELECT r, p, p - lag(p) OVER (PARTITION BY r ORDER BY p) AS step FROM g),
 n AS (SELECT r, p, sum(CASE WHEN step <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY p) AS k FROM s),
