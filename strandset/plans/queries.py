@@ -15,6 +15,7 @@ from strandset.functions import kmer as K
 from strandset.operators import graph, multiset
 from strandset.operators import spss as P
 from strandset.operators import words as W
+from strandset.operators.growth import grown_spss
 from strandset.operators.lineage import own_folder, written
 from strandset.operators.superwords import count_super_words
 from strandset.sources import store
@@ -160,6 +161,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "spss_canonical_once": lambda s, d: P.held_once(P.spss(words := _graph_words(s, d), SIZE), words, SIZE),
     "spss_shuffled_once": lambda s, d: P.held_once(P.spss(words := _graph_words(s, d), SIZE, shuffled=True), words, SIZE),
     "spss_directed_once": lambda s, d: P.held_once(P.spss(words := _graph_words(s, d, False), SIZE, canonical=False), words, SIZE, canonical=False),
+    "spss_grown_once": lambda s, d: P.held_once(grown_spss(words := _graph_words(s, d), SIZE), words, SIZE),
+    "spss_grown_directed_once": lambda s, d: P.held_once(grown_spss(words := _graph_words(s, d, False), SIZE, canonical=False), words, SIZE, canonical=False),
     "spss_load_roundtrip": _spss_roundtrip,
     "fasta_roundtrip": _fasta_roundtrip,
     "components": lambda s, d: graph.components(_shared_source_pairs(s, d), reads(s, d).select(F.col("read_id").alias("id"))),
@@ -347,6 +350,8 @@ ORACLES: dict[str, str] = {
     "spss_canonical_once": _sql(_ONCE),
     "spss_shuffled_once": _sql(_ONCE),
     "spss_directed_once": _sql(_ONCE, canonical=False),
+    "spss_grown_once": _sql(_ONCE),
+    "spss_grown_directed_once": _sql(_ONCE, canonical=False),
     "components": _sql(
         ", dw AS MATERIALIZED (SELECT DISTINCT kmer, read_id FROM w), fst AS MATERIALIZED (SELECT kmer, min(read_id) AS x FROM dw GROUP BY kmer), "
         "g AS MATERIALIZED (SELECT DISTINCT x, read_id AS y FROM dw JOIN fst USING (kmer) WHERE x <> read_id), "
