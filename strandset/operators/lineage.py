@@ -30,11 +30,16 @@ def own_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/strandset-{spark.sparkContext.applicationId}"
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def written(df: DataFrame) -> DataFrame:
     """The same rows, written as Parquet in the shared folder and read again.
 
@@ -59,11 +64,11 @@ def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of :func:`written` that nothing reads any more."""
     for df in tables:
-        _delete(df.sparkSession, df.written_to)
+        delete(df.sparkSession, df.written_to)
 
 
 def remove_intermediates(spark: SparkSession) -> None:
     """Deletes all that this application has written between steps, checkpoints too; its results must have been read or stored."""
-    _delete(spark, own_folder(spark))
+    delete(spark, own_folder(spark))
     if (checkpoints := spark.sparkContext.getCheckpointDir()) is not None:
-        _delete(spark, checkpoints)
+        delete(spark, checkpoints)

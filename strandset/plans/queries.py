@@ -18,7 +18,7 @@ from strandset.operators import words as W
 from strandset.operators.growth import grown_spss
 from strandset.operators.lineage import own_folder, written
 from strandset.operators.superwords import count_super_words
-from strandset.sources import store
+from strandset.sources import buckets, store
 from strandset.sources.reads import LETTER_BASES, LETTERS, load_strings, read_fasta, reads_from_documents, write_strings
 
 SIZE, BUCKET_BITS = 15, 14
@@ -70,6 +70,23 @@ def _graph_words(spark: SparkSession, sf_dir: str, canonical: bool = True) -> Da
     return written(_distinct(spark, sf_dir, canonical))
 
 
+def _stored(spark: SparkSession, words: DataFrame) -> buckets.StoredWords:
+    path = _folder(spark)
+    buckets.store_words(words, path, SIZE)
+    return buckets.open_words(spark, path)
+
+
+def _two_stored(spark: SparkSession, sf_dir: str) -> tuple[buckets.StoredWords, buckets.StoredWords]:
+    return _stored(spark, _set(spark, sf_dir, "src1")), _stored(spark, _set(spark, sf_dir, "src2"))
+
+
+def _stored_count_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored counter of all reads, to which the counts of one source are added as a batch."""
+    own = _stored(spark, _counts(spark, sf_dir))
+    buckets.add_batch(spark, own.path, "src1", W.count_words(_words(spark, sf_dir).where("set_id = 'src1'")))
+    return buckets.open_counts(spark, own.path).table
+
+
 def _fasta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads written as FASTA with a header line each, then read, split and counted."""
     path = _folder(spark)
@@ -141,6 +158,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "set_equals": _set_equals,
     "set_find": lambda s, d: W.find(W.spelled(_distinct(s, d), SIZE), F.col("kmer").startswith("ACG")),
     "set_sample_buckets": _spelled(lambda s, d: W.sampled(_distinct(s, d), SIZE, BUCKET_BITS)),
+    "stored_union": _spelled(lambda s, d: buckets.union(*_two_stored(s, d))),
+    "stored_intersect": _spelled(lambda s, d: buckets.intersection(*_two_stored(s, d))),
+    "stored_difference": _spelled(lambda s, d: buckets.difference(*_two_stored(s, d))),
+    "stored_sizes": lambda s, d: buckets.sizes(*_two_stored(s, d)),
+    "stored_pair_weights": lambda s, d: W.pair_weights(_stored(s, _words(s, d).select("set_id", "code")).table),
+    "stored_count_get": _spelled(lambda s, d: buckets.lookup(_stored(s, W.count_words(_words(s, d).where("set_id = 'src1'"))), _set(s, d, "src2"))),
+    "stored_count_add": _spelled(_stored_count_add),
     "pair_weights_full": lambda s, d: W.pair_weights(_words(s, d).select("set_id", "code")),
     "pair_weights_sampled": lambda s, d: W.pair_weights(W.sampled(_words(s, d).select("set_id", "code"), SIZE, BUCKET_BITS)),
     "colour_classes": lambda s, d: W.colour_classes(_words(s, d).select("set_id", "code")).select(F.array_join("colour", ",").alias("colour"), "cnt"),
@@ -330,6 +354,13 @@ ORACLES: dict[str, str] = {
     "set_equals": _sql(", ".join(["", *(f"{t}{n} AS (SELECT count(*)::BIGINT AS n_diff, count(*) = 0 AS equal, '{n}' AS other FROM a FULL JOIN {t} q ON a.kmer = q.kmer WHERE a.kmer IS NULL OR q.kmer IS NULL)" for t, n in (("a", "src1"), ("b", "src2")))]) + " SELECT * FROM asrc1 UNION ALL SELECT * FROM bsrc2"),
     "set_find": _sql("SELECT kmer FROM d WHERE kmer LIKE 'ACG%'"),
     "set_sample_buckets": _sql(f"SELECT kmer FROM d WHERE {_SAMPLE}"),
+    "stored_union": _sql("SELECT kmer FROM a UNION SELECT kmer FROM b"),
+    "stored_intersect": _sql("SELECT kmer FROM a INTERSECT SELECT kmer FROM b"),
+    "stored_difference": _sql("SELECT kmer FROM a EXCEPT SELECT kmer FROM b"),
+    "stored_sizes": _sql("SELECT n_a, n_b, n_both, n_a + n_b - 2 * n_both AS n_diff, n_a = n_both AND n_b = n_both AS equal FROM (SELECT (SELECT count(*) FROM a) AS n_a, (SELECT count(*) FROM b) AS n_b, (SELECT count(*) FROM (SELECT kmer FROM a INTERSECT SELECT kmer FROM b)) AS n_both)"),
+    "stored_pair_weights": _sql(f", u AS (SELECT DISTINCT set_id, kmer FROM w) {_pairs('u')}"),
+    "stored_count_get": _sql("SELECT b.kmer, coalesce(o.n, 0)::BIGINT AS cnt FROM b LEFT JOIN (SELECT kmer, least(count(*), 255) AS n FROM w WHERE set_id = 'src1' GROUP BY kmer) o ON b.kmer = o.kmer"),
+    "stored_count_add": _sql("SELECT c.kmer, least(c.cnt + coalesce(o.n, 0), 255)::BIGINT AS cnt FROM c LEFT JOIN (SELECT kmer, least(count(*), 255) AS n FROM w WHERE set_id = 'src1' GROUP BY kmer) o ON c.kmer = o.kmer"),
     "pair_weights_full": _sql(f", u AS (SELECT DISTINCT set_id, kmer FROM w) {_pairs('u')}"),
     "pair_weights_sampled": _sql(f", u AS (SELECT DISTINCT set_id, kmer FROM w WHERE {_SAMPLE}) {_pairs('u')}"),
     "colour_classes": _sql("SELECT colour, count(*)::BIGINT AS cnt FROM (SELECT kmer, string_agg(DISTINCT set_id, ',' ORDER BY set_id) AS colour FROM w GROUP BY kmer) GROUP BY colour"),
