@@ -40,6 +40,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
+def told(spark: SparkSession, path: str) -> dict[int, str]:
+    """The names of the batches told at ``path``, a row each, by their numbers."""
+    if not exists(spark, f"{path}/batches"):
+        return {}
+    return dict(spark.read.parquet(f"{path}/batches").select("at", "batch").collect())
+
+
+def tell(spark: SparkSession, path: str, at: int, batch: str) -> None:
+    """Tells that all rows of a batch are written; whatever was not told does not count."""
+    spark.createDataFrame([(at, batch)], "at int, batch string").repartition(1).write.mode("append").parquet(f"{path}/batches")
+
+
 def written(df: DataFrame) -> DataFrame:
     """The same rows, written as Parquet in the shared folder and read again.
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandset.functions import kmer as K
-from strandset.operators import graph, multiset
+from strandset.operators import graph, multiset, unionfind
 from strandset.operators import spss as P
 from strandset.operators import words as W
 from strandset.operators.growth import grown_spss
@@ -87,6 +87,17 @@ def _stored_count_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     return buckets.open_counts(spark, own.path).table
 
 
+def _components_by_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of ``components`` in three parts: one labelled at once, two merged into its stored labels."""
+    pairs = written(_shared_source_pairs(spark, sf_dir))
+    part = [pairs.where(F.pmod(F.xxhash64("x", "y"), F.lit(3)) == n) for n in range(3)]
+    path = _folder(spark)
+    unionfind.store_components(graph.components(part[0], reads(spark, sf_dir).select(F.col("read_id").alias("id"))), path)
+    for n in (1, 2):
+        unionfind.merge_pairs(spark, path, str(n), part[n])
+    return unionfind.labels(spark, path)
+
+
 def _fasta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads written as FASTA with a header line each, then read, split and counted."""
     path = _folder(spark)
@@ -190,6 +201,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "spss_load_roundtrip": _spss_roundtrip,
     "fasta_roundtrip": _fasta_roundtrip,
     "components": lambda s, d: graph.components(_shared_source_pairs(s, d), reads(s, d).select(F.col("read_id").alias("id"))),
+    "components_by_batches": _components_by_batches,
     "multiset_node_sizes": lambda s, d: _multiset(s, d).nodes.groupBy("node_id").agg(F.count("*").alias("size")),
     "multiset_reachable": lambda s, d: _multiset(s, d).reachable(),
     "multiset_get": lambda s, d: _multiset(s, d).get("src1"),
@@ -391,6 +403,14 @@ ORACLES: dict[str, str] = {
         "SELECT r.read_id AS id, least(r.read_id, coalesce(min(c), r.read_id))::BIGINT AS component FROM r LEFT JOIN reach ON r.read_id = reach.a GROUP BY r.read_id",
         23,
     ),
+    "components_by_batches": _sql(
+        ", dw AS MATERIALIZED (SELECT DISTINCT kmer, read_id FROM w), fst AS MATERIALIZED (SELECT kmer, min(read_id) AS x FROM dw GROUP BY kmer), "
+        "g AS MATERIALIZED (SELECT DISTINCT x, read_id AS y FROM dw JOIN fst USING (kmer) WHERE x <> read_id), "
+        "near AS MATERIALIZED (SELECT x, y FROM g UNION SELECT y, x FROM g), "
+        "reach AS (SELECT x AS a, y AS c FROM near UNION SELECT reach.a, near.y FROM reach JOIN near ON reach.c = near.x) "
+        "SELECT r.read_id AS id, least(r.read_id, coalesce(min(c), r.read_id))::BIGINT AS component FROM r LEFT JOIN reach ON r.read_id = reach.a GROUP BY r.read_id",
+        23,
+    ),
     "multiset_node_sizes": _multiset_sql("SELECT node_id, sum(cnt)::BIGINT AS size FROM nodes GROUP BY node_id"),
     "multiset_reachable": _multiset_sql("SELECT set_id, node_id FROM reach JOIN ids ON node = id"),
     "dot_lines": _multiset_sql("SELECT 0 AS pos, 'digraph G {' AS line UNION ALL SELECT 2, '}' UNION ALL SELECT 1, 'v' || parent || ' -> v' || child FROM edges"),

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandset.operators import words as W
-from strandset.operators.lineage import delete, discard, exists, written
+from strandset.operators.lineage import delete, discard, tell, told, written
 from strandset.sources.reads import InvalidInput
 
 #: Rows a bucket if the number of buckets is not given: about 40 MB of codes, some of which a task sorts at once.
@@ -138,16 +138,16 @@ def add_batch(spark: SparkSession, path: str, batch: str, counts: DataFrame) ->
     stopped batch does not count and can be run again; one that was told before is left as it is. Sums that no reader
     can have opened since the batch before go. Only one batch may be added at a time.
     """
-    base, told = open_words(spark, path), _told(spark, path)
-    if batch in told.values():
+    base, done = open_words(spark, path), told(spark, path)
+    if batch in done.values():
         return
     code = F.coalesce(W.bits_of(counts), F.raise_error(F.lit(f"{path}: a word is null or has other letters than A, C, G and T")))
     rows = counts.select(code.alias("code"), "cnt").groupBy("code").agg(F.sum("cnt").cast("long").alias("cnt"))
-    last = max(told, default=0)
+    last = max(done, default=0)
     if last:
         rows = _plus(_added(base, last), rows)
     _write(rows, f"{path}/added-{last + 1}", base.buckets, "overwrite")
-    spark.createDataFrame([(last + 1, batch)], "at int, batch string").repartition(1).write.mode("append").parquet(f"{path}/batches")
+    tell(spark, path, last + 1, batch)
     delete(spark, f"{path}/added-{last - 1}")
 
 
@@ -155,14 +155,7 @@ def _added(base: StoredWords, at: int) -> DataFrame:
     return _read(base.table.sparkSession, f"{base.path}/added-{at}", base.buckets, "code BIGINT, cnt BIGINT")
 
 
-def _told(spark: SparkSession, path: str) -> dict[int, str]:
-    """The batches told, a row each, by their numbers."""
-    if not exists(spark, f"{path}/batches"):
-        return {}
-    return dict(spark.read.parquet(f"{path}/batches").select("at", "batch").collect())
-
-
 def open_counts(spark: SparkSession, path: str, most: int = 255) -> StoredWords:
     """A counter with the batches added to it, clamped at ``most``; no row of either is shuffled."""
-    base, last = open_words(spark, path), max(_told(spark, path), default=0)
+    base, last = open_words(spark, path), max(told(spark, path), default=0)
     return StoredWords(_plus(base.table, _added(base, last), most), base.k, base.canonical, base.buckets, path) if last else base
