@@ -42,7 +42,7 @@ def canonical(kmer: Column) -> Column:
 
 def following(kmer: Column, base: str | Column) -> Column:
     """The word one base on: the first base goes, ``base`` is appended."""
-    return F.concat(F.substring(kmer, 2, 1 << 20), F.lit(base) if isinstance(base, str) else base)
+    return F.concat(F.substring(kmer, 2, F.length(kmer)), F.lit(base) if isinstance(base, str) else base)
 
 
 def preceding(kmer: Column, base: str | Column, k: int) -> Column:

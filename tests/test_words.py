@@ -81,3 +81,8 @@ def test_strings_roundtrip(spark, tmp_path, codec):
     assert values(load_strings(spark, f"{tmp_path}/out", 5)) == values(strings)
     with pytest.raises(InvalidInput):
         load_strings(spark, f"{tmp_path}/out", 6)
+
+
+def test_the_following_word_of_a_very_long_one_is_whole(spark):
+    long = spark.range(1).select(F.concat(F.lit("G"), F.repeat(F.lit("AC"), 600_000)).alias("w"))
+    assert long.select(F.length(K.following(F.col("w"), "T")), F.left(K.following(F.col("w"), "T"), F.lit(2))).first() == (1_200_001, "AC")
