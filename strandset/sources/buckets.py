@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandset.operators import words as W
-from strandset.operators.lineage import delete, discard, tell, told, written
+from strandset.operators.lineage import delete, discard, shuffles_freed, tell, told, written
 from strandset.sources.reads import InvalidInput
 
 #: Rows a bucket if the number of buckets is not given: about 40 MB of codes, some of which a task sorts at once.
@@ -35,7 +35,8 @@ class StoredWords:
 
 def _write(rows: DataFrame, path: str, buckets: int, mode: str = "error") -> None:
     name = f"strandset_{uuid.uuid4().hex}"  # only the way to bucketed files; they stay when the name goes
-    rows.repartition(buckets, "code").write.format("parquet").bucketBy(buckets, "code").sortBy("code").option("path", path).mode(mode).saveAsTable(name)
+    with shuffles_freed(rows.sparkSession):
+        rows.repartition(buckets, "code").write.format("parquet").bucketBy(buckets, "code").sortBy("code").option("path", path).mode(mode).saveAsTable(name)
     rows.sparkSession.sql(f"DROP TABLE {name}")
 
 
@@ -47,13 +48,15 @@ def _read(spark: SparkSession, path: str, buckets: int, columns: str) -> DataFra
     return table
 
 
-def store_words(words: DataFrame, path: str, k: int, canonical: bool = True, buckets: int | None = None) -> None:
+def store_words(words: DataFrame, path: str, k: int, canonical: bool = True, buckets: int | None = None, unlike: bool = False) -> None:
     """Writes (code or kmer, further columns), each row once; a null word raises InvalidInput.
 
-    The rows are shuffled once, here. Without ``buckets`` they are counted, and there are 8 or more, a power of two.
+    The rows are shuffled once, here; those that the caller knows to be ``unlike`` each other need no grouping before.
+    Without ``buckets`` they are counted, and there are 8 or more, a power of two.
     """
     rest = [c for c in words.columns if c not in ("code", "kmer")]
-    rows = written(words.select(W.bits_of(words).alias("code"), *rest).distinct())
+    rows = words.select(W.bits_of(words).alias("code"), *rest)
+    rows = written(rows if unlike else rows.distinct())
     if rows.where("code IS NULL").take(1):
         raise InvalidInput(f"{path}: a word is null or has other letters than A, C, G and T")
     if buckets is None:
