@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandset.functions import kmer as K
 from strandset.operators import graph, lineage, multiset
 from strandset.operators import words as W
-from strandset.operators.superwords import classes_of_sets, links_by_words, sets_of_words, tags_of_words
+from strandset.operators.superwords import classes_of_sets, compared_words, links_by_words, sets_of_words, tags_of_words
 
 TURN = str.maketrans("ACGT", "TGCA")
 
@@ -93,3 +93,14 @@ def test_what_is_written_on_the_way_goes(spark):
 
     out = lineage.settled(make)
     assert not lineage.exists(spark, one[0].written_to) and lineage.exists(spark, out.written_to) and out.where("component = 0").count() == 31
+
+
+@pytest.mark.parametrize("heavy", [1, 10**9])
+def test_words_are_compared_where_they_are_dealt(spark, heavy):
+    strings = spark.createDataFrame([("AAACCCT",), ("AAACC",), ("GGGTA",), ("AC",)], "seq string")
+    words = spark.createDataFrame([(w,) for w in ("AAACC", "AACCC", "ACCCT", "CCCCC", "ACACA")], "kmer string").select(K.encode(F.col("kmer")).alias("code"))
+    got = compared_words(strings, words, 5, heavy_words=heavy, places=3).agg(*[F.sum(c).alias(c) for c in ("n_words", "n_distinct", "n_repeated", "n_missing", "n_foreign")])
+    # AAACC twice, AACCC, ACCCT (not its mirror image AGGGT); GGGTA is foreign; CCCCC and ACACA are missing
+    assert tuple(got.first()) == (5, 4, 1, 2, 1)
+    plan = compared_words(strings, words, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and plan.count("Exchange hashpartitioning") == 1  # no row a word is grouped
