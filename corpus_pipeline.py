@@ -36,12 +36,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: links are all pairs of 0.8 similarity of five-word shingles.
+    """One document of each group stays: links are all pairs whose 64-bit SimHashes of three-word shingles differ in at most 3 bits.
 
     The smallest id stays, a null id only where there is no other; repeated rows leave one; null and empty
     texts are one group; rows of one id with unlike texts are judged by themselves.
     """
-    return simhash.drop_near_duplicates(docs, sketch_words=5, similarity=0.8)
+    return simhash.drop_near_duplicates(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -433,3 +433,24 @@ def test_empty_tables(spark):
         chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")),
     ]
     assert [f.count() for f in frames] == [0] * len(frames)
+
+
+def test_pipeline_stage_links_by_simhash(spark):
+    """Pairs of the stage are those of the fingerprints: also where few shingles are shared, and not where many are."""
+    import corpus_pipeline
+
+    r = random.Random(3)
+    base, texts = prose(r, 200, 10**6).split(), []
+    for edits in [n for n in range(1, 15) for _ in range(12)]:
+        words = list(base)
+        for at in r.sample(range(200), edits):
+            words[at] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(words))
+    fps = [int(x) for x in simhash._fingerprints([" ".join(base), *texts], 3, 42)]
+    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, [" ".join(base), *texts])]
+    far = [(fps[0] ^ x).bit_count() for x in fps]
+    alike = [len(grams[0] & g) / len(grams[0] | g) >= 0.8 for g in grams]
+    linked = next(n for n, d in enumerate(far) if 0 < d <= 3 and not alike[n])
+    apart = next(n for n, d in enumerate(far) if d > 3 and alike[n] and (fps[linked] ^ fps[n]).bit_count() > 3)
+    rows = [(1, " ".join(base)), (2, texts[linked - 1]), (3, texts[apart - 1])]
+    assert sorted(x["doc_id"] for x in corpus_pipeline.simhash_near_dedup(spark, docs(spark, rows), "").collect()) == [1, 3]
