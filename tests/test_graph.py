@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from model import canonical, random_words, rc, unitigs, words
 from strandset.functions import kmer
-from strandset.operators import graph, multiset
+from strandset.operators import graph, lineage, multiset
 from strandset.operators import spss as P
+from strandset.operators import words as W
 from strandset.sources import store
 
 RING = "ACGGTCATTGCAAGTCCGATA"
@@ -222,3 +223,22 @@ def test_degrees_by_grouped_overlaps(spark, k):
     assert got == expected
     edges = Counter((x["u"], x["v"]) for x in graph.edges(frame, k).collect())
     assert sum(edges.values()) == sum(a + b for a, b in expected.values())
+
+
+def test_words_are_written_once_and_go_when_paths_are_made(spark, monkeypatch):
+    r = random.Random(5)
+    text = "".join(r.choice("ACGT") for _ in range(400))
+    words = spark.createDataFrame([(x,) for x in sorted({text[i : i + 9] for i in range(392)})], "kmer string")
+    made = []
+
+    def kept(df):
+        made.append(lineage.written(df))
+        return made[-1]
+
+    monkeypatch.setattr(graph, "written", kept)
+    unwritten = graph.unitigs_directed(words, 9)
+    assert [df for df in made if df.columns == ["code"]] == made[:1] and not lineage.exists(spark, made[0].written_to)
+    codes, made[:] = lineage.written(words.select(W.bits_of(words).alias("code"))), []
+    again = graph.unitigs_directed(codes, 9)
+    assert not [df for df in made if df.columns == ["code"]] and lineage.exists(spark, codes.written_to)
+    assert sorted(unwritten.collect()) == sorted(again.collect())
