@@ -242,3 +242,13 @@ def test_words_are_written_once_and_go_when_paths_are_made(spark, monkeypatch):
     again = graph.unitigs_directed(codes, 9)
     assert not [df for df in made if df.columns == ["code"]] and lineage.exists(spark, codes.written_to)
     assert sorted(unwritten.collect()) == sorted(again.collect())
+
+
+def test_pair_sums_of_matrices_are_those_of_exploded_rows(spark):
+    r = random.Random(6)
+    rows = [(sorted(r.sample(range(6), r.randrange(1, 6))), r.randrange(1, 2**40), r.randrange(3)) for _ in range(200)]
+    classes = spark.createDataFrame(rows, "held array<int>, cnt long, sampled long").repartition(3)
+    splits = [(0, 1, 6), (2, 6, 7)]
+    assert "MapInArrow" in multiset._pair_sums(classes, splits, 8)._jdf.queryExecution().toString()
+    one, two = (sorted(map(tuple, multiset._pair_sums(classes, splits, 8, dense).collect())) for dense in (1024, 1))
+    assert one == two and len(one) == 20
