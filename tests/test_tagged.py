@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strandset.functions import kmer as K
-from strandset.operators import graph, lineage, multiset
+from strandset.operators import graph, lineage, multiset, superwords
 from strandset.operators import words as W
 from strandset.operators.superwords import classes_of_sets, compared_words, links_by_words, sets_of_words, tags_of_words
 
@@ -104,3 +105,38 @@ def test_words_are_compared_where_they_are_dealt(spark, heavy):
     assert tuple(got.first()) == (5, 4, 1, 2, 1)
     plan = compared_words(strings, words, 5)._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" not in plan and plan.count("Exchange hashpartitioning") == 1  # no row a word is grouped
+
+
+def test_frequent_minimizers_below_a_quarter_of_a_core_are_not_dealt_word_by_word(spark, monkeypatch):
+    r = random.Random(9)
+    texts = ["".join(r.choice("ACGT") for _ in range(4000)) for _ in range(40)]
+    monkeypatch.setattr(superwords, "SAMPLE", 1)
+    spread = spark.createDataFrame([(x,) for x in texts], "frag string")
+    often = superwords.heavy_minimizers(spread, 15, "frag", 50)
+    assert often and not superwords.heavy_minimizers(spread, 15, "frag", 50, True)
+    assert superwords.heavy_minimizers(spread, 23, "frag", 50, True) == superwords.heavy_minimizers(spread, 23, "frag", 50)
+    one = spread.union(spark.createDataFrame([("A" * 100_000,)], "frag string"))  # over a quarter of a core's share
+    assert len(superwords.heavy_minimizers(one, 15, "frag", 50, True)) == 1
+
+
+def test_masks_hold_each_word_once_however_many_numbers_it_has(monkeypatch):
+    monkeypatch.setattr(superwords, "_HALF", 100)
+    held, r, expected = superwords._Masked(), random.Random(2), {}
+    for _ in range(50):
+        pairs = [(r.randrange(40), r.randrange(63)) for _ in range(60)]
+        for w, t in pairs:
+            expected.setdefault(w, set()).add(t)
+        held.add(np.array([w for w, _ in pairs]), None, np.array([t for _, t in pairs]))
+        assert len(held.words) <= 40 and held.size <= 160
+    (batch,) = held.close()
+    assert {w: set(x) for w, x in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True)} == expected
+    assert not list(held.close())
+
+
+def test_the_sample_of_minimizers_is_one_of_rows_and_not_of_sets(spark):
+    r = random.Random(4)
+    rows = [(i, f"s{i % 3}", "".join(r.choice("AC") for _ in range(40)) + "A" * 400) for i in range(640)]
+    frame = spark.createDataFrame(rows, "read_id long, set_id string, frag string")
+    for strings in (frame, frame.drop("read_id")):
+        numbered, names = superwords._numbered(strings, "frag", None)
+        assert names == ["s0", "s1", "s2"] and superwords.heavy_minimizers(numbered, 15, "frag", 5_000)
