@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,7 +142,7 @@ def build_index(rows: DataFrame, shard: int, sample: int) -> Index:
         def out() -> Iterator[pa.RecordBatch]:
             for dim, parts in held.items():
                 ids, labels, key, v = (np.concatenate([p[i] for p in parts]) for i in range(4))
-                row = (*open_, dim, ids.tobytes(), labels.tobytes(), key.tobytes(), v.tobytes())
+                row = (*open_, dim, ids.tobytes(), labels.tobytes(), key.tobytes(), _narrow(v))
                 kinds = (pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 4)
                 yield pa.record_batch([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], ["cell", "part", "dim", "ids", "labels", "keys", "values"])
             held.clear()
@@ -183,94 +184,129 @@ class Asks:
     reached: np.ndarray
 
 
+def _narrow(v: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as all of them need."""
+    most = int(np.abs(v).max(initial=0))
+    return v.astype(np.int16 if most < 2**15 else np.int32 if most < 2**31 else np.int64).tobytes()
+
+
+def _wide(data: bytes, n: int, dim: int) -> np.ndarray:
+    return np.frombuffer(data, {2: np.int16, 4: np.int32, 8: np.int64}[len(data) // (n * dim)]).reshape(n, dim)
+
+
+def _exact_kind(q: np.ndarray, d: np.ndarray) -> type:
+    """The numbers in which all inner products are exact: no partial sum is above the product of the norms."""
+    most = 1.001 * np.sqrt((q.astype(np.float64) ** 2).sum(axis=1).max(initial=0) * (d.astype(np.float64) ** 2).sum(axis=1).max(initial=0))
+    return np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
+
+
 def scan_shard(
     keys: Keys, pivot: int, anchors: np.ndarray, anchor_labels: np.ndarray, q: np.ndarray, asks: Asks, shard: tuple[np.ndarray, ...], k: int, same: bool, block: int = 256
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best (ask, vector, score) of one shard (ids, labels, keys, vectors), ties to the smaller id.
 
-    Key intervals of ``block`` vectors are taken by their bounds, nearest first, until none can hold a score
-    that is asked for and not below the k-th.
+    Key intervals of ``block`` vectors are taken by their bounds, nearest first, each for the anchors it can hold a score for that is
+    asked for and not below the k-th. All these anchors are multiplied with an interval at once; only scores above an anchor's least are looked at.
     """
     ids, labels, key, d = shard
     starts = np.arange(0, len(key), block)
     ends = np.minimum(starts + block, len(key))
-    least, most = _score_bounds(keys, q, np.full(len(starts), pivot), key[starts], key[ends - 1])
-    most = most[asks.owner]
-    order = np.argsort(-most, axis=1, kind="stable")
-    n, none = len(asks.owner), np.iinfo(np.int64).max
-    top_s, top_i = np.full((n, k), _NONE), np.full((n, k), none)
+    least, most = _score_bounds(keys, q.astype(np.float64), np.full(len(starts), pivot), key[starts], key[ends - 1])
+    kind = _exact_kind(q, d)
+    qf, df = q.astype(kind), d.astype(kind)
+    by_owner = np.argsort(asks.owner, kind="stable")
+    first = np.searchsorted(asks.owner[by_owner], np.arange(len(q) + 1))
     needed = np.maximum(asks.low, asks.reached)
-    exact = np.abs(q).max(initial=0) * float(np.abs(d).max(initial=0)) * q.shape[1] < 2**53
-    df, qf = (d.astype(np.float64), q) if exact else (d, q.astype(np.int64))
-    active = np.arange(n)
-    for step in range(len(starts)):
-        which = order[active, step]
-        keep = most[active, which] >= np.maximum(top_s[active, -1], needed[active])
-        active, which = active[keep], which[keep]
-        if not len(active):
-            break
-        for b in np.unique(which):
-            rows = active[which == b]
-            rows = rows[least[asks.owner[rows], b] <= asks.high[rows]]
-            if not len(rows):
-                continue
-            part = slice(starts[b], ends[b])
-            own, of = np.unique(asks.owner[rows], return_inverse=True)
-            s = (qf[own] @ df[part].T).astype(np.int64)
-            match = (labels[part] == anchor_labels[own][:, None]) == same
-            s = np.where(match & (ids[part] != anchors[own][:, None]), s, _NONE)[of]
-            s = np.where((s >= needed[rows][:, None]) & (s <= asks.high[rows][:, None]), s, _NONE)
-            all_s = np.concatenate((top_s[rows], s), axis=1)
-            all_i = np.where(all_s == _NONE, none, np.concatenate((top_i[rows], np.broadcast_to(ids[part], s.shape)), axis=1))
-            best = np.lexsort((all_i, -all_s), axis=1)[:, :k]
-            top_s[rows], top_i[rows] = np.take_along_axis(all_s, best, 1), np.take_along_axis(all_i, best, 1)
-    row, at = np.nonzero(top_s != _NONE)
-    return row, top_i[row, at], top_s[row, at]
-
-
-_PACK = "pack array<struct<anchor_id:long,label:long,v:array<long>,asks:array<struct<ask:int,low:long,high:long,reached:long>>>>"
+    floor, ceiling = np.full(len(q), -_NONE), np.full(len(q), _NONE)
+    np.minimum.at(floor, asks.owner, needed)
+    np.maximum.at(ceiling, asks.owner, asks.high)
+    best = tuple(np.zeros(0, np.int64) for _ in range(3))
+    held: list[tuple[np.ndarray, ...]] = []
+    size, at_most = 0, 2 * k * len(needed)
+
+    def merged() -> tuple[np.ndarray, ...]:
+        ask, score, vec = (np.concatenate(x) for x in zip(best, *held, strict=True))
+        order = np.lexsort((vec, -score, ask))
+        ask, score, vec = ask[order], score[order], vec[order]
+        rank = np.arange(len(ask)) - np.searchsorted(ask, ask)
+        full = rank == k - 1
+        needed[ask[full]] = np.maximum(needed[ask[full]], score[full])
+        return ask[rank < k], score[rank < k], vec[rank < k]
+
+    for b in np.argsort(-most.max(axis=0, initial=_NONE), kind="stable"):
+        rows = np.flatnonzero((most[:, b] >= floor) & (least[:, b] <= ceiling))
+        if not len(rows):
+            continue
+        part = slice(starts[b], ends[b])
+        s = qf[rows] @ df[part].T
+        row, col = np.divmod(np.flatnonzero(s >= floor[rows].astype(kind)[:, None]), s.shape[1])
+        good = ((labels[part][col] == anchor_labels[rows[row]]) == same) & (ids[part][col] != anchors[rows[row]])
+        row, col = row[good], col[good]
+        owner, score, vec = rows[row], s[row, col].astype(np.int64), ids[part][col]
+        n = first[owner + 1] - first[owner]
+        ask = by_owner[np.repeat(first[owner] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        score, vec = np.repeat(score, n), np.repeat(vec, n)
+        good = (score >= needed[ask]) & (score <= asks.high[ask])
+        held.append((ask[good], score[good], vec[good]))
+        size += len(held[-1][0])
+        if size > at_most:
+            best, size = merged(), 0
+            held.clear()
+            floor[:] = -_NONE
+            np.minimum.at(floor, asks.owner, needed)
+    ask, score, vec = merged()
+    return ask, vec, score
+
+
+_PACK = "cell int, part int, dim int, anchors binary, anchor_labels binary, q binary, owner binary, ask binary, low binary, high binary, reached binary"
 
 
 def _routed(asked: DataFrame, index: Index, first: int, last: int, same: bool, anchors_at_once: int) -> DataFrame:
-    """(cell, part, dim, pack): anchors sent to their nearest cells number first to last that may hold what they ask for."""
+    """A pack of anchors and asks as arrays for each shard: anchors sent to their nearest cells number first to last that may hold what they ask for."""
     keys, cells = index.keys, index.cells
     pivots = keys.pivot_of(cells.cell)
+    names = [c.split()[0] for c in _PACK.split(", ")]
+    kinds = (*[pa.int32()] * 3, *[pa.binary()] * 8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, anchors_at_once):
-            columns = [batch.column(c) for c in ("anchor_id", "label", "v", "asks")]
-            anchors = pa.StructArray.from_arrays(columns, ["anchor_id", "label", "v", "asks"])
-            asks, _ = _flat(batch.column("asks").to_pylist())
-            bits = np.asarray(batch.column("bit"))
+            ids, labels, bits = (np.asarray(batch.column(c)) for c in ("anchor_id", "label", "bit"))
+            all_asks, all_names = _flat(batch.column("asks"))
             for at, q in _by_length(batch.column("v")):
                 least, most = _score_bounds(keys, q.astype(np.float64), pivots, cells.low, cells.high)
                 place = np.argsort(np.argsort(-most, axis=1, kind="stable"), axis=1)
-                mine = np.isin(asks.owner, at)
-                of = np.searchsorted(at, asks.owner[mine])
-                able = (most[of] >= np.maximum(asks.low, asks.reached)[mine][:, None]) & (least[of] <= asks.high[mine][:, None])
+                mine = np.flatnonzero(np.isin(all_asks.owner, at))
+                of = np.searchsorted(at, all_asks.owner[mine])
+                low, high, reached, ask = (x[mine] for x in (all_asks.low, all_asks.high, all_asks.reached, all_names))
+                able = (most[of] >= np.maximum(low, reached)[:, None]) & (least[of] <= high[:, None])
                 wanted = np.zeros(most.shape, bool)
                 np.logical_or.at(wanted, of, able)
                 wanted &= (place >= first) & (place < last)
                 if same:
                     wanted &= (cells.labels & bits[at][:, None]) != 0
-                c, i = np.nonzero(wanted.T)
-                sent = np.flatnonzero(wanted.any(axis=0))
-                pack = pa.ListArray.from_arrays(pa.array(np.searchsorted(c, np.append(sent, len(cells.cell))).astype(np.int32)), anchors.take(pa.array(at[i])))
-                of_part = np.repeat(np.arange(len(sent)), cells.parts[sent])
-                part = np.concatenate([*(np.arange(n) for n in cells.parts[sent]), np.zeros(0)]).astype(np.int32)
-                yield pa.record_batch(
-                    [pa.array(cells.cell[sent][of_part].astype(np.int32)), pa.array(part), pa.array(np.full(len(part), q.shape[1], np.int32)), pack.take(pa.array(of_part))],
-                    ["cell", "part", "dim", "pack"],
-                )
+                rows = []
+                for c in np.flatnonzero(wanted.any(axis=0)):
+                    sent = np.flatnonzero(wanted[:, c])
+                    own = np.flatnonzero(wanted[of, c] & able[:, c])
+                    arrays = [ids[at[sent]], labels[at[sent]].astype(np.int64)]
+                    asks = [np.searchsorted(sent, of[own]).astype(np.int32), ask[own].astype(np.int32), low[own], high[own], reached[own]]
+                    pack = [*(x.tobytes() for x in arrays), _narrow(q[sent]), *(x.tobytes() for x in asks)]
+                    for part in range(cells.parts[c]):
+                        rows.append((int(cells.cell[c]), part, q.shape[1], *pack))
+                        if len(rows) == 64:
+                            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                            rows = []
+                if rows:
+                    yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     bit = F.expr("shiftleft(cast(1 as bigint), cast(pmod(xxhash64(label), 64) as int))").alias("bit")
-    return asked.select("anchor_id", "label", "v", "asks", bit).mapInArrow(run, f"cell int, part int, dim int, {_PACK}")
+    return asked.select("anchor_id", "label", "v", "asks", bit).mapInArrow(run, _PACK)
 
 
-def _flat(asks: list[list[dict]]) -> tuple[Asks, np.ndarray]:
-    rows = [(i, x["low"], x["high"], x["reached"], x["ask"]) for i, each in enumerate(asks) for x in each]
-    owner, low, high, reached, ask = np.array(rows, np.int64).reshape(-1, 5).T
-    return Asks(owner, low, high, reached), ask
+def _flat(asks: pa.ListArray) -> tuple[Asks, np.ndarray]:
+    each = asks.flatten()
+    low, high, reached, ask = (np.asarray(each.field(c)).astype(np.int64) for c in ("low", "high", "reached", "ask"))
+    return Asks(np.asarray(pc.list_parent_indices(asks)).astype(np.int64), low, high, reached), ask
 
 
 def _scanned(packs: DataFrame, index: Index, k: int, same: bool) -> DataFrame:
@@ -280,15 +316,17 @@ def _scanned(packs: DataFrame, index: Index, k: int, same: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             row = batch.to_pylist()[0]
-            anchors, labels = (np.array([x[c] for x in row["pack"]], np.int64) for c in ("anchor_id", "label"))
-            q = np.array([x["v"] for x in row["pack"]], np.float64)
-            asks, names = _flat([x["asks"] for x in row["pack"]])
+            anchors, labels, low, high, reached = (np.frombuffer(row[c], np.int64) for c in ("anchors", "anchor_labels", "low", "high", "reached"))
+            owner, names = (np.frombuffer(row[c], np.int32) for c in ("owner", "ask"))
+            q = _wide(row["q"], len(anchors), row["dim"])
             shard = tuple(np.frombuffer(row[c], t) for c, t in (("ids", np.int64), ("labels", np.int64), ("keys", np.float64)))
-            values = np.frombuffer(row["values"], np.int64).reshape(-1, row["dim"])
-            at, found, score = scan_shard(keys, keys.pivot_of(row["cell"]), anchors, labels, q, asks, (*shard, values), k, same)
-            yield pa.record_batch([pa.array(anchors[asks.owner[at]]), pa.array(names[at].astype(np.int32)), pa.array(found), pa.array(score)], ["anchor_id", "ask", "vec_id", "score"])
+            values = _wide(row["values"], len(shard[0]), row["dim"])
+            at, found, score = scan_shard(keys, keys.pivot_of(row["cell"]), anchors, labels, q, Asks(owner, low, high, reached), (*shard, values), k, same)
+            yield pa.record_batch([pa.array(anchors[owner[at]]), pa.array(names[at]), pa.array(found), pa.array(score)], ["anchor_id", "ask", "vec_id", "score"])
 
-    met = packs.join(index.shards, ["cell", "part", "dim"]).select("cell", "dim", "pack", "ids", "labels", "keys", "values")
+    context = packs.sparkSession.sparkContext  # the work is not in the bytes, by which tasks would be put together
+    dealt = packs.repartition(max(4 * context.defaultParallelism, int(packs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "cell", "part", "dim")
+    met = dealt.hint("merge").join(index.shards, ["cell", "part", "dim"]).drop("part")
     return met.mapInArrow(run, "anchor_id long, ask int, vec_id long, score long")
 
 

@@ -82,3 +82,37 @@ def test_a_scan_skips_what_is_too_far():
     far[500:] = 10**6  # beyond what its key allows: seen only if the scan goes there
     at, found, score = negatives.scan_shard(keys, 0, np.array([-1]), np.array([0]), v[:1], asks, (*whole[:3], far), 5, True, block=50)
     assert sorted(score, reverse=True) == sorted((whole[3][:500] @ v[0]).astype(int), reverse=True)[:5]
+
+
+@pytest.mark.parametrize("scale", [1, 3_000, 10_000_000])
+def test_a_scan_is_exact_whatever_numbers_it_multiplies_in(scale):
+    """Several asks an anchor, ties, and sizes whose products are exact as single, double or whole numbers."""
+    r = np.random.default_rng(5)
+    v = r.integers(-40, 40, (700, 8)) * scale + r.integers(0, 2, (700, 8))
+    ids, labels, q = r.permutation(700), r.integers(0, 3, 700), v[:20]
+    keys = negatives.Keys(np.append(v[0], 0.0)[None, :].astype(float), np.zeros((1, 0)), float((v.astype(float) ** 2).sum(axis=1).max()))
+    key = keys.cells(v.astype(float))[1]
+    order = np.argsort(key)
+    shard = (ids[order], labels[order], key[order], v[order])
+    assert {negatives._exact_kind(q, v)} == {{1: np.float32, 3_000: np.float64, 10_000_000: np.int64}[scale]}
+    assert (negatives._wide(negatives._narrow(v), 700, 8) == v).all()
+    s = (q.astype(object) @ v.T.astype(object)).astype(np.int64)
+    owner = np.repeat(np.arange(20), 2)
+    low, high = np.tile([-(2**62), 0], 20), np.where(np.arange(40) % 2, np.sort(s, axis=1)[owner, 600], 2**62)
+    for same in (True, False):
+        at, found, score = negatives.scan_shard(keys, 0, ids[:20], labels[:20], q, negatives.Asks(owner, low, high, np.full(40, -(2**62))), shard, 5, same, block=64)
+        expected = []
+        for a in range(40):
+            o = owner[a]
+            fit = [(-s[o, j], ids[j]) for j in range(700) if j != o and (labels[j] == labels[o]) == same and low[a] <= s[o, j] <= high[a]]
+            expected += [(a, i, -x) for x, i in sorted(fit)[:5]]
+        assert sorted(zip(at.tolist(), found.tolist(), score.tolist(), strict=True)) == sorted(expected)
+
+
+def test_scans_are_dealt_to_tasks_by_number_not_by_bytes(spark):
+    rows = spark.createDataFrame(clustered(9, 300), ROWS).select("vec_id", F.col("label").cast("long").alias("label"), F.transform("embedding", lambda x: F.floor(x * 256)).alias("v"))
+    index = negatives.build_index(rows, 16, 300)
+    asks = F.array(F.struct(F.lit(0).alias("ask"), *[F.lit(x).alias(c) for c, x in (("low", -(2**62)), ("high", 2**62), ("reached", -(2**62)))]))
+    asked = rows.where("vec_id % 10 = 0").select(F.col("vec_id").alias("anchor_id"), "label", "v", asks.alias("asks"))
+    packs = negatives._routed(asked, index, 0, len(index.cells.cell), True, 8)
+    assert negatives._scanned(packs, index, 5, True).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
