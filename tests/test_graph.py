@@ -1,11 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from model import canonical, random_words, rc, unitigs, words
 from strandset.functions import kmer
-from strandset.operators import graph, lineage, multiset
+from strandset.operators import compaction, graph, lineage, multiset
 from strandset.operators import spss as P
 from strandset.operators import words as W
 from strandset.sources import store
@@ -252,3 +253,36 @@ def test_pair_sums_of_matrices_are_those_of_exploded_rows(spark):
     assert "MapInArrow" in multiset._pair_sums(classes, splits, 8)._jdf.queryExecution().toString()
     one, two = (sorted(map(tuple, multiset._pair_sums(classes, splits, 8, dense).collect())) for dense in (1024, 1))
     assert one == two and len(one) == 20
+
+
+@pytest.mark.parametrize("canonical_", [True, False])
+@pytest.mark.parametrize("options", [(1, 40), (10**6, 50), (10**6, 10**6)])
+def test_ends_whatever_place_words_are_dealt_to(spark, canonical_, options, monkeypatch):
+    """A row a word, or two if its overlaps are decided in two places; both give the ends that one place gives."""
+    local, own = graph.local_ends, mixed(8, 7, canonical_)
+    expected = graph.terminals(kmers(spark, own), 7, canonical_).collect()
+    monkeypatch.setattr(graph, "local_ends", lambda words, k, canonical: local(words, k, canonical, *options))
+    assert sorted(graph.terminals(kmers(spark, own), 7, canonical_).collect()) == sorted(expected)
+    told = local(kmers(spark, own), 7, canonical_, *options).groupBy("code").agg(F.sum("told").alias("told"), F.count("*").alias("n")).collect()
+    assert {r["told"] for r in told} == {3} and {r["n"] for r in told} <= {1, 2} and len(told) == len(own)
+
+
+@pytest.mark.parametrize("k", [15, 31])
+def test_words_are_moved_as_arrays_to_bounded_places(spark, k):
+    """Few bytes a word, and a minimizer of many words is dealt by overlaps, so that no place holds it whole."""
+    r = random.Random(4)
+    own = {"".join(r.choice("ACGT") for _ in range(k)) for _ in range(3000)} | {"A" * 8 + "".join(r.choice("CGT") for _ in range(k - 8)) for _ in range(3000)}
+    table = kmers(spark, sorted(own))
+    homes = compaction.dealt_words(table, k, False, 500, 2000).collect()
+    size = 4 if k == 15 else 8
+    codes = {s: np.concatenate([np.frombuffer(x["codes"], np.uint32 if k == 15 else np.int64) for x in homes if x["side"] == s]) for s in (1, 2, 3)}
+    assert len(codes[3]) + len(codes[1]) == len(own) and sorted(codes[1]) == sorted(codes[2])
+    of_place = {}
+    for x in homes:
+        of_place[x["place"]] = of_place.get(x["place"], 0) + len(x["codes"]) // size
+    assert max(of_place.values()) < 2500
+    c = np.array(sorted(int("".join(str("ACGT".index(b)) for b in w), 4) for w in own))
+    left, right = compaction.overlap_minimizers(c, k, 4)
+    overlaps = [F.shiftright("c", 2), F.col("c").bitwiseAND(F.lit((1 << (2 * k - 2)) - 1))]
+    rows = spark.createDataFrame([(int(x),) for x in c], "c long").select("c", *[compaction.minimizer(o, k - 1, 4).alias(n) for o, n in zip(overlaps, "lr", strict=True)])
+    assert [(x["c"], x["l"], x["r"]) for x in rows.orderBy("c").collect()] == list(zip(c.tolist(), left.tolist(), right.tolist(), strict=True))
