@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -286,3 +287,44 @@ def test_words_are_moved_as_arrays_to_bounded_places(spark, k):
     overlaps = [F.shiftright("c", 2), F.col("c").bitwiseAND(F.lit((1 << (2 * k - 2)) - 1))]
     rows = spark.createDataFrame([(int(x),) for x in c], "c long").select("c", *[compaction.minimizer(o, k - 1, 4).alias(n) for o, n in zip(overlaps, "lr", strict=True)])
     assert [(x["c"], x["l"], x["r"]) for x in rows.orderBy("c").collect()] == list(zip(c.tolist(), left.tolist(), right.tolist(), strict=True))
+
+
+@pytest.mark.parametrize(("k", "both", "m"), [(9, True, 4), (9, False, 2), (17, True, 2)])
+def test_a_task_joins_a_bounded_number_of_words_at_a_time(spark, k, both, m, monkeypatch):
+    """Many words of few minimizers meet in one place; its parts hold each overlap whole, and each side of a word once."""
+    monkeypatch.setattr(compaction, "minimizer_size", lambda k, n: m)
+    own = random_words(6, 4000, k, both)
+    dealt, _ = compaction._dealt(kmers(spark, own), k, both, 10**6, 500)
+    places = dealt.toArrow().sort_by("place")
+    of_place = Counter()
+    for x in places.to_pylist():
+        of_place[x["place"]] += len(x["codes"]) // (4 if 2 * k <= 32 else 8)
+    assert max(of_place.values()) > 400
+    parts = list(compaction._whole_places(places.to_batches(), k, m, 200))
+    assert max(len(c) for c, _ in parts) <= 200
+    sides, home = Counter(), {}
+    for i, (c, side) in enumerate(parts):
+        for x, on in zip(c.tolist(), side.tolist(), strict=True):
+            sides[x] += on
+            for bit, overlap in ((1, x >> 2), (2, x & ((1 << (2 * k - 2)) - 1))):
+                mirror = int(compaction.reverse_complement_codes(np.array([overlap]), k - 1)[0])
+                assert not on & bit or home.setdefault(min(overlap, mirror) if both else overlap, i) == i
+    assert len(sides) == len(own) and set(sides.values()) == {3}
+
+
+@pytest.mark.parametrize("both", [True, False])
+def test_unitigs_and_ends_of_a_place_in_parts(spark, both, monkeypatch):
+    """All words of a long text and of rings share few minimizers, none of which is dealt by overlaps."""
+    paths, ends = graph.local_paths, graph.local_ends
+    own = mixed(8, 7, both)
+    for at_once in (10, 100):
+        monkeypatch.setattr(compaction, "minimizer_size", lambda k, n: 2)
+        monkeypatch.setattr(graph, "local_paths", lambda words, k, canonical: paths(words, k, canonical, 10**6, at_once))
+        monkeypatch.setattr(graph, "local_ends", lambda words, k, canonical: ends(words, k, canonical, 10**6, at_once))
+        expected, rings = unitigs(own, both)
+        got = strings((graph.unitigs if both else graph.unitigs_directed)(kmers(spark, own), 7))
+        assert held_once(got, 7, both) == set(own) and len(got) == len(expected) + len(rings)
+        assert set(expected) <= {canonical(s) if both else s for s in got}
+        told = graph.terminals(kmers(spark, own), 7, both).collect()
+        monkeypatch.undo()
+        assert sorted(told) == sorted(graph.terminals(kmers(spark, own), 7, both).collect())
