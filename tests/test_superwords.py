@@ -1,7 +1,10 @@
 """Super-words: windows and minimizers against plain ones, counts against a row a word."""
 
 import random
+import tracemalloc
 from collections import Counter
+from functools import reduce
+from operator import xor
 
 import numpy as np
 import pyarrow as pa
@@ -81,3 +84,53 @@ def test_merged_parts_keep_counts():
         counter.add(part.astype(np.int64), None)
     rows = [r for b in counter.close() for r in b.to_pylist()]
     assert {r["code"]: r["cnt"] for r in rows} == Counter(np.concatenate((big, big[:5], big)).tolist())
+
+
+@pytest.mark.parametrize(("most", "bytes_a_word"), [(255, 25), (None, 40)])
+def test_a_counters_memory_is_a_few_bytes_a_distinct_word(most, bytes_a_word, monkeypatch):
+    """A place of many times what is sorted at once: its words are not copied and sorted as a whole."""
+    monkeypatch.setattr(S, "_HALF", 100_000)
+    monkeypatch.setattr(S, "_PART", 50_000, raising=False)
+    r, n = np.random.default_rng(4), 2_000_000
+    fed = [(r.integers(0, n, 50_000), r.integers(1, 200, 50_000) if i % 5 == 0 else None) for i in range(60)]
+    tracemalloc.start()
+    before, counter = tracemalloc.get_traced_memory()[0], S._Counter(most)
+    for words, times in fed:
+        counter.add(words, times)
+    found = [(b.column(0), b.column(1)) for b in counter.close()]
+    peak = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    words, times = (np.concatenate([np.asarray(x[i]) for x in found]) for i in (0, 1))
+    own = np.bincount(np.concatenate([w for w, _ in fed]), np.concatenate([np.ones(len(w)) if t is None else t for w, t in fed]), n).astype(np.int64)
+    assert words.tolist() == np.flatnonzero(own).tolist()  # in order, each once
+    assert times.tolist() == (own if most is None else np.minimum(own, most))[words].tolist()
+    assert not list(counter.close())
+    assert peak < bytes_a_word * len(words)
+
+
+def test_places_grow_with_the_words(spark, monkeypatch):
+    monkeypatch.setattr(S, "SAMPLE", 1)
+    monkeypatch.setattr(S, "_PLACE", 2_000, raising=False)
+    r = random.Random(5)
+    frame = spark.createDataFrame([("".join(r.choice("ACGT") for _ in range(3000)),) for _ in range(100)], "frag string")
+    of_place = Counter()
+    for x in S._dealt(frame, 15, True, "frag", None, None, None).collect():
+        of_place[x["place"]] += sum(x["counts"])
+    assert sum(of_place.values()) == 100 * 2986 and max(of_place.values()) < 5_000
+    assert S.count_super_words(frame, 15, most=None).agg(F.sum("cnt")).first()[0] == 100 * 2986
+
+
+def test_strings_are_compared_with_a_set_across_parts(monkeypatch):
+    """The two keys of a word may lie in two parts; batches without words count as none."""
+    monkeypatch.setattr(S, "_HALF", 12)
+    monkeypatch.setattr(S, "_PART", 3, raising=False)
+    r = random.Random(8)
+    for n in (0, 1, 5, 40):
+        held, strings, words = S._Compared(None), [r.randrange(60) for _ in range(2 * n)], r.sample(range(60), n)
+        for tag, all_ in ((0, strings), (1, words)):
+            for i in range(0, len(all_), 7):
+                held.add(np.array(all_[i : i + 7], np.int64), None, tag)
+                held.add(np.zeros(0, np.int64), None, tag)
+        count = Counter(strings)
+        expected = [len(strings), len(count), sum(c > 1 for c in count.values()), len(set(words) - set(count)), len(set(count) - set(words)), reduce(xor, count, 0)]
+        assert [list(x.values()) for b in held.close() for x in b.to_pylist()] == ([expected] if n else [])
